@@ -229,3 +229,256 @@ SELECT * FROM (
     UNION ALL SELECT 'Multiple', * FROM flags WHERE pattern_count >= 2
   ) x, LATERAL (SELECT {Q.preview('clean_text', 300, ellipsis=False, flatten=True)} AS text_preview)
 ) WHERE sample_rank <= {S.SAMPLES_PER_CATEGORY}""", FLAGS_CTE)
+
+# ---------------------------------------------------------------------------
+# Samples, split, features, model
+# ---------------------------------------------------------------------------
+
+ORACLE["sample_exact"] = with_ctes(MAIL_TEXTS_SQL, body=f"""
+SELECT file, message FROM mail_texts
+ORDER BY md5('{S.RANDOM_STATE}|' || file), file LIMIT 500""")
+
+LABELLED_CTE = """
+labelled AS (
+  SELECT message_id AS id, clean_text, channel,
+         CAST(coalesce(attack_label IN ('smishing', 'phishing'), false) AS INTEGER) AS y
+  FROM corpus WHERE clean_text IS NOT NULL
+)"""
+
+SPLIT_CTES = (
+    LABELLED_CTE,
+    "cls AS (SELECT y, count(*) AS n_c FROM labelled GROUP BY y)",
+    f"tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST({S.TEST_SIZE} AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_test FROM cls)",
+    "base AS (SELECT y, (n_test * n_c) // n AS b, (n_test * n_c) % n AS rem, n_test FROM cls, tot)",
+    """alloc AS (SELECT y, b + CASE WHEN row_number() OVER (ORDER BY rem DESC, y) <= n_test - sum(b) OVER ()
+                  THEN 1 ELSE 0 END AS k FROM base)""",
+    f"""split AS (
+  SELECT l.*, CASE WHEN row_number() OVER (PARTITION BY l.y ORDER BY md5('{S.RANDOM_STATE}|' || l.id), l.id) <= a.k
+                   THEN 'test' ELSE 'train' END AS fold
+  FROM labelled l JOIN alloc a ON l.y = a.y
+)""",
+)
+
+
+def grams_sql(text: str) -> str:
+    toks = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+    return (f"list_concat({toks}, CASE WHEN len({toks}) >= 2 THEN list_transform(range(1, len({toks})), "
+            f"lambda i: {toks}[i] || ' ' || {toks}[i + 1]) ELSE []::VARCHAR[] END)")
+
+
+MODEL_CTES = SPLIT_CTES + (
+    f"""tf AS (SELECT id, y, fold, term, count(*) AS tf
+              FROM (SELECT id, y, fold, unnest({grams_sql('clean_text')}) AS term FROM split) GROUP BY ALL)""",
+    "ntrain AS (SELECT count(*) AS n FROM split WHERE fold = 'train')",
+    """stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf,
+                       CAST(count_if(y = 1) AS BIGINT) AS df_pos, CAST(count_if(y = 0) AS BIGINT) AS df_neg
+                FROM tf WHERE fold = 'train' GROUP BY term)""",
+    f"""vocab AS (
+  SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, df, total_tf, df_pos, df_neg,
+         ln(CAST(1 + n AS DOUBLE) / CAST(df + 1 AS DOUBLE)) + 1.0 AS idf,
+         ln(CAST(df_pos + 1 AS DOUBLE) / CAST(df_neg + 1 AS DOUBLE)) AS coef
+  FROM (SELECT s.*, n FROM stats s, ntrain
+        WHERE df >= {S.MIN_DF} AND df <= CAST({S.MAX_DF} AS DOUBLE) * n
+        ORDER BY total_tf DESC, term LIMIT {S.VOCAB_SIZE_V2})
+)""",
+    """test_scores AS (
+  SELECT id, sum(raw_w * coef) AS dot, sum(raw_w * raw_w) AS norm2
+  FROM (SELECT tf.id, (1 + ln(tf.tf)) * v.idf AS raw_w, v.coef FROM tf JOIN vocab v USING (term) WHERE tf.fold = 'test')
+  GROUP BY id
+)""",
+    """preds AS (
+  SELECT s.id, s.y, s.channel, s.clean_text, d.decision, round(1.0 / (1.0 + exp(-d.decision)), 12) AS prob,
+         CAST(d.decision > 0 AS INTEGER) AS pred
+  FROM split s LEFT JOIN test_scores t USING (id),
+       LATERAL (SELECT coalesce(t.dot / sqrt(t.norm2), 0.0) + 0.0 AS decision) d
+  WHERE s.fold = 'test'
+)""",
+)
+
+
+def model_sql(body: str, *extra: str) -> str:
+    return corpus_sql(body, *MODEL_CTES, *extra)
+
+
+ORACLE["stratified_split"] = corpus_sql("SELECT id, y, fold FROM split", *SPLIT_CTES)
+
+ORACLE["class_weights"] = corpus_sql("""
+SELECT fold, y, count, round(tot / (k * count), 9) AS weight FROM (
+  SELECT fold, y, count(*) AS count, sum(count(*)) OVER (PARTITION BY fold) AS tot,
+         count(*) OVER (PARTITION BY fold) AS k
+  FROM split GROUP BY fold, y)""", *SPLIT_CTES)
+
+ORACLE["first_sample"] = corpus_sql("""
+SELECT attack_label, message_id, source_dataset, substring(clean_text, 1, 100) AS clean_preview FROM (
+  SELECT *, row_number() OVER (PARTITION BY attack_label ORDER BY message_id) AS rn FROM corpus) WHERE rn = 1""")
+
+ORACLE["ngram_counts"] = corpus_sql(rf"""
+SELECT id, CAST(len(toks) AS INTEGER) AS n_unigrams, CAST(greatest(len(toks) - 1, 0) AS INTEGER) AS n_bigrams,
+       CAST(len(list_distinct({grams_sql('clean_text')})) AS INTEGER) AS n_distinct_terms
+FROM (SELECT *, regexp_extract_all(lower(clean_text), '[\p{{L}}\p{{N}}_]{{2,}}') AS toks FROM labelled)""",
+                                    LABELLED_CTE)
+
+ORACLE["vocab"] = model_sql("""
+SELECT term, idx, df, total_tf, df_pos, df_neg, round(idf, 9) AS idf, round(coef, 9) AS coef FROM vocab""")
+
+ORACLE["tfidf_weights"] = model_sql("""
+SELECT id, term, round(raw_w / sqrt(sum(raw_w * raw_w) OVER (PARTITION BY id)), 9) AS weight
+FROM (SELECT tf.id, tf.term, (1 + ln(tf.tf)) * v.idf AS raw_w FROM tf JOIN vocab v USING (term) WHERE tf.fold = 'train')""")
+
+ORACLE["linear_scores"] = model_sql("SELECT id, y, round(decision, 9) AS decision, round(prob, 9) AS prob, pred FROM preds")
+
+_PRF = """
+round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0), 9) AS precision,
+round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0), 9) AS recall,
+round(coalesce(2.0 * (tp / nullif(CAST(tp + fp AS DOUBLE), 0)) * (tp / nullif(CAST(tp + fn AS DOUBLE), 0))
+      / nullif(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) + coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0), 0), 0.0), 9) AS f1"""
+
+CM_CTE = """
+cm AS (SELECT CAST(count_if(y = 0 AND pred = 0) AS BIGINT) AS tn, CAST(count_if(y = 0 AND pred = 1) AS BIGINT) AS fp,
+              CAST(count_if(y = 1 AND pred = 0) AS BIGINT) AS fn, CAST(count_if(y = 1 AND pred = 1) AS BIGINT) AS tp
+       FROM preds)"""
+
+ORACLE["confusion"] = model_sql(f"SELECT tn, fp, fn, tp, {_PRF} FROM cm", CM_CTE)
+
+
+def _prf_raw(tp: str, fp: str, fn: str) -> str:
+    p = f"coalesce({tp} / nullif(CAST({tp} + {fp} AS DOUBLE), 0), 0.0)"
+    r = f"coalesce({tp} / nullif(CAST({tp} + {fn} AS DOUBLE), 0), 0.0)"
+    f = f"coalesce(2.0 * {p} * {r} / nullif({p} + {r}, 0), 0.0)"
+    return f"{p} AS precision, {r} AS recall, {f} AS f1"
+
+
+ORACLE["class_report"] = model_sql(f"""
+SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (
+  SELECT * FROM per
+  UNION ALL SELECT 'accuracy', NULL, NULL, coalesce((tn + tp) / nullif(CAST(tn + fp + fn + tp AS DOUBLE), 0), 0.0),
+                   tn + fp + fn + tp FROM cm
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per
+  UNION ALL SELECT 'weighted avg', coalesce(sum(precision * support) / nullif(CAST(sum(support) AS DOUBLE), 0), 0.0),
+                   coalesce(sum(recall * support) / nullif(CAST(sum(support) AS DOUBLE), 0), 0.0),
+                   coalesce(sum(f1 * support) / nullif(CAST(sum(support) AS DOUBLE), 0), 0.0),
+                   CAST(sum(support) AS BIGINT) FROM per)""",
+    CM_CTE,
+    f"""per AS (
+  SELECT 'Benign' AS label, {_prf_raw('tn', 'fn', 'fp')}, tn + fp AS support FROM cm
+  UNION ALL SELECT 'Malicious', {_prf_raw('tp', 'fp', 'fn')}, tp + fn FROM cm)""")
+
+ORACLE["roc_auc"] = model_sql("""
+SELECT round(CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * sum(pos) * sum(neg)), 9) AS roc_auc,
+       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives
+FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT prob AS s, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM preds GROUP BY prob))""")
+
+SWEEP_CTE = f"""
+sweep AS (
+  SELECT step, round(threshold, 9) AS threshold, {_PRF}, fn, fp, tp, tn FROM (
+    SELECT step, threshold,
+           CAST(count_if(prob >= threshold AND y = 1) AS BIGINT) AS tp,
+           CAST(count_if(prob >= threshold AND y = 0) AS BIGINT) AS fp,
+           CAST(count_if(prob < threshold AND y = 1) AS BIGINT) AS fn,
+           CAST(count_if(prob < threshold AND y = 0) AS BIGINT) AS tn
+    FROM (SELECT CAST(range AS INTEGER) AS step, range * CAST(0.01 AS DOUBLE) AS threshold FROM range(0, 101)) t,
+         preds
+    GROUP BY step, threshold)
+)"""
+
+ORACLE["threshold_sweep"] = model_sql("SELECT * FROM sweep", SWEEP_CTE)
+
+ORACLE["best_thresholds"] = model_sql("""
+SELECT * FROM (SELECT 'recall_at_least_99' AS criterion, * FROM sweep WHERE recall >= 0.99 ORDER BY precision DESC, step LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'min_false_negatives', * FROM sweep ORDER BY fn, step LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'max_f1', * FROM sweep ORDER BY f1 DESC, step LIMIT 1)
+UNION ALL SELECT 'default_050', * FROM sweep WHERE step = 50""", SWEEP_CTE)
+
+ORACLE["threshold_table"] = model_sql(
+    f"SELECT * FROM sweep WHERE step IN ({', '.join(str(x) for x in S.THRESHOLD_TABLE_STEPS)})", SWEEP_CTE)
+
+TOP_CTE = """
+top AS (
+  SELECT * FROM (SELECT 'positive' AS side, term, round(coef, 9) AS coef,
+                        CAST(row_number() OVER (ORDER BY coef DESC, term) AS INTEGER) AS rank FROM vocab) WHERE rank <= 20
+  UNION ALL
+  SELECT * FROM (SELECT 'negative' AS side, term, round(coef, 9) AS coef,
+                        CAST(row_number() OVER (ORDER BY coef ASC, term) AS INTEGER) AS rank FROM vocab) WHERE rank <= 20
+)"""
+
+ORACLE["top_terms"] = model_sql("SELECT side, term, coef, rank FROM top", TOP_CTE)
+
+ORACLE["ngram_breakdown"] = model_sql("""
+SELECT side, CASE WHEN contains(term, ' ') THEN 'bigram' ELSE 'unigram' END AS kind, count(*) AS count
+FROM top GROUP BY ALL""", TOP_CTE)
+
+ORACLE["error_samples"] = model_sql(f"""
+SELECT kind, id, channel, text_preview, CAST(total AS BIGINT) AS total, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT kind, id, channel, {Q.preview('clean_text', 200)} AS text_preview,
+         count(*) OVER (PARTITION BY kind) AS total, row_number() OVER (PARTITION BY kind ORDER BY id) AS rank
+  FROM (SELECT *, CASE WHEN y = 1 AND pred = 0 THEN 'false_negative'
+                       WHEN y = 0 AND pred = 1 THEN 'false_positive' END AS kind FROM preds)
+  WHERE kind IS NOT NULL) WHERE rank <= 5""")
+
+# ---------------------------------------------------------------------------
+# Scoring
+# ---------------------------------------------------------------------------
+
+_MODES = ", ".join(Q.q(m) for m in S.MODE_THRESHOLDS)
+_THR = " ".join(f"WHEN {Q.q(m)} THEN CAST({v} AS DOUBLE)" for m, v in S.MODE_THRESHOLDS.items())
+
+SCORE_CTES = (
+    """req AS (
+  SELECT id, body AS text,
+         CASE WHEN id % 10 = 0 THEN upper(channel) WHEN id % 23 = 0 THEN 'fax' ELSE channel END AS channel,
+         CASE WHEN id % 29 = 0 THEN 'bogus' WHEN id % 31 = 0 THEN NULL WHEN id % 4 = 0 THEN 'balanced'
+              WHEN id % 4 = 1 THEN 'high_recall' WHEN id % 4 = 2 THEN 'LOW_FP' ELSE '' END AS mode
+  FROM msg)""",
+    f"req_pre AS (SELECT *, {Q.preprocess('text')} AS pre FROM req)",
+    f"""req_tf AS (SELECT id, term, count(*) AS tf
+                 FROM (SELECT id, unnest({grams_sql('pre')}) AS term FROM req_pre WHERE pre <> '') GROUP BY ALL)""",
+    """req_dot AS (
+  SELECT id, sum(raw_w * coef) AS dot, sum(raw_w * raw_w) AS norm2
+  FROM (SELECT r.id, (1 + ln(r.tf)) * v.idf AS raw_w, v.coef FROM req_tf r JOIN vocab v USING (term)) GROUP BY id)""",
+    f"""req_first AS (
+  SELECT r.*, CASE WHEN pre = '' THEN 0.0 ELSE 1.0 / (1.0 + exp(-(coalesce(d.dot / sqrt(d.norm2), 0.0) + 0.0))) END AS first,
+         CASE WHEN mode IS NULL OR mode = '' THEN 'balanced' WHEN lower(mode) IN ({_MODES}) THEN lower(mode) END AS m,
+         CASE WHEN coalesce(mode, '') <> '' AND lower(mode) NOT IN ({_MODES})
+              THEN 'Invalid mode: ' || mode || '. Use: balanced, high_recall, low_fp' END AS error,
+         CASE WHEN lower(channel) IN ('email', 'sms', 'unknown') THEN lower(channel) ELSE 'unknown' END AS ch,
+         length(replace(coalesce(text, ''), chr(0), '')) > {S.MAX_CHAR_LENGTH} AS was_truncated
+  FROM req_pre r LEFT JOIN req_dot d USING (id))""",
+)
+
+
+def _tier(x: str) -> str:
+    whens = " ".join(f"WHEN {x} < {b} THEN {Q.q(n)}" for b, n in S.RISK_TIERS)
+    return f"CASE {whens} ELSE {Q.q(S.RISK_TIER_TOP)} END"
+
+
+def _score_out(score: str, second: str) -> str:
+    thr = f"coalesce(CASE m {_THR} END, CAST({S.MODE_THRESHOLDS[S.DEFAULT_MODE]} AS DOUBLE))"
+    return f"""
+  SELECT id,
+         CASE WHEN error IS NULL THEN round({score}, 4) END AS probability,
+         CASE WHEN error IS NULL THEN {_tier(score)} ELSE 'Error' END AS risk_tier,
+         CASE WHEN error IS NULL THEN {score} >= {thr} END AS is_malicious,
+         CASE WHEN error IS NULL THEN round(first, 4) END AS tfidf_score,
+         CASE WHEN error IS NULL THEN round({second}, 4) END AS roberta_score,
+         CASE WHEN error IS NULL THEN ch END AS channel,
+         CASE WHEN error IS NULL THEN m END AS mode,
+         CASE WHEN error IS NULL THEN {thr} END AS threshold,
+         error, was_truncated"""
+
+
+ORACLE["scored_messages"] = model_sql(_score_out("first", "0.0") + " FROM req_first", *SCORE_CTES)
+
+_KW = S.AUTHORITY_KEYWORDS + S.URGENCY_KEYWORDS
+_HITS = " + ".join(f"CASE WHEN contains(lower(pre), {Q.q(w)}) THEN 1 ELSE 0 END" for w in _KW)
+
+ORACLE["second_model"] = model_sql(
+    _score_out("(0.6 * second + 0.4 * first)", "second") + ", true AS roberta_enabled FROM req_second",
+    *SCORE_CTES,
+    f"""req_second AS (SELECT *, CASE WHEN pre = '' THEN 0.0 ELSE 1.0 / (1.0 + exp(-(({_HITS}) - 1.5))) END AS second
+                       FROM req_first)""")
+
+ORACLE["audit_log"] = model_sql(f"""
+SELECT probability, risk_tier, is_malicious, mode, channel, text_length FROM (
+  {_score_out('first', '0.0')}, CAST(coalesce(length(text), 0) AS INTEGER) AS text_length FROM req_first)
+WHERE error IS NULL""", *SCORE_CTES)

@@ -14,11 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schema as S
 from ..operators import canonical as C
+from ..operators import evaluate as EV
+from ..operators import features as FE
 from ..operators import mining as M
 from ..operators import quality as Q
+from ..operators import sampling as SP
+from ..operators import scoring as SC
 from ..sources.mail import extract_headers
 from . import corpus as CP
+from . import modelling as ML
 from .fixture import mail_texts, message_view, tab_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,4 +132,176 @@ def risk_report(spark, sf_dir):
 @query
 def risk_samples(spark, sf_dir):
     return M.risk_samples(M.risk_flags(_corpus(spark, sf_dir)))
-FLAGSHIP = "risk_report"
+
+
+# ---------------------------------------------------------------------------
+# Samples and splits
+# ---------------------------------------------------------------------------
+
+SAMPLE_N = 500  # rows drawn from the mail archive by the sampling query
+
+
+@query
+def sample_exact(spark, sf_dir):
+    return SP.sample_n(mail_texts(_msg(spark, sf_dir)), SAMPLE_N, "file")
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return ML.split(spark, sf_dir).select("id", "y", "fold")
+
+
+@query
+def class_weights(spark, sf_dir):
+    return SP.class_distribution(ML.split(spark, sf_dir))
+
+
+@query
+def first_sample(spark, sf_dir):
+    c = _corpus(spark, sf_dir).select("attack_label", "message_id", "source_dataset",
+                                      F.substring("clean_text", 1, 100).alias("clean_preview"))
+    return SP.first_sample(c, "attack_label", "message_id")
+
+
+# ---------------------------------------------------------------------------
+# Features and the linear model
+# ---------------------------------------------------------------------------
+
+@query
+def ngram_counts(spark, sf_dir):
+    lab = ML.labelled(spark, sf_dir).select("id", FE.tokens("clean_text").alias("tok"))
+    tok = F.col("tok")
+    return lab.select("id", F.size(tok).alias("n_unigrams"),
+                      F.greatest(F.size(tok) - 1, F.lit(0)).alias("n_bigrams"),
+                      F.size(F.array_distinct(FE.ngrams_of(tok))).alias("n_distinct_terms"))
+
+
+@query
+def vocab(spark, sf_dir):
+    f = ML.fit(spark, sf_dir)
+    return EV.rounded(f.model.vocab.select("term", "idx", "df", "total_tf", "df_pos", "df_neg", "idf", "coef"))
+
+
+@query
+def tfidf_weights(spark, sf_dir):
+    f = ML.fit(spark, sf_dir)
+    w = FE.tfidf(f.train_tf.select("id", "term", "tf"), f.model.vocab, f.model.vocab_rows)
+    return EV.rounded(w.select("id", "term", "weight"))
+
+
+def _test_preds(spark, sf_dir):
+    p = ML.test_predictions(ML.fit(spark, sf_dir))
+    return p.withColumn("prob", F.round("prob", 12))
+
+
+@query
+def linear_scores(spark, sf_dir):
+    return EV.rounded(_test_preds(spark, sf_dir).select("id", "y", "decision", "prob", "pred"))
+
+
+# ---------------------------------------------------------------------------
+# Evaluation
+# ---------------------------------------------------------------------------
+
+@query
+def confusion(spark, sf_dir):
+    return EV.rounded(EV.class_metrics(EV.confusion(_test_preds(spark, sf_dir))))
+
+
+@query
+def class_report(spark, sf_dir):
+    return EV.classification_report(_test_preds(spark, sf_dir))
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return EV.rounded(EV.roc_auc(_test_preds(spark, sf_dir)))
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    return EV.rounded(EV.threshold_sweep(_test_preds(spark, sf_dir)))
+
+
+@query
+def best_thresholds(spark, sf_dir):
+    return EV.rounded(EV.best_thresholds(EV.threshold_sweep(_test_preds(spark, sf_dir))))
+
+
+@query
+def threshold_table(spark, sf_dir):
+    return EV.rounded(EV.threshold_table(EV.threshold_sweep(_test_preds(spark, sf_dir))))
+
+
+@query
+def top_terms(spark, sf_dir):
+    return EV.rounded(EV.top_terms(ML.fit(spark, sf_dir).model.vocab))
+
+
+@query
+def ngram_breakdown(spark, sf_dir):
+    return EV.ngram_breakdown(EV.top_terms(ML.fit(spark, sf_dir).model.vocab))
+
+
+@query
+def error_samples(spark, sf_dir):
+    return EV.error_samples(_test_preds(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Scoring
+# ---------------------------------------------------------------------------
+
+def requests(msg):
+    """Scoring requests derived from the messages: text, channel, mode."""
+    i = F.col("id")
+    channel = F.when(i % 10 == 0, F.upper("channel")).when(i % 23 == 0, F.lit("fax")).otherwise(F.col("channel"))
+    mode = (F.when(i % 29 == 0, F.lit("bogus")).when(i % 31 == 0, F.lit(None).cast("string"))
+            .when(i % 4 == 0, F.lit("balanced")).when(i % 4 == 1, F.lit("high_recall"))
+            .when(i % 4 == 2, F.lit("LOW_FP")).otherwise(F.lit("")))
+    return msg.select("id", F.col("body").alias("text"), channel.alias("channel"), mode.alias("mode"))
+
+
+SCORE_COLS = ["id", "probability", "risk_tier", "is_malicious", "tfidf_score", "roberta_score",
+              F.col("channel_out").alias("channel"), F.col("mode_out").alias("mode"), "threshold", "error",
+              "was_truncated"]
+
+
+@query
+def scored_messages(spark, sf_dir):
+    f = ML.fit(spark, sf_dir)
+    return SC.score_messages(requests(_msg(spark, sf_dir)), f.model).select(*SCORE_COLS)
+
+
+def keyword_model():
+    """Stand-in second model with a closed form: sigmoid(hits - 1.5), hits =
+    number of risk phrases contained in the lower-cased text."""
+    def make():
+        import numpy as np
+
+        words = S.AUTHORITY_KEYWORDS + S.URGENCY_KEYWORDS
+
+        def predict(texts):
+            hits = np.array([sum(w in str(t).lower() for w in words) for t in texts], dtype=float)
+            return 1.0 / (1.0 + np.exp(-(hits - 1.5)))
+        return predict
+    return SC.SecondModel(make, batch_size=256)
+
+
+@query
+def second_model(spark, sf_dir):
+    f = ML.fit(spark, sf_dir)
+    out = SC.score_messages(requests(_msg(spark, sf_dir)), f.model, second=keyword_model())
+    return out.select(*SCORE_COLS, "roberta_enabled")
+
+
+@query
+def audit_log(spark, sf_dir):
+    f = ML.fit(spark, sf_dir)
+    rec = SC.audit_records(SC.score_messages(requests(_msg(spark, sf_dir)), f.model))
+    schema = "timestamp string, probability double, risk_tier string, is_malicious boolean, mode string, " \
+             "channel string, text_length int"
+    return rec.select(F.from_json("value", schema).alias("r")).select("r.*").drop("timestamp")
+
+
+FLAGSHIP = "scored_messages"
