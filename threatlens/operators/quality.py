@@ -119,3 +119,58 @@ def health_report(df: DataFrame, by: str = "source_dataset") -> DataFrame:
         pct(F.count_if(F.col("timestamp").isNull())).alias("missing_timestamp_pct"),
         pct(F.count_if(F.col("attack_label") == "benign")).alias("benign_pct"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Request validation
+# ---------------------------------------------------------------------------
+
+def _text_rules(t):
+    from ..functions.text import is_blank
+
+    n = F.length(t)
+    return [
+        F.when(t.isNull(), F.lit("text: field required")),
+        F.when(n < 1, F.lit("text: at least 1 character")),
+        F.when(n > S.MAX_REQUEST_CHARS, F.lit(f"text: at most {S.MAX_REQUEST_CHARS} characters")),
+        F.when((n >= 1) & (n <= S.MAX_REQUEST_CHARS) & is_blank(t), F.lit("text: cannot be empty or whitespace only")),
+    ]
+
+
+def validate_requests(req: DataFrame, text: str = "text", channel: str = "channel", mode: str = "mode") -> DataFrame:
+    """Single prediction requests: text 1..50,000 characters and not blank,
+    channel and mode in their sets (case-folded; missing -> default).
+    Adds ``violations`` (array), ``accepted`` and the normalised channel/mode."""
+    ch = F.coalesce(F.col(channel), F.lit("unknown"))
+    md = F.coalesce(F.col(mode), F.lit(S.DEFAULT_MODE))
+    rules = _text_rules(F.col(text)) + [
+        F.when(~F.lower(ch).isin(*S.CHANNELS), F.lit("channel: must be one of email, sms, unknown")),
+        F.when(~F.lower(md).isin(*S.MODE_THRESHOLDS), F.lit("mode: must be one of balanced, high_recall, low_fp")),
+    ]
+    v = F.array_compact(F.array(*rules))
+    return req.select("*", v.alias("violations"), (F.size(v) == 0).alias("accepted"),
+                      F.lower(ch).alias("channel_norm"), F.lower(md).alias("mode_norm"))
+
+
+def validate_batches(batches: DataFrame, messages: str = "messages", mode: str = "mode") -> DataFrame:
+    """Batch requests: 1..100 messages, every item's text valid (items have
+    no channel rule), mode in its set. Adds ``violations`` and ``accepted``."""
+    n = F.size(F.col(messages))
+    bad_item = F.exists(F.col(messages), lambda m: F.size(F.array_compact(F.array(*_text_rules(m["text"])))) > 0)
+    md = F.coalesce(F.col(mode), F.lit(S.DEFAULT_MODE))
+    v = F.array_compact(F.array(
+        F.when(F.col(messages).isNull() | (n < 1), F.lit("messages: at least 1 item")),
+        F.when(n > S.MAX_BATCH, F.lit(f"messages: at most {S.MAX_BATCH} items")),
+        F.when(F.coalesce(bad_item, F.lit(False)), F.lit("messages: invalid item text")),
+        F.when(~F.lower(md).isin(*S.MODE_THRESHOLDS), F.lit("mode: must be one of balanced, high_recall, low_fp")),
+    ))
+    return batches.select("*", v.alias("violations"), (F.size(v) == 0).alias("accepted"))
+
+
+def batch_items(batches: DataFrame, key: str = "batch_id", messages: str = "messages", mode: str = "mode") -> DataFrame:
+    """Accepted batches -> one row per item with its input ``index``."""
+    ok = batches.where("accepted")
+    return ok.select(key, F.lower(F.coalesce(F.col(mode), F.lit(S.DEFAULT_MODE))).alias("mode"),
+                     F.posexplode(messages).alias("index", "m")).select(
+        key, "index", F.col("m.text").alias("text"),
+        F.coalesce(F.col("m.channel"), F.lit("unknown")).alias("channel"), "mode")

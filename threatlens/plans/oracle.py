@@ -482,3 +482,55 @@ ORACLE["audit_log"] = model_sql(f"""
 SELECT probability, risk_tier, is_malicious, mode, channel, text_length FROM (
   {_score_out('first', '0.0')}, CAST(coalesce(length(text), 0) AS INTEGER) AS text_length FROM req_first)
 WHERE error IS NULL""", *SCORE_CTES)
+
+# ---------------------------------------------------------------------------
+# Validation, sanitising, labels, sentinels, file round trips
+# ---------------------------------------------------------------------------
+
+_TXT_RULES = [
+    ("text IS NULL", "text: field required"),
+    ("length(text) < 1", "text: at least 1 character"),
+    (f"length(text) > {S.MAX_REQUEST_CHARS}", f"text: at most {S.MAX_REQUEST_CHARS} characters"),
+    (f"length(text) BETWEEN 1 AND {S.MAX_REQUEST_CHARS} AND {Q.is_blank('text')}",
+     "text: cannot be empty or whitespace only"),
+    ("lower(coalesce(channel, 'unknown')) NOT IN ('email', 'sms', 'unknown')",
+     "channel: must be one of email, sms, unknown"),
+    (f"lower(coalesce(mode, 'balanced')) NOT IN ({_MODES})", "mode: must be one of balanced, high_recall, low_fp"),
+]
+_VIOL = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {Q.q(m)} END" for c, m in _TXT_RULES) + "], lambda x: x IS NOT NULL)"
+
+ORACLE["request_validation"] = with_ctes(SCORE_CTES[0], body=f"""
+SELECT id, len(v) = 0 AS accepted, array_to_string(v, '; ') AS violations,
+       lower(coalesce(channel, 'unknown')) AS channel_norm, lower(coalesce(mode, 'balanced')) AS mode_norm
+FROM (SELECT *, {_VIOL} AS v FROM req)""")
+
+ORACLE["sanitized_text"] = with_ctes(body=f"""
+SELECT id, {Q.sanitize('body')} AS sanitized, {Q.preprocess('body')} AS preprocessed,
+       length(replace(coalesce(body, ''), chr(0), '')) > {S.MAX_CHAR_LENGTH} AS was_truncated
+FROM msg""")
+
+_NA = ", ".join(Q.q(v) for v in S.NA_SENTINELS)
+ORACLE["null_sentinels"] = with_ctes(body="SELECT id, " + ", ".join(
+    f"CASE WHEN {c} NOT IN ({_NA}) THEN {c} END AS {c}" for c in ("body", "subject", "sender", "date_raw", "attack_label"))
+    + " FROM msg")
+
+ORACLE["label_columns"] = corpus_sql("""
+SELECT message_id, attack_label,
+       CAST(coalesce(attack_label = 'smishing', false) AS INTEGER) AS y_smishing,
+       CAST(coalesce(attack_label IN ('smishing', 'phishing'), false) AS INTEGER) AS y_malicious
+FROM corpus""")
+
+ORACLE["file_roundtrip"] = ORACLE["master_corpus"]
+ORACLE["corpus_parquet"] = ORACLE["master_corpus"]
+
+ORACLE["mail_csv_headers"] = with_ctes(MAIL_TEXTS_SQL, body=f"""
+SELECT file AS file_path, {', '.join(f'{_extract(p)} AS "{k}"' for k, p in _HDR.items())}
+FROM (SELECT file, coalesce(message, 'nan') AS m FROM mail_texts
+      UNION ALL SELECT 'file', 'message')""")
+
+ORACLE["stored_predictions"] = model_sql(f"""
+SELECT tn, fp, fn, tp, {_PRF}, a.roc_auc FROM cm,
+  (SELECT round(CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * sum(pos) * sum(neg)), 9) AS roc_auc
+   FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+         FROM (SELECT prob AS s, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM preds GROUP BY prob))) a""",
+    CM_CTE)

@@ -22,6 +22,9 @@ from ..operators import mining as M
 from ..operators import quality as Q
 from ..operators import sampling as SP
 from ..operators import scoring as SC
+from ..functions import text as X
+from ..session import scratch_path
+from ..sources import files as IO
 from ..sources.mail import extract_headers
 from . import corpus as CP
 from . import modelling as ML
@@ -262,15 +265,16 @@ def requests(msg):
     return msg.select("id", F.col("body").alias("text"), channel.alias("channel"), mode.alias("mode"))
 
 
-SCORE_COLS = ["id", "probability", "risk_tier", "is_malicious", "tfidf_score", "roberta_score",
-              F.col("channel_out").alias("channel"), F.col("mode_out").alias("mode"), "threshold", "error",
-              "was_truncated"]
+def score_cols():
+    return ["id", "probability", "risk_tier", "is_malicious", "tfidf_score", "roberta_score",
+            F.col("channel_out").alias("channel"), F.col("mode_out").alias("mode"), "threshold", "error",
+            "was_truncated"]
 
 
 @query
 def scored_messages(spark, sf_dir):
     f = ML.fit(spark, sf_dir)
-    return SC.score_messages(requests(_msg(spark, sf_dir)), f.model).select(*SCORE_COLS)
+    return SC.score_messages(requests(_msg(spark, sf_dir)), f.model).select(*score_cols())
 
 
 def keyword_model():
@@ -292,7 +296,7 @@ def keyword_model():
 def second_model(spark, sf_dir):
     f = ML.fit(spark, sf_dir)
     out = SC.score_messages(requests(_msg(spark, sf_dir)), f.model, second=keyword_model())
-    return out.select(*SCORE_COLS, "roberta_enabled")
+    return out.select(*score_cols(), "roberta_enabled")
 
 
 @query
@@ -304,4 +308,76 @@ def audit_log(spark, sf_dir):
     return rec.select(F.from_json("value", schema).alias("r")).select("r.*").drop("timestamp")
 
 
+# ---------------------------------------------------------------------------
+# Validation, sanitising, labels, sentinels
+# ---------------------------------------------------------------------------
+
+@query
+def request_validation(spark, sf_dir):
+    v = Q.validate_requests(requests(_msg(spark, sf_dir)))
+    return v.select("id", "accepted", F.array_join("violations", "; ").alias("violations"),
+                    "channel_norm", "mode_norm")
+
+
+@query
+def sanitized_text(spark, sf_dir):
+    m = _msg(spark, sf_dir)
+    return m.select("id", X.sanitize("body").alias("sanitized"), X.preprocess("body").alias("preprocessed"),
+                    X.was_truncated("body").alias("was_truncated"))
+
+
+@query
+def null_sentinels(spark, sf_dir):
+    m = _msg(spark, sf_dir).select("id", "body", "subject", "sender", "date_raw", "attack_label")
+    return IO.na_sentinels(m, ["body", "subject", "sender", "date_raw", "attack_label"])
+
+
+@query
+def label_columns(spark, sf_dir):
+    return _corpus(spark, sf_dir).select("message_id", "attack_label", C.label_smishing().alias("y_smishing"),
+                                         C.label_malicious().alias("y_malicious"))
+
+
+# ---------------------------------------------------------------------------
+# File round trips (written to the shared scratch folder, read back)
+# ---------------------------------------------------------------------------
+
+@query
+def file_roundtrip(spark, sf_dir):
+    """Master corpus -> CSV (quoted multi-line text) -> read with the schema."""
+    path = scratch_path(spark, "corpus-csv")
+    IO.write_table(_corpus(spark, sf_dir), path, fmt="csv")
+    return comparable(IO.read_csv(spark, path, S.CANONICAL_SCHEMA, null_value=IO.CSV_NULL))
+
+
+@query
+def corpus_parquet(spark, sf_dir):
+    """Master corpus -> parquet partitioned by channel -> read back."""
+    path = scratch_path(spark, "corpus-parquet")
+    IO.write_table(_corpus(spark, sf_dir), path, partition_by="channel")
+    return comparable(spark.read.parquet(path).select(*S.CANONICAL_COLUMNS))
+
+
+@query
+def mail_csv_headers(spark, sf_dir):
+    """Raw mail CSV (header row) read with imposed names: the header line
+    stays as data; then the regex header table."""
+    path = scratch_path(spark, "mail-csv")
+    IO.write_table(mail_texts(_msg(spark, sf_dir)), path, fmt="csv", header=True)
+    return extract_headers(IO.read_csv_named(spark, path, null_value=IO.CSV_NULL))
+
+
+@query
+def stored_predictions(spark, sf_dir):
+    """Test-fold predictions written as (true_label, pred_label, prob_malicious),
+    read back and evaluated: confusion counts, P/R/F1, ROC-AUC."""
+    path = scratch_path(spark, "predictions")
+    IO.write_predictions(_test_preds(spark, sf_dir), path)
+    p = IO.read_predictions(spark, path).select(F.col("true_label").alias("y"), F.col("pred_label").alias("pred"),
+                                                 F.col("prob_malicious").alias("prob"))
+    m = EV.class_metrics(EV.confusion(p)).withColumn("k", F.lit(1))
+    a = EV.roc_auc(p).select("roc_auc").withColumn("k", F.lit(1))
+    return EV.rounded(m.join(a, "k").drop("k"))
+
+
 FLAGSHIP = "scored_messages"
