@@ -534,3 +534,30 @@ SELECT tn, fp, fn, tp, {_PRF}, a.roc_auc FROM cm,
    FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
          FROM (SELECT prob AS s, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM preds GROUP BY prob))) a""",
     CM_CTE)
+
+# ---------------------------------------------------------------------------
+# Streams: same results as the batch plans (accepted requests only)
+# ---------------------------------------------------------------------------
+
+_ACCEPTED = " AND ".join(f"NOT coalesce({c}, false)" for c, _ in _TXT_RULES)
+ORACLE["stream_scores"] = model_sql(_score_out("first", "0.0") + f" FROM req_first WHERE {_ACCEPTED}", *SCORE_CTES)
+ORACLE["stream_canonical"] = ORACLE["labeled_lines"]
+
+_KW_HITS_CLEAN = " + ".join(f"CASE WHEN contains(lower(pc), {Q.q(w)}) THEN 1 ELSE 0 END" for w in _KW)
+
+
+def _metrics_sql(name: str, src: str) -> str:
+    return f"""
+SELECT '{name}' AS model, {_PRF}, a.roc_auc FROM
+  (SELECT CAST(count_if(y = 0 AND pred = 1) AS BIGINT) AS fp, CAST(count_if(y = 1 AND pred = 0) AS BIGINT) AS fn,
+          CAST(count_if(y = 1 AND pred = 1) AS BIGINT) AS tp FROM {src}) c,
+  (SELECT round(CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * sum(pos) * sum(neg)), 9) AS roc_auc
+   FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+         FROM (SELECT prob AS s, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM {src} GROUP BY prob))) a"""
+
+
+ORACLE["compare_models"] = model_sql(
+    _metrics_sql("tfidf", "preds") + " UNION ALL " + _metrics_sql("keyword", "kw"),
+    f"""kw AS (SELECT id, y, prob, CAST(prob > 0.5 AS INTEGER) AS pred FROM (
+          SELECT id, y, round(CASE WHEN pc = '' THEN 0.0 ELSE 1.0 / (1.0 + exp(-(({_KW_HITS_CLEAN}) - 1.5))) END, 12) AS prob
+          FROM (SELECT *, {Q.preprocess('clean_text')} AS pc FROM preds)))""")

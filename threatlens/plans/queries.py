@@ -380,4 +380,68 @@ def stored_predictions(spark, sf_dir):
     return EV.rounded(m.join(a, "k").drop("k"))
 
 
+# ---------------------------------------------------------------------------
+# Streams (file source -> availableNow -> file sink, read back)
+# ---------------------------------------------------------------------------
+
+@query
+def stream_scores(spark, sf_dir):
+    """Requests arrive as parquet files; validated and scored per micro-batch."""
+    from ..streaming.streams import score_stream
+
+    f = ML.fit(spark, sf_dir)
+    src, out, rej, ck = (scratch_path(spark, n) for n in ("req-in", "scores-out", "rejects-out", "scores-ckpt"))
+    requests(_msg(spark, sf_dir)).write.parquet(src)
+    score_stream(spark, src, f.model, out, rej, ck).awaitTermination()
+    return spark.read.parquet(out).select(*score_cols())
+
+
+@query
+def stream_canonical(spark, sf_dir):
+    """SMS lines arrive as files; canonical rows appended by a streaming query."""
+    from ..streaming.streams import canonicalize_stream
+
+    src, out, ck = (scratch_path(spark, n) for n in ("lines-in", "canon-out", "canon-ckpt"))
+    tab_lines(_msg(spark, sf_dir)).write.parquet(src)
+    canonicalize_stream(spark, src, out, ck).awaitTermination()
+    return comparable(spark.read.parquet(out))
+
+
+# ---------------------------------------------------------------------------
+# Logistic model (Spark ML) and model comparison
+# ---------------------------------------------------------------------------
+
+@query
+def logistic_fit(spark, sf_dir):
+    """Balanced L2 logistic regression on the train fold; saved and loaded
+    back; one row per vocabulary term plus the intercept (term null)."""
+    from ..operators import model as MD
+
+    f = ML.fit(spark, sf_dir)
+    train = f.split.where(F.col("fold") == "train").select("id", "y")
+    m = MD.fit_logistic(train, f.train_tf.select("id", "term", "tf"), f.model.vocab.drop("coef"))
+    path = scratch_path(spark, "model")
+    MD.save_model(m, path)
+    back = MD.load_model(spark, path)
+    icpt = spark.createDataFrame([(None, None, float(back.intercept))], "term string, idx int, coef double")
+    return EV.rounded(back.vocab.select("term", "idx", "coef").unionByName(icpt), 6)
+
+
+@query
+def compare_models(spark, sf_dir):
+    """Precision / recall / F1 / ROC-AUC of the linear model and the second
+    (keyword) model on the same test fold."""
+    p = _test_preds(spark, sf_dir)
+    second = keyword_model().column(X.preprocess("clean_text"))
+    k = (p.select("id", "y", F.round(F.when(X.preprocess("clean_text") == "", F.lit(0.0)).otherwise(second), 12)
+                  .alias("prob"))
+          .withColumn("pred", (F.col("prob") > 0.5).cast("int")))
+    rows = []
+    for name, d in (("tfidf", p.select("id", "y", "prob", "pred")), ("keyword", k)):
+        m = EV.class_metrics(EV.confusion(d)).select("precision", "recall", "f1").withColumn("j", F.lit(1))
+        a = EV.roc_auc(d).select("roc_auc").withColumn("j", F.lit(1))
+        rows.append(m.join(a, "j").drop("j").select(F.lit(name).alias("model"), "*"))
+    return EV.rounded(rows[0].unionByName(rows[1]))
+
+
 FLAGSHIP = "scored_messages"
