@@ -1,7 +1,7 @@
 """Raw sources -> the 14-column canonical message table, and the union.
 
 Each canonicaliser is a lazy DataFrame -> DataFrame function made of one
-projection (plus a filter); the union of all sources stays one plan.
+projection (plus a row filter); the union of all sources stays one plan.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import text as X
@@ -73,11 +74,15 @@ def line_counts(parsed: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def canonical_mail(raw: DataFrame, message_col: str = "message") -> DataFrame:
-    """Parsed mail -> canonical benign rows; unparsable or id-less mail dropped."""
+    """Parsed mail -> canonical benign rows; unparsable or id-less mail dropped.
+
+    The drop is a generator over a 0/1-element array rather than a filter: a
+    filter would be pushed below the parse and re-run its expressions.
+    """
     m = parse_mail(raw, message_col)
-    ok = m.where(F.col("mail.parse_ok") & (F.coalesce(F.col("mail.message_id"), F.lit("")) != ""))
+    keep = F.col("mail.parse_ok") & (F.coalesce(F.col("mail.message_id"), F.lit("")) != "")
     body = F.col("mail.body")
-    return ok.select(*_canonical(
+    row = F.struct(*_canonical(
         message_id=F.col("mail.message_id"),
         raw_text=body,
         clean_text=F.when(F.coalesce(body, F.lit("")) != "", X.clean_mail_text(body)),
@@ -93,6 +98,8 @@ def canonical_mail(raw: DataFrame, message_col: str = "message") -> DataFrame:
         source_dataset=F.lit(S.SOURCE_MAIL),
         confidence_label=F.lit("high"),
     ))
+    rows = F.when(F.coalesce(keep, F.lit(False)), F.array(row)).otherwise(F.array().cast(T.ArrayType(S.CANONICAL_SCHEMA)))
+    return m.select(F.inline(rows))
 
 
 # ---------------------------------------------------------------------------

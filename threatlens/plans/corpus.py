@@ -29,4 +29,10 @@ def canonical_sources(msg: DataFrame) -> dict[str, DataFrame]:
 
 
 def master_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.union_sources(list(canonical_sources(message_view(spark, sf_dir)).values()))
+    """The corpus as a written table (checkpoint in the shared folder): later
+    filters and reports read the scan instead of re-running -- or duplicating
+    through predicate pushdown -- the parsing and cleaning expressions."""
+    from ..session import checkpoint_root
+
+    checkpoint_root(spark)
+    return C.union_sources(list(canonical_sources(message_view(spark, sf_dir)).values())).checkpoint()

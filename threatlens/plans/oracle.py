@@ -260,15 +260,21 @@ SPLIT_CTES = (
 )
 
 
-def grams_sql(text: str) -> str:
-    toks = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+def toks_sql(text: str) -> str:
+    return rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+
+
+def grams_sql(toks: str) -> str:
+    """Unigrams + bigrams of a token-list column (a column, not an
+    expression: the lambda would re-evaluate an expression per element)."""
     return (f"list_concat({toks}, CASE WHEN len({toks}) >= 2 THEN list_transform(range(1, len({toks})), "
             f"lambda i: {toks}[i] || ' ' || {toks}[i + 1]) ELSE []::VARCHAR[] END)")
 
 
 MODEL_CTES = SPLIT_CTES + (
     f"""tf AS (SELECT id, y, fold, term, count(*) AS tf
-              FROM (SELECT id, y, fold, unnest({grams_sql('clean_text')}) AS term FROM split) GROUP BY ALL)""",
+              FROM (SELECT id, y, fold, unnest({grams_sql('toks')}) AS term
+                    FROM (SELECT id, y, fold, {toks_sql('clean_text')} AS toks FROM split)) GROUP BY ALL)""",
     "ntrain AS (SELECT count(*) AS n FROM split WHERE fold = 'train')",
     """stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf,
                        CAST(count_if(y = 1) AS BIGINT) AS df_pos, CAST(count_if(y = 0) AS BIGINT) AS df_neg
@@ -314,7 +320,7 @@ SELECT attack_label, message_id, source_dataset, substring(clean_text, 1, 100) A
 
 ORACLE["ngram_counts"] = corpus_sql(rf"""
 SELECT id, CAST(len(toks) AS INTEGER) AS n_unigrams, CAST(greatest(len(toks) - 1, 0) AS INTEGER) AS n_bigrams,
-       CAST(len(list_distinct({grams_sql('clean_text')})) AS INTEGER) AS n_distinct_terms
+       CAST(len(list_distinct({grams_sql('toks')})) AS INTEGER) AS n_distinct_terms
 FROM (SELECT *, regexp_extract_all(lower(clean_text), '[\p{{L}}\p{{N}}_]{{2,}}') AS toks FROM labelled)""",
                                     LABELLED_CTE)
 
@@ -432,7 +438,8 @@ SCORE_CTES = (
   FROM msg)""",
     f"req_pre AS (SELECT *, {Q.preprocess('text')} AS pre FROM req)",
     f"""req_tf AS (SELECT id, term, count(*) AS tf
-                 FROM (SELECT id, unnest({grams_sql('pre')}) AS term FROM req_pre WHERE pre <> '') GROUP BY ALL)""",
+                 FROM (SELECT id, unnest({grams_sql('toks')}) AS term
+                       FROM (SELECT id, {toks_sql('pre')} AS toks FROM req_pre WHERE pre <> '')) GROUP BY ALL)""",
     """req_dot AS (
   SELECT id, sum(raw_w * coef) AS dot, sum(raw_w * raw_w) AS norm2
   FROM (SELECT r.id, (1 + ln(r.tf)) * v.idf AS raw_w, v.coef FROM req_tf r JOIN vocab v USING (term)) GROUP BY id)""",
