@@ -34,8 +34,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register ``fn``; the session runs in UTC (dates without an offset are
+    read as UTC and timestamps are rendered in UTC)."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def comparable(df: DataFrame) -> DataFrame:
