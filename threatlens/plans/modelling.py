@@ -43,7 +43,21 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SP.stratified_split(lab, "y", "id").checkpoint()
 
 
+_FITTED: dict = {}
+
+
 def fit(spark: SparkSession, sf_dir: str, vocab_size: int = S.VOCAB_SIZE_V2) -> Fitted:
+    """Split + vocabulary + model, fitted once per session and input (the
+    pieces are checkpointed tables) and reused by every evaluation/scoring query."""
+    from .corpus import input_key
+
+    key = input_key(spark, sf_dir) + (vocab_size,)
+    if key not in _FITTED:
+        _FITTED[key] = _fit(spark, sf_dir, vocab_size)
+    return _FITTED[key]
+
+
+def _fit(spark: SparkSession, sf_dir: str, vocab_size: int) -> Fitted:
     sp = split(spark, sf_dir)
     train = sp.where(F.col("fold") == "train")
     n_train = train.count()
