@@ -71,17 +71,11 @@ def classification_report(pred: DataFrame, y: str = "y", p: str = "pred",
     return out.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-def roc_auc(pred: DataFrame, y: str = "y", score: str = "prob", ranges: int = 1024) -> DataFrame:
-    """Area under the ROC curve with ties counted half.
-
-    AUC = sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N). Rows are first
-    aggregated per distinct score; distinct scores are split into
-    ``ranges`` equal-count score ranges (approximate quantiles, a bounded
-    list); a running sum inside each range plus the exact negative count
-    of all lower ranges gives neg_below. Integer arithmetic until the end.
-    """
+def _ranked_scores(pred: DataFrame, y: str, score: str, ranges: int, extra=()) -> DataFrame:
+    """Per distinct score: pos, neg (+ extra aggregates), and neg_below(s)
+    = negatives with a lower score, computed per score range."""
     per = pred.groupBy(F.col(score).alias("s")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"), *extra)
     bounds = []
     if ranges > 1:
         qs = per.approxQuantile("s", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))
@@ -99,11 +93,36 @@ def roc_auc(pred: DataFrame, y: str = "y", score: str = "prob", ranges: int = 10
             Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("r", "neg_before")
     within = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("neg_in", F.coalesce(F.sum("neg").over(within), F.lit(0)))
-    per = per.join(F.broadcast(below_r), "r")  # one row per range
+    return per.join(F.broadcast(below_r), "r")  # one row per range (<= ranges rows)
+
+
+def _auc_expr() -> Column:
     u2 = F.sum(F.col("pos") * (2 * (F.col("neg_before") + F.col("neg_in")) + F.col("neg")))
-    return per.agg(
-        F.try_divide(u2.cast("double"), (F.lit(2) * F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"),
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    return F.try_divide(u2.cast("double"), (F.lit(2) * F.sum("pos") * F.sum("neg")).cast("double"))
+
+
+def roc_auc(pred: DataFrame, y: str = "y", score: str = "prob", ranges: int = 1024) -> DataFrame:
+    """Area under the ROC curve with ties counted half.
+
+    AUC = sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N). Rows are first
+    aggregated per distinct score; distinct scores are split into
+    ``ranges`` equal-count score ranges (approximate quantiles, a bounded
+    list); a running sum inside each range plus the exact negative count
+    of all lower ranges gives neg_below. Integer arithmetic until the end.
+    """
+    per = _ranked_scores(pred, y, score, ranges)
+    return per.agg(_auc_expr().alias("roc_auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+
+
+def evaluation_summary(pred: DataFrame, y: str = "y", p: str = "pred", score: str = "prob",
+                       ranges: int = 1024) -> DataFrame:
+    """tn, fp, fn, tp, precision, recall, f1 and roc_auc in one plan (the
+    confusion counts ride along in the per-score aggregation)."""
+    cells = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
+    extra = [F.count_if((F.col(y) == a) & (F.col(p) == b)).alias(f"_{k}") for k, (a, b) in cells.items()]
+    per = _ranked_scores(pred, y, score, ranges, extra)
+    agg = per.agg(*[F.sum(f"_{k}").alias(k) for k in cells], _auc_expr().alias("roc_auc"))
+    return class_metrics(agg).select("tn", "fp", "fn", "tp", "precision", "recall", "f1", "roc_auc")
 
 
 def sweep_step(score: Column) -> Column:

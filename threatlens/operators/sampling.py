@@ -11,7 +11,8 @@ without sorting a whole group in one task:
 4. rows below that bucket are in, rows above are out, and only the rows
    of the cut bucket (about n / 2^20 per group) are ranked by full hash.
 
-The per-group cut table has one row per group, so broadcasting it is safe.
+The per-group cut table has one row per group (per class), read back as
+scalars and applied with map lookups.
 """
 
 from __future__ import annotations
@@ -32,37 +33,45 @@ def _bucket(h: Column) -> Column:
     return F.conv(F.substring(h, 1, BUCKET_HEX), 16, 10).cast("bigint")
 
 
-def smallest_by_hash(df: DataFrame, key: str, take: DataFrame, group: str | None = None,
+def smallest_by_hash(df: DataFrame, key: str, k, group: str | None = None,
                      seed: int = S.RANDOM_STATE, out: str = "selected") -> DataFrame:
     """Marks (``out``) the ``k`` rows of each group with the smallest hash.
 
-    ``take`` holds (group, k) -- or a single column ``k`` without groups.
+    ``k`` is an int (min(k, group size) per group) or a dict group value -> k.
+    The cut table (one row per group, e.g. per class) is read back as bounded
+    scalars and applied as map lookups: no join, no data through the driver.
     """
-    g = group or "_g"
     d = df.withColumn("_h", hash_key(F.col(key), seed)).withColumn("_b", _bucket(F.col("_h")))
-    if group is None:
-        d = d.withColumn(g, F.lit(0))
-        take = take.withColumn(g, F.lit(0))
-    hist = d.groupBy(g, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(g).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gcols = [group] if group else []
+    hist = d.groupBy(*gcols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    part = Window.partitionBy(*gcols)
+    w = part.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # <= 2^20 rows per group
     cum = hist.withColumn("_incl", F.sum("_n").over(w)).withColumn("_before", F.col("_incl") - F.col("_n"))
-    cut = (cum.join(F.broadcast(take.select(g, F.col("k").alias("_k"))), g)
-              .where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_incl")))
-              .select(g, F.col("_b").alias("_cut"), (F.col("_k") - F.col("_before")).alias("_need")))
-    j = d.join(F.broadcast(cut), g, "left")
-    in_cut = F.col("_b") == F.col("_cut")
-    rank = F.row_number().over(Window.partitionBy(g).orderBy("_h", key))
-    edge = j.where(in_cut).withColumn(out, rank <= F.col("_need"))
-    rest = j.where(~F.coalesce(in_cut, F.lit(False))).withColumn(
-        out, F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
-    res = edge.unionByName(rest).drop("_h", "_b", "_cut", "_need")
-    return res.drop("_g") if group is None else res
+    if isinstance(k, dict):
+        kk = F.create_map(*[x for g, v in k.items() for x in (F.lit(g), F.lit(int(v)))])[F.col(group)]
+    else:
+        kk = F.least(F.lit(int(k)), F.sum("_n").over(part))
+    cut_rows = (cum.withColumn("_k", kk).where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_incl")))
+                .select(*gcols, "_b", (F.col("_k") - F.col("_before")).alias("_need")).collect())
+    if not cut_rows:
+        return d.withColumn(out, F.lit(False)).drop("_h", "_b")
+
+    def lookup(field):
+        if not group:
+            return F.lit(cut_rows[0][field])
+        return F.create_map(*[x for r in cut_rows for x in (F.lit(r[group]), F.lit(r[field]))])[F.col(group)]
+
+    cut_b, need = lookup("_b"), lookup("_need")
+    in_cut = F.coalesce(F.col("_b") == cut_b, F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*gcols).orderBy("_h", key))  # cut-bucket rows only
+    edge = d.where(in_cut).withColumn(out, rank <= need)
+    rest = d.where(~in_cut).withColumn(out, F.coalesce(F.col("_b") < cut_b, F.lit(False)))
+    return edge.unionByName(rest).drop("_h", "_b")
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = S.RANDOM_STATE) -> DataFrame:
     """Exactly min(n, rows) rows, reproducible across partitionings."""
-    take = df.agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("k"))
-    return smallest_by_hash(df, key, take, None, seed).where("selected").drop("selected")
+    return smallest_by_hash(df, key, n, None, seed).where("selected").drop("selected")
 
 
 def test_counts(class_counts: list[tuple[int, int]], test_size: float = S.TEST_SIZE) -> dict[int, int]:
@@ -88,9 +97,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = S.T
     md5(seed, key) form the test fold; class shares kept exactly."""
     counts = [(r[0], r[1]) for r in df.groupBy(label).count().collect()]  # one row per class
     k = test_counts(counts, test_size)
-    spark = df.sparkSession
-    take = spark.createDataFrame([(c, int(v)) for c, v in k.items()], f"{label} int, k long")
-    marked = smallest_by_hash(df, key, take, label, seed, out="_test")
+    marked = smallest_by_hash(df, key, k, label, seed, out="_test")
     return marked.withColumn("fold", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 

@@ -384,9 +384,7 @@ def stored_predictions(spark, sf_dir):
     IO.write_predictions(_test_preds(spark, sf_dir), path)
     p = IO.read_predictions(spark, path).select(F.col("true_label").alias("y"), F.col("pred_label").alias("pred"),
                                                  F.col("prob_malicious").alias("prob"))
-    m = EV.class_metrics(EV.confusion(p)).withColumn("k", F.lit(1))
-    a = EV.roc_auc(p).select("roc_auc").withColumn("k", F.lit(1))
-    return EV.rounded(m.join(a, "k").drop("k"))
+    return EV.rounded(EV.evaluation_summary(p))
 
 
 # ---------------------------------------------------------------------------
@@ -445,11 +443,8 @@ def compare_models(spark, sf_dir):
     k = (p.select("id", "y", F.round(F.when(X.preprocess("clean_text") == "", F.lit(0.0)).otherwise(second), 12)
                   .alias("prob"))
           .withColumn("pred", (F.col("prob") > 0.5).cast("int")))
-    rows = []
-    for name, d in (("tfidf", p.select("id", "y", "prob", "pred")), ("keyword", k)):
-        m = EV.class_metrics(EV.confusion(d)).select("precision", "recall", "f1").withColumn("j", F.lit(1))
-        a = EV.roc_auc(d).select("roc_auc").withColumn("j", F.lit(1))
-        rows.append(m.join(a, "j").drop("j").select(F.lit(name).alias("model"), "*"))
+    rows = [EV.evaluation_summary(d).select(F.lit(name).alias("model"), "precision", "recall", "f1", "roc_auc")
+            for name, d in (("tfidf", p.select("id", "y", "prob", "pred")), ("keyword", k))]
     return EV.rounded(rows[0].unionByName(rows[1]))
 
 
