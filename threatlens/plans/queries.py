@@ -23,7 +23,7 @@ from ..operators import quality as Q
 from ..operators import sampling as SP
 from ..operators import scoring as SC
 from ..functions import text as X
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources import files as IO
 from ..sources.mail import extract_headers
 from . import corpus as CP
@@ -41,6 +41,7 @@ def query(fn):
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
