@@ -41,11 +41,13 @@ def parse_labeled_lines(lines: DataFrame, value_col: str = "value") -> DataFrame
 
 
 def canonical_sms(parsed: DataFrame, key_col: str = "line_no") -> DataFrame:
-    """Accepted SMS lines -> canonical rows (spam -> smishing/exploit + tactic)."""
-    ok = parsed.where("accepted")
+    """Accepted SMS lines -> canonical rows (spam -> smishing/exploit + tactic).
+
+    Rejected lines are dropped by a generator over a 0/1-element array (a
+    filter would be pushed below the parse and re-run it)."""
     spam = F.col("label") == "spam"
     msg = F.col("message")
-    return ok.select(*_canonical(
+    row = F.struct(*_canonical(
         message_id=X.stable_id(F.lit(S.SOURCE_SMS), F.col(key_col), msg),
         raw_text=msg,
         clean_text=X.clean_sms(msg),
@@ -61,6 +63,8 @@ def canonical_sms(parsed: DataFrame, key_col: str = "line_no") -> DataFrame:
         source_dataset=F.lit(S.SOURCE_SMS),
         confidence_label=F.lit("high"),
     ))
+    rows = F.when(F.col("accepted"), F.array(row)).otherwise(F.array().cast(T.ArrayType(S.CANONICAL_SCHEMA)))
+    return parsed.select(F.inline(rows))
 
 
 def line_counts(parsed: DataFrame) -> DataFrame:
