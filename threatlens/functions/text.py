@@ -79,7 +79,8 @@ def clean_mail_body(c) -> Column:
     return F.nullif(py_strip(t), F.lit(""))
 
 
-HEADER_LINE_PATTERN = "(?imdu)" + "|".join(f"^{h}:.*$" for h in S.RESIDUAL_HEADERS)
+# one line-start test per position; the same lines as "^h1:.*$|^h2:.*$|..."
+HEADER_LINE_PATTERN = "(?imdu)^(?:" + "|".join(S.RESIDUAL_HEADERS) + "):.*$"
 
 
 def strip_residual_headers(c) -> Column:
