@@ -568,3 +568,31 @@ ORACLE["compare_models"] = model_sql(
     f"""kw AS (SELECT id, y, prob, CAST(prob > 0.5 AS INTEGER) AS pred FROM (
           SELECT id, y, round(CASE WHEN pc = '' THEN 0.0 ELSE 1.0 / (1.0 + exp(-(({_KW_HITS_CLEAN}) - 1.5))) END, 12) AS prob
           FROM (SELECT *, {Q.preprocess('clean_text')} AS pc FROM preds)))""")
+
+# ---------------------------------------------------------------------------
+# Loading and batch requests
+# ---------------------------------------------------------------------------
+
+ORACLE["load_sources"] = """
+SELECT 'documents' AS dataset, count(*) AS rows FROM documents
+UNION ALL SELECT 'labels', count(*) FROM labels"""
+
+_BAD_ITEM = " OR ".join(f"coalesce({c}, false)" for c, _ in _TXT_RULES[:4])
+_BATCH_CTES = (
+    SCORE_CTES[0],
+    """b_req AS (
+  SELECT id, text, channel, id // 20 AS batch_id,
+         CASE WHEN (id // 20) % 7 = 6 THEN 'bogus' WHEN (id // 20) % 3 = 0 THEN 'balanced'
+              WHEN (id // 20) % 3 = 1 THEN 'high_recall' ELSE 'LOW_FP' END AS mode
+  FROM req)""",
+    f"""b_ok AS (
+  SELECT batch_id FROM b_req GROUP BY batch_id
+  HAVING count_if({_BAD_ITEM}) = 0 AND count(*) BETWEEN 1 AND {S.MAX_BATCH}
+     AND lower(any_value(mode)) IN ({_MODES}))""",
+) + tuple(c.replace("FROM req)", "FROM b_req WHERE batch_id IN (SELECT batch_id FROM b_ok))", 1)
+          .replace("SELECT *, ", "SELECT *, ", 1) for c in SCORE_CTES[1:])
+
+ORACLE["batch_predictions"] = model_sql(f"""
+SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY id) - 1 AS INTEGER) AS index, id,
+       probability, risk_tier, is_malicious, error
+FROM ({_score_out('first', '0.0')}, batch_id FROM req_first)""", *_BATCH_CTES)

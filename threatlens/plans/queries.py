@@ -449,4 +449,40 @@ def compare_models(spark, sf_dir):
     return EV.rounded(rows[0].unionByName(rows[1]))
 
 
+# ---------------------------------------------------------------------------
+# Loading and batch requests
+# ---------------------------------------------------------------------------
+
+@query
+def load_sources(spark, sf_dir):
+    """Named datasets loaded together (a missing one is fatal); rows per dataset."""
+    frames = IO.load_many(spark, {n: f"{sf_dir}/{n}.parquet" for n in ("documents", "labels")})
+    return C.union_sources([df.select(F.lit(n).alias("dataset")) for n, df in frames.items()]).groupBy(
+        "dataset").agg(F.count(F.lit(1)).alias("rows"))
+
+
+BATCH_SIZE = 20  # messages per batch request built from the message table
+
+
+@query
+def batch_predictions(spark, sf_dir):
+    """Messages grouped into batch requests of BATCH_SIZE (by id order); a batch
+    is validated as a whole, accepted batches are scored item by item and keep
+    each item's input index (3-field batch response + ids)."""
+    f = ML.fit(spark, sf_dir)
+    req = requests(_msg(spark, sf_dir))
+    b = F.col("batch_id")
+    mode = (F.when(b % 7 == 6, F.lit("bogus")).when(b % 3 == 0, F.lit("balanced"))
+            .when(b % 3 == 1, F.lit("high_recall")).otherwise(F.lit("LOW_FP")))
+    batches = req.groupBy((F.col("id") / BATCH_SIZE).cast("long").alias("batch_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "text", "channel"))),   # <= BATCH_SIZE items
+                    lambda m: F.struct(m["text"].alias("text"), m["channel"].alias("channel"),
+                                       m["id"].alias("id"))).alias("messages")).withColumn("mode", mode)
+    items = Q.batch_items(Q.validate_batches(batches))
+    ids = Q.validate_batches(batches).where("accepted").select(
+        "batch_id", F.posexplode("messages").alias("index", "m")).select("batch_id", "index", F.col("m.id").alias("id"))
+    scored = SC.score_messages(items.join(ids, ["batch_id", "index"]), f.model, id_col="id")
+    return scored.select("batch_id", "index", "id", *SC.api_batch(scored).columns, "error")
+
+
 FLAGSHIP = "scored_messages"
