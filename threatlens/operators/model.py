@@ -86,6 +86,19 @@ def doc_scores(tf: DataFrame, model: LinearModel) -> DataFrame:
     )
 
 
+def vocab_term_scores(docs: DataFrame, id_col: str, text_col: str, model: LinearModel) -> DataFrame:
+    """(id, dot, norm2, n_terms) straight from text: n-grams are joined with the
+    vocabulary map-side (broadcast when checked small) *before* the per-(doc,
+    term) aggregation, so only vocabulary terms are shuffled."""
+    d = docs.select(F.col(id_col).alias("id"), FE.tokens(text_col).alias("_tok"))
+    e = d.select("id", F.explode(FE.ngrams_of(F.col("_tok"))).alias("term"))
+    j = FE.join_vocab(e, model.vocab.select("term", "idf", "coef"), model.vocab_rows)
+    tf = j.groupBy("id", "term", "idf", "coef").agg(F.count(F.lit(1)).alias("tf"))
+    w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    return tf.groupBy("id").agg(F.sum(w * F.col("coef")).alias("dot"), F.sum(w * w).alias("norm2"),
+                                F.count(F.lit(1)).alias("n_terms"))
+
+
 def sigmoid(x):
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

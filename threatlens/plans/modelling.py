@@ -70,5 +70,9 @@ def _fit(spark: SparkSession, sf_dir: str, vocab_size: int) -> Fitted:
 
 def test_predictions(f: Fitted) -> DataFrame:
     test = f.split.where(F.col("fold") == "test")
-    tf = FE.term_counts(test, "id", "clean_text")
-    return MD.predict(test, tf, f.model)
+    s = MD.vocab_term_scores(test, "id", "clean_text", f.model)
+    d = MD.decision(F.col("dot"), F.col("norm2"), f.model.intercept)
+    return (test.join(s, "id", "left").withColumn("decision", d)
+                .withColumn("prob", MD.sigmoid(F.col("decision")))
+                .withColumn("pred", (F.col("decision") > 0).cast("int"))
+                .drop("dot", "norm2", "n_terms"))
