@@ -56,3 +56,36 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+# Rows a Python step handles at a time: bounds its lists whatever the Arrow batch holds.
+SLICE_ROWS = 256
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, out: str, factory, *args) -> DataFrame:
+    """Columns ``keep`` plus the columns ``out`` (DDL) that a per-text function gives.
+
+    ``factory(*args)`` runs once per task on the executor and returns
+    f(list of texts) -> one list per output column. Whole texts are handed
+    over; nulls stay None.
+    """
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(out)
+    src = df.select(*[F.col(c) for c in keep], F.col(text).alias(fresh(df, "_text")))
+    schema = T.StructType([src.schema[c] for c in keep] + list(new.fields))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in new.fields]
+        f = factory(*args)
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
+                cols = f(part.column(len(keep)).to_pylist())
+                arrays = [part.column(i) for i in range(len(keep))] + [pa.array(c, t) for c, t in zip(cols, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return src.mapInArrow(run, schema)

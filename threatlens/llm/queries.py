@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ship_package
-from . import mixture, quality_ledger, url_filter
+from . import bpe_codec, mixture, quality_ledger, secret_scan, url_filter
 from .common import table
 
+TOKENIZERS = "/opt/tokenizers"                     # folder of public vocabulary files
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -38,7 +42,27 @@ def op3_quality_rules(spark, sf_dir):
     return quality_ledger.apply_policy(quality_ledger.build_ledger(table(spark, sf_dir, "documents")), "v1")
 
 
+@query
+def op4_secret_scan(spark, sf_dir):
+    """Secret spans of all documents."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), BYTE_RANKS, ["doc_id"])
+    base = secret_scan.base_spans(F.col("spans"))
+    return found.select(
+        "doc_id", *[secret_scan.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.span_string(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_string(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_url_filter(spark, sf_dir):
     """Verdict for every page's URL under the contract's rules."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
+
+
+@query
+def op8_bpe_codec(spark, sf_dir):
+    """Encode and decode all documents."""
+    both = bpe_codec.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, ["doc_id"])
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
