@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ship_package
-from . import bpe_codec, mixture, quality_ledger, secret_scan, url_filter
-from .common import table
+from . import bpe_codec, language_id, mixture, quality_ledger, secret_scan, simhash_dedup, toxicity, url_filter
+from .common import doc_bucket, table
 
 TOKENIZERS = "/opt/tokenizers"                     # folder of public vocabulary files
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -30,6 +30,16 @@ def query(fn):
     return run
 
 
+@query
+def op1_language_id(spark, sf_dir):
+    """Language of every document; learned from those outside bucket 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(doc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    dictionaries = language_id.learn(docs, ~held_out)
+    return language_id.identify(docs, dictionaries, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op2_source_mixture(spark, sf_dir):
     """Mix all documents: per source target, per document words taken."""
@@ -66,3 +76,26 @@ def op8_bpe_codec(spark, sf_dir):
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def fitted_lexicon(docs, labels):
+    """The lexicon learned from labelled rows outside bucket 1 of 3."""
+    return toxicity.fit(docs, labels, F.coalesce(doc_bucket(F.col("doc_id"), 3) != 1, F.lit(False)))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = fitted_lexicon(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(doc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.score_toxicity(docs, lexicon, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", F.size("hits").cast("long").alias("n_hits"))
+
+
+@query
+def op10_simhash_dedup(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    members = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_dedup.component_ids(members).select(
+        "doc_id", simhash_dedup.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
