@@ -62,17 +62,18 @@ def fresh(df: DataFrame, base: str) -> str:
 SLICE_ROWS = 256
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, out: str, factory, *args) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str | list[str], out: str, factory, *args) -> DataFrame:
     """Columns ``keep`` plus the columns ``out`` (DDL) that a per-text function gives.
 
     ``factory(*args)`` runs once per task on the executor and returns
-    f(list of texts) -> one list per output column. Whole texts are handed
-    over; nulls stay None.
+    f(list of texts) -> one list per output column; with several ``text``
+    columns f takes one list of each. Whole texts are handed over; nulls stay None.
     """
     from pyspark.sql import types as T
 
     new = T.StructType.fromDDL(out)
-    src = df.select(*[F.col(c) for c in keep], F.col(text).alias(fresh(df, "_text")))
+    texts = [text] if isinstance(text, str) else text
+    src = df.select(*[F.col(c) for c in keep], *[F.col(c).alias(fresh(df, f"_text{i}")) for i, c in enumerate(texts)])
     schema = T.StructType([src.schema[c] for c in keep] + list(new.fields))
 
     def run(batches):
@@ -84,7 +85,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, out: str, factory, *arg
         for b in batches:
             for at in range(0, b.num_rows, SLICE_ROWS):
                 part = b.slice(at, SLICE_ROWS)
-                cols = f(part.column(len(keep)).to_pylist())
+                cols = f(*[part.column(len(keep) + i).to_pylist() for i in range(len(texts))])
                 arrays = [part.column(i) for i in range(len(keep))] + [pa.array(c, t) for c, t in zip(cols, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ship_package
-from . import bpe_codec, language_id, mixture, quality_ledger, secret_scan, simhash_dedup, toxicity, url_filter
+from . import (bpe_codec, language_id, mixture, nearest_neighbours, quality_ledger, secret_scan, simhash_dedup,
+               token_counts, toxicity, url_filter)
 from .common import doc_bucket, table
 
 TOKENIZERS = "/opt/tokenizers"                     # folder of public vocabulary files
@@ -63,6 +64,19 @@ def op4_secret_scan(spark, sf_dir):
         secret_scan.span_string(F.col("spans")).alias("spans"))
 
 
+@query
+def op5_nearest_neighbours(spark, sf_dir):
+    """The 5 nearest of every embedding whose id is divisible by 50, among all others."""
+    index = nearest_neighbours.build_index(table(spark, sf_dir, "embeddings"))
+    return nearest_neighbours.search(index, F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op6_token_counts(spark, sf_dir):
+    """Token counts of all documents before and after a scrub of personal data."""
+    return token_counts.recount(table(spark, sf_dir, "documents"), BYTE_RANKS, ["doc_id"])
+
+
 @query
 def op7_url_filter(spark, sf_dir):
     """Verdict for every page's URL under the contract's rules."""
