@@ -67,50 +67,70 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, max_ep
         "source", "source_size", F.least(cap.cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-                weights=WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = 17,
-                quality=quality_weight) -> DataFrame:
-    """(doc_id, size, source_size, target, epochs, selected, taken) for every row.
-
-    size: number of words (null or empty text: 0). taken = size * (epochs +
-    selected). A document is selected in the part epoch if at least half of it
-    fits into what the budget leaves after the documents before it, so a source
-    misses its target by half a document at most. Ties in the key fall to the
-    smaller id, then the smaller size; equal rows are interchangeable. Null
-    sources form one source; null ids draw their key from the text; extra
-    columns are ignored; an empty table gives an empty result.
-    """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"),
-                       n_words(F.col(text)).alias("size"))
-    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / quality(F.col("text"), F.col("size"))
-    sized = store(base.select("doc_id", "source", "size", key.alias("key")), "mix-sized")
-    sized = sized.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-
-    targets = source_targets(sized, weights, share, max_epochs)
+def _drawn(docs: DataFrame, doc_id: str, text: str, source: str, seed: int, quality, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` plus source, size, bucket and place (the order within a source)."""
+    base = docs.select(*[F.col(c) for c in keep], F.col(doc_id).alias("_id"), F.col(source).alias("_source"),
+                       F.col(text).alias("_text"), n_words(F.col(text)).alias("_size"))
+    key = -F.log(uniform(F.col("_id"), F.col("_text"), seed)) / quality(F.col("_text"), F.col("_size"))
+    base = base.select(*keep, "_id", "_source", "_size", key.alias("_key"))
+    return base.select(*keep, "_source", "_size", F.floor((1.0 - F.exp(-F.col("_key"))) * BUCKETS).cast("int").alias("_bucket"),
+                       F.struct(F.col("_key").alias("key"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"),
+                                F.col("_size").alias("size")).alias("_place"))
+
+
+def _plan(drawn: DataFrame, weights, share: float, max_epochs: int) -> DataFrame:
+    """One row per source: size, target, whole epochs, and the last place that the
+    part epoch takes (null: none)."""
+    drawn = drawn.select(F.col("_source").alias("source"), F.col("_size").alias("size"),
+                         F.col("_bucket").alias("bucket"), F.col("_place").alias("place"))
+    targets = source_targets(drawn, weights, share, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    targets = store(targets.withColumnRenamed("source", "t_source"), "mix-targets")
+    few = targets.count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else (lambda df: df)
 
     # running word totals of the key buckets: BUCKETS rows a source at most
-    hist = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    hist = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("through", F.sum("words").over(run)).withColumnRenamed("source", "h_source")
-    cut = (hist.join(targets, F.col("h_source").eqNullSafe(F.col("source")))
+    hist = hist.withColumn("through", F.sum("words").over(run))
+    cut = (hist.join(small(targets), F.col("source").eqNullSafe(F.col("t_source")))
            .where(F.col("through") > F.col("budget"))
-           .groupBy("h_source").agg(F.min(F.struct("bucket", (F.col("through") - F.col("words")).alias("before"))).alias("cut"))
-           .select("h_source", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.before").alias("cut_before")))
-    plan = store(targets.join(cut, F.col("source").eqNullSafe(F.col("h_source")), "left").drop("h_source")
-                 .withColumnRenamed("source", "t_source"), "mix-plan")
-    few = plan.count() <= BROADCAST_SOURCES
-    rows = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("t_source")))
-
-    # no cut bucket: the whole source fits into the budget (only with nothing left to take)
-    at_cut = F.col("bucket") == F.col("cut_bucket")
-    out = ["doc_id", "size", "source_size", "target", "epochs", "selected"]
-    clear = rows.where(~F.coalesce(at_cut, F.lit(False))).withColumn(
-        "selected", (F.col("size") > 0) & F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.col("budget") > 0))
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
-    through = F.col("cut_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = rows.where(F.coalesce(at_cut, F.lit(False))).withColumn(
-        "selected", (F.col("size") > 0) & (through - F.col("size") / 2 <= F.col("budget")))
-    return clear.select(*out).unionByName(ranked.select(*out)).withColumn(
-        "taken", F.col("size") * (F.col("epochs") + F.col("selected").cast("long")))
+           .groupBy("t_source").agg(F.min(F.struct("bucket", (F.col("through") - F.col("words")).alias("before"))).alias("cut"),
+                                    F.first("budget").alias("budget"))
+           .select(F.col("t_source").alias("c_source"), "budget", F.col("cut.bucket").alias("c_bucket"), F.col("cut.before").alias("before")))
+    cut = store(cut, "mix-cut")
+
+    # rank the rows of the one bucket in which the budget ends
+    order = Window.partitionBy("c_source").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = drawn.join(small(cut), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")))
+    ranked = ranked.withColumn("through", F.col("before") + F.sum("size").over(order))
+    last = ranked.where(F.col("through") - F.col("size") / 2 <= F.col("budget")).groupBy("c_source").agg(F.max("place").alias("last"))
+    ends = cut.join(small(last.withColumnRenamed("c_source", "l_source")), F.col("c_source").eqNullSafe(F.col("l_source")), "left")
+    return store(targets.join(small(ends.select("c_source", "c_bucket", "last")), F.col("t_source").eqNullSafe(F.col("c_source")), "left")
+                 .drop("c_source", "budget"), "mix-plan")
+
+
+def mix(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        weights=WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = 17, quality=quality_weight) -> DataFrame:
+    """Columns ``keep`` plus size, source_size, target, epochs, selected, taken for every row.
+
+    size: number of words (null or empty text: 0). taken = size * (epochs +
+    selected). A document is selected in the part epoch if at least half of it
+    fits into what the budget leaves after the documents before it, so a source
+    misses its target by half a document at most. Ties in the key fall to the
+    smaller id (null last), then the smaller size; rows equal in all three are
+    taken alike. Null sources form one source; null ids draw their key from the
+    text; an empty table gives an empty result.
+
+    Planning reads a narrow table (no text); applying the plan is one narrow
+    pass over ``docs``.
+    """
+    plan = _plan(store(_drawn(docs, doc_id, text, source, seed, quality, []), "mix-drawn"), weights, share, max_epochs)
+    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
+    rows = _drawn(docs, doc_id, text, source, seed, quality, keep)
+    rows = rows.join(small(plan), F.col("_source").eqNullSafe(F.col("t_source")))
+    chosen = (F.col("_bucket") < F.col("c_bucket")) | ((F.col("_bucket") == F.col("c_bucket")) & (F.col("_place") <= F.col("last")))
+    selected = (F.col("_size") > 0) & F.coalesce(chosen, F.lit(False))
+    return rows.select(*keep, F.col("_size").alias("size"), "source_size", "target", "epochs", selected.alias("selected"),
+                       (F.col("_size") * (F.col("epochs") + selected.cast("long"))).alias("taken"))

@@ -44,7 +44,7 @@ def op1_language_id(spark, sf_dir):
 @query
 def op2_source_mixture(spark, sf_dir):
     """Mix all documents: per source target, per document words taken."""
-    return mixture.mix_sources(table(spark, sf_dir, "documents"))
+    return mixture.mix(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @query
@@ -110,6 +110,5 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op10_simhash_dedup(spark, sf_dir):
     """Near-duplicate components of all documents."""
-    members = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
-    return simhash_dedup.component_ids(members).select(
+    return simhash_dedup.component_ids(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash_dedup.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")

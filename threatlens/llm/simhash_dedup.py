@@ -240,27 +240,54 @@ def components(pairs: DataFrame) -> DataFrame:
         now = store(_star(_star(now, True), False), "links")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, extra..., fp, root) for every row: ``root`` names the component of
-    the row's fingerprint (the smallest fingerprint of it as a long).
+def fingerprint_roots(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(node, root) for the fingerprints (column fp) that link to another one."""
+    distinct = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).select("fp")
+    return components(links(store(distinct, "distinct-fingerprints"), max_bits))
+
+
+def component_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                  max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: component_id is the smallest
+    non-null doc_id of the row's component.
 
     Null and blank texts have fingerprint 0 and are linked like any other.
     Repeated rows keep their rows, null ids stay null, other columns are
-    ignored and an empty table gives an empty result. The join back is skewed
-    where a third of all rows are copies; adaptive execution splits it.
+    ignored and an empty table gives an empty result. Minima are taken per
+    fingerprint first, so a group of copies is one row before it meets others;
+    the join back is skewed where a third of all rows are copies, which adaptive
+    execution splits.
     """
-    rows = store(fingerprints(docs, [doc_id, *extra], text, shingle), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).select("fp")
-    roots = components(links(store(distinct, "distinct-fingerprints"), max_bits))
-    return rows.join(roots, F.col("fp") == F.col("node"), "left").select(
-        F.col(doc_id).alias("doc_id"), *extra, "fp", F.coalesce("root", "fp").alias("root"))
-
-
-def component_ids(members: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest non-null doc_id of the component.
-    Minima are taken per fingerprint first, so a hot group is one small row
-    before it moves."""
-    per_fp = members.groupBy("root", "fp").agg(F.min("doc_id").alias("low"))
-    per_root = per_fp.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r")
-    return members.join(per_root, F.col("root") == F.col("r"), "left").select("doc_id", "fp", "component_id")
+    rows = store(fingerprints(docs, [doc_id], text, shingle).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
+    low = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    low = low.join(fingerprint_roots(rows, max_bits), F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"), "low")
+    by_root = low.groupBy("root").agg(F.min("low").alias("component_id")).withColumnRenamed("root", "r")
+    ids = low.join(by_root, F.col("root") == F.col("r")).select("node", "component_id")
+    return rows.join(ids, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
+
+
+BROADCAST_ROWS = 200_000   # row numbers that may be broadcast (< 10 MB)
+
+
+def keep_one(docs: DataFrame, keep: str, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """The column ``keep`` of one row per component: the one with the smallest id
+    (nulls last), of rows with the same id the first written.
+
+    Rows are numbered in a written table, so equal rows can be told apart and a
+    lost executor does not renumber them. The numbers of the rows to drop are
+    broadcast if they are few, else joined by shuffle (each occurs once: no skew).
+    """
+    rows = fingerprints(docs, [keep, doc_id], text, shingle).withColumnRenamed(doc_id, "k_id")
+    rows = store(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    narrow = rows.select("fp", F.struct(F.col("k_id").isNull().alias("none"), F.col("k_id").alias("id"), "row").alias("who"))
+    first = narrow.groupBy("fp").agg(F.min("who").alias("who"))
+    first = first.join(fingerprint_roots(rows, max_bits), F.col("fp") == F.col("node"), "left").select(
+        F.coalesce("root", "fp").alias("root"), "who")
+    kept = first.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.row").alias("k_row"))
+    dropped = store(narrow.select(F.col("who.row").alias("row")).join(kept, F.col("row") == F.col("k_row"), "left_anti"), "dropped")
+    dropped = dropped.withColumnRenamed("row", "d_row")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, F.col("row") == F.col("d_row"), "left_anti").select(keep)
