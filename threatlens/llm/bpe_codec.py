@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-CACHE_WORDS = 500_000   # entries (of about 200 bytes) kept per Python worker and cache; then it starts anew
+CACHE_WORDS = 200_000   # entries (of about 200 bytes) kept per Python worker and cache; then it starts anew
 KEEP_LENGTH = 64        # longer words are not kept
 SEGMENT = 1_000_000     # characters that are split into words at a time
-MAX_PAIRS = 1_000_000   # remembered pair tests
+MAX_PAIRS = 300_000   # remembered pair tests
 NO_LIMIT = 1 << 60
 
 
