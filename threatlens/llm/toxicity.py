@@ -57,12 +57,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 def _unsign(m: re.Match) -> str:
     s = m[0]
     letters = sum(map(str.isalpha, s))
-    return s.translate(_LEET) if letters * 2 >= len(s) and letters < len(s) else s
+    return s.translate(_LEET) if letters >= 2 and letters * 3 >= len(s) > letters else s
 
 
 def fold(text: str) -> str:
     """Lower case with look-alikes and digit substitutions undone. Digits and signs
-    change only inside words that are letters for at least one half."""
+    change only inside words with two letters or more, and a third of letters."""
     t = text
     if not t.isascii():
         if _FOREIGN.search(t):
