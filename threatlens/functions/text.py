@@ -153,16 +153,44 @@ TIMESTAMP_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd",
+    "yyyy-M-d HH:mm:ss",
+    "yyyy-M-d HH:mm",
+    "yyyy-M-d",
+    "M/d/yyyy HH:mm:ss",
+    "M/d/yyyy HH:mm",
+    "M/d/yyyy",
 ]
 
+# FIXED VALUES: the zone names that mail dates may carry.
+ZONE_OFFSETS = {"gmt": "+0000", "ut": "+0000", "utc": "+0000", "z": "+0000", "est": "-0500", "edt": "-0400", "cst": "-0600", "cdt": "-0500", "mst": "-0700", "mdt": "-0600", "pst": "-0800", "pdt": "-0700"}
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once (bound to a lambda variable):
+    keeps the generated code small where the body uses it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def parse_timestamp_utc(c) -> Column:
     """Free-form date text -> UTC timestamp; anything unparsable -> null."""
     t = py_strip(_col(c))
-    t = F.regexp_replace(t, rf"^[A-Za-z]{{3}},{WS}*", "")
+    t = F.regexp_replace(t, rf"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?{WS}+", "")
     t = F.regexp_replace(t, rf"{WS}*\([^)]*\){WS}*$", "")
     t = F.regexp_replace(t, f"{WS}+", " ")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in TIMESTAMP_FORMATS])
+    t = F.regexp_replace(t, r"(:[0-9]{2})\.[0-9]+", "$1")                                    # fractions of a second
+    t = F.regexp_replace(t, r"^([0-9]{1,2} [A-Za-z]{3}) ([0-4][0-9])(?= |$)", "$1 20$2")     # two-digit years as in mail: 00-49 is 20xx
+    t = F.regexp_replace(t, r"^([0-9]{1,2} [A-Za-z]{3}) ([5-9][0-9])(?= |$)", "$1 19$2")
+    t = F.regexp_replace(t, r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3")
+    offsets = F.create_map(*[F.lit(x) for kv in ZONE_OFFSETS.items() for x in kv])
+
+    def with_offset(x):
+        offset = offsets[F.lower(F.regexp_extract(x, r"[0-9] ?([A-Za-z]{1,4})$", 1))]
+        bare = F.regexp_replace(x, r" ?[A-Za-z]{1,4}$", "")
+        # a date that starts with its year is read as UTC without an offset
+        return F.when(offset.isNull(), x).when(x.rlike("^[0-9]{4}-") & (offset == "+0000"), bare).otherwise(
+            F.concat(bare, F.lit(" "), offset))
+
+    return _once(_once(t, with_offset), lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in TIMESTAMP_FORMATS]))
 
 
 # ---------------------------------------------------------------------------
@@ -227,20 +255,23 @@ def preview(c, n: int = 200, ellipsis: bool = True, flatten: bool = False) -> Co
     return p
 
 
-def sanitize(c) -> Column:
-    """null -> ''; any type -> string; U+0000 removed; cut at 10,000 characters."""
-    t = F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"\x{0}", "")
-    return F.substring(t, 1, S.MAX_CHAR_LENGTH)
+def _without_nul(c) -> Column:
+    return F.replace(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit("\0"), F.lit(""))
+
+
+def sanitize(c, max_chars: int | None = S.MAX_CHAR_LENGTH) -> Column:
+    """null -> ''; any type -> string; U+0000 removed; cut at ``max_chars`` (None: whole text)."""
+    t = _without_nul(c)
+    return t if max_chars is None else F.substring(t, 1, max_chars)
 
 
-def was_truncated(c) -> Column:
-    t = F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"\x{0}", "")
-    return F.length(t) > S.MAX_CHAR_LENGTH
+def was_truncated(c, max_chars: int | None = S.MAX_CHAR_LENGTH) -> Column:
+    return F.lit(False) if max_chars is None else F.length(_without_nul(c)) > max_chars
 
 
-def preprocess(c) -> Column:
+def preprocess(c, max_chars: int | None = S.MAX_CHAR_LENGTH) -> Column:
     """Sanitise, collapse whitespace, strip; blank -> ''."""
-    return collapse_ws(sanitize(c))
+    return collapse_ws(sanitize(c, max_chars))
 
 
 # ---------------------------------------------------------------------------
