@@ -127,22 +127,24 @@ def evaluation_summary(pred: DataFrame, y: str = "y", p: str = "pred", score: st
 
 def sweep_step(score: Column) -> Column:
     """Largest i in 0..100 with i * 0.01 <= score (double comparison, as in
-    the threshold loop), -1 below 0."""
+    the threshold loop), -1 below 0 and for null and NaN."""
+    score = F.when(~F.isnan(score), score)    # a missing score reaches no threshold
     i0 = F.floor(score * 100.0).cast("int")
     i1 = F.when((i0 + 1) * 0.01 <= score, i0 + 1).when(i0 * 0.01 > score, i0 - 1).otherwise(i0)
-    return F.least(F.greatest(i1, F.lit(-1)), F.lit(STEPS))
+    return F.coalesce(F.least(F.greatest(i1, F.lit(-1)), F.lit(STEPS)), F.lit(-1))
 
 
 def threshold_sweep(pred: DataFrame, y: str = "y", score: str = "prob") -> DataFrame:
     """tp, fp, fn, tn, precision, recall, F1 at thresholds i * 0.01 (>=).
 
     One aggregation into <= 102 step buckets, then a reverse running sum
-    over the 101 steps: tp(i) = positives with step >= i.
+    over them: tp(i) = positives with step >= i. Rows without a usable score
+    (null, NaN, negative) are never predicted positive but stay in fn and tn.
     """
     spark = pred.sparkSession
     b = pred.groupBy(sweep_step(F.col(score)).alias("step")).agg(
         F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    steps = spark.range(0, STEPS + 1).select(F.col("id").cast("int").alias("step"))
+    steps = spark.range(-1, STEPS + 1).select(F.col("id").cast("int").alias("step"))
     w = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 101 rows
     t = (steps.join(b, "step", "left").na.fill(0, ["p", "n"])
          .withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
@@ -151,7 +153,7 @@ def threshold_sweep(pred: DataFrame, y: str = "y", score: str = "prob") -> DataF
          .withColumn("fn", F.col("P") - F.col("tp")).withColumn("tn", F.col("N") - F.col("fp")))
     prec = _div(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = _div(F.col("tp"), F.col("tp") + F.col("fn"))
-    return t.select(
+    return t.where("step >= 0").select(
         "step", (F.col("step") * F.lit(0.01)).alias("threshold"),
         prec.alias("precision"), rec.alias("recall"), _f1(prec, rec).alias("f1"),
         F.col("fn").cast("bigint").alias("fn"), F.col("fp").cast("bigint").alias("fp"),
@@ -161,15 +163,16 @@ def threshold_sweep(pred: DataFrame, y: str = "y", score: str = "prob") -> DataF
 def best_thresholds(sweep: DataFrame, recall_target: float = 0.99) -> DataFrame:
     """(a) best precision with recall >= target, (b) fewest false negatives,
     (c) best F1, (d) the 0.50 row; ties -> the lowest threshold."""
-    def pick(name, cond, key):
-        return (sweep.where(cond).agg(F.min_by(F.struct(*sweep.columns), F.struct(key, F.col("step"))).alias("r"))
-                .where(F.col("r").isNotNull()).select(F.lit(name).alias("criterion"), "r.*"))
-
-    a = pick("recall_at_least_99", F.col("recall") >= recall_target, -F.col("precision"))
-    b = pick("min_false_negatives", F.lit(True), F.col("fn"))
-    c = pick("max_f1", F.lit(True), -F.col("f1"))
-    d = sweep.where(F.col("step") == 50).select(F.lit("default_050").alias("criterion"), *sweep.columns)
-    return a.unionByName(b).unionByName(c).unionByName(d)
+    row, step = F.struct(*sweep.columns), F.col("step")
+    picks = {
+        "recall_at_least_99": (F.col("recall") >= recall_target, -F.col("precision")),
+        "min_false_negatives": (F.lit(True), F.col("fn")),
+        "max_f1": (F.lit(True), -F.col("f1")),
+        "default_050": (step == 50, step),
+    }
+    best = sweep.agg(*[F.min_by(F.when(ok, row), F.when(ok, F.struct(key, step))).alias(name) for name, (ok, key) in picks.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("criterion"), F.col(n).alias("r")) for n in picks])
+    return best.select(F.inline(rows)).where(F.col("r").isNotNull()).select("criterion", "r.*")
 
 
 def threshold_table(sweep: DataFrame, steps=S.THRESHOLD_TABLE_STEPS) -> DataFrame:

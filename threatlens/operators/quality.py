@@ -26,19 +26,13 @@ VIOLATION_SCHEMA = T.StructType([
 
 
 def schema_violations(df: DataFrame, name: str) -> list[tuple[str, str]]:
-    """Column list must equal the canonical 14 names in order (metadata only)."""
-    cols = list(df.columns)
-    out = []
-    if cols != S.CANONICAL_COLUMNS:
-        missing = [c for c in S.CANONICAL_COLUMNS if c not in cols]
-        extra = [c for c in cols if c not in S.CANONICAL_COLUMNS]
-        if missing:
-            out.append((name, "Missing columns: " + ", ".join(missing)))
-        if extra:
-            out.append((name, "Unexpected columns: " + ", ".join(extra)))
-        if not missing and not extra:
-            out.append((name, "Column order mismatch"))
-    return out
+    """(source, violation) for each column that is absent, unknown or not at its
+    canonical position; positions count only when the names are right (metadata only)."""
+    place = {c: i for i, c in enumerate(S.CANONICAL_COLUMNS, 1)}
+    here = {c: i for i, c in enumerate(df.columns, 1)}
+    wrong = [f"column {c} is absent" for c in place if c not in here] + [f"column {c} is unknown" for c in here if c not in place]
+    wrong = wrong or [f"column {c} is at position {here[c]} instead of {place[c]}" for c in place if here[c] != place[c]]
+    return [(name, w) for w in wrong]
 
 
 def required_field_report(sources: dict[str, DataFrame], fields=S.REQUIRED_FIELDS) -> DataFrame:
@@ -90,10 +84,20 @@ def distribution(df: DataFrame, dims=("attack_label", "channel", "manipulation_t
             .orderBy("dimension", F.desc("count"), "value"))
 
 
+MAX_CROSSTAB_COLUMNS = 1000
+
+
 def crosstab_margins(df: DataFrame, row: str = "channel", col: str = "attack_label",
                      values=("benign", "phishing", "smishing")) -> DataFrame:
-    """row x col counts with an 'All' row and column; pairs with a null dropped."""
+    """row x col counts with an 'All' row and column; pairs with a null dropped.
+
+    ``values`` have a column in any case; every other value found gets one too.
+    """
     pairs = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+    found = [r[0] for r in pairs.select(col).distinct().limit(MAX_CROSSTAB_COLUMNS + 1).collect()]
+    if len(found) > MAX_CROSSTAB_COLUMNS:
+        raise ValueError(f"{col} has more than {MAX_CROSSTAB_COLUMNS} values")
+    values = [*values, *sorted(set(found) - set(values))]
     wide = pairs.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0, list(values))
     wide = wide.withColumn("All", reduce(lambda a, b: a + b, [F.col(v) for v in values]))
     total = wide.agg(*[F.sum(v).cast("bigint").alias(v) for v in list(values) + ["All"]]).select(
@@ -168,9 +172,13 @@ def validate_batches(batches: DataFrame, messages: str = "messages", mode: str =
 
 
 def batch_items(batches: DataFrame, key: str = "batch_id", messages: str = "messages", mode: str = "mode") -> DataFrame:
-    """Accepted batches -> one row per item with its input ``index``."""
-    ok = batches.where("accepted")
-    return ok.select(key, F.lower(F.coalesce(F.col(mode), F.lit(S.DEFAULT_MODE))).alias("mode"),
-                     F.posexplode(messages).alias("index", "m")).select(
-        key, "index", F.col("m.text").alias("text"),
-        F.coalesce(F.col("m.channel"), F.lit("unknown")).alias("channel"), "mode")
+    """One row per item of every batch, with its input ``index``, its other fields
+    and ``item_error`` (null for an item that can be scored). A bad item or a bad
+    mode costs no other row."""
+    items = batches.select(key, F.coalesce(F.col(mode), F.lit(S.DEFAULT_MODE)).alias("mode"),
+                           F.posexplode(messages).alias("index", "m"))
+    fields = batches.schema[messages].dataType.elementType.names
+    rest = [F.col(f"m.{f}").alias(f) for f in fields if f not in ("text", "channel")]
+    return items.select(key, "index", F.col("m.text").alias("text"),
+                        F.coalesce(F.col("m.channel"), F.lit("unknown")).alias("channel"), "mode", *rest,
+                        F.coalesce(*_text_rules(F.col("m.text"))).alias("item_error"))

@@ -42,8 +42,15 @@ def _pick(key, values):
     return expr
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a scan with fewer partitions than cores (a small table in
+    one row group) to all cores; a larger scan stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def message_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     d = docs.join(labels, "doc_id", "left")
     i = F.col("doc_id")

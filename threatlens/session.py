@@ -48,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="threatlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

@@ -46,13 +46,14 @@ def score_stream(spark: SparkSession, source_dir: str, model: LinearModel, out_d
     src = spark.readStream.schema(schema).parquet(source_dir)
 
     def each_batch(df: DataFrame, batch_id: int) -> None:
-        v = Q.validate_requests(df)
+        v = Q.validate_requests(df).persist()   # read by both writes
         ok = v.where("accepted").select("id", "text", F.col("channel_norm").alias("channel"),
                                         F.col("mode_norm").alias("mode"))
         scored = SC.score_messages(ok, model, second=second)
         scored.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
         (v.where(~F.col("accepted")).select("id", F.array_join("violations", "; ").alias("violations"))
           .write.mode("overwrite").parquet(f"{rejects_dir}/batch_id={batch_id}"))
+        v.unpersist()
 
     w = src.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint_dir)
     return _trigger(w, processing_time).start()
