@@ -48,9 +48,10 @@ def test_schema_and_required_validation(spark):
         Q.build_master_corpus(srcs, strict=True)
     assert any("clean_text" in v[1] for v in e.value.violations)
     bad = srcs["sms"].select(*reversed(S.CANONICAL_COLUMNS))
-    assert Q.schema_violations(bad, "x") == [("x", "Column order mismatch")]
+    assert ("x", "column message_id is at position 14 instead of 1") in Q.schema_violations(bad, "x")
     assert Q.schema_violations(srcs["sms"].drop("language").withColumn("extra", F.lit(1)), "y") == [
-        ("y", "Missing columns: language"), ("y", "Unexpected columns: extra")]
+        ("y", "column language is absent"), ("y", "column extra is unknown")]
+    assert Q.schema_violations(srcs["sms"], "z") == []
 
 
 def test_request_validation_bounds(spark):
@@ -68,7 +69,81 @@ def test_request_validation_bounds(spark):
                               f"batch_id int, messages array<{item}>, mode string")
     got = {r.batch_id: r.accepted for r in Q.validate_batches(b).collect()}
     assert got == {0: False, 1: True, 2: False, 3: False}
-    assert Q.batch_items(Q.validate_batches(b)).count() == 100
+    items = Q.batch_items(b).collect()
+    assert len(items) == 203 and sum(r.item_error is not None for r in items) == 1     # every item has its row
+
+
+def test_repeated_ids_are_scored_by_themselves(spark):
+    m = _model(spark, {"win": 2.0, "lunch": -3.0})
+    msgs = spark.createDataFrame([(1, "win"), (1, "lunch lunch"), (2, "win")], "id int, text string")
+    got = {r.text: r.probability for r in SC.score_messages(msgs, m, channel_col=None, mode_col=None).collect()}
+    assert got == {"win": 0.8808, "lunch lunch": 0.0474}
+
+
+def test_scoring_does_not_shuffle_and_matches_the_long_form(spark, monkeypatch):
+    from threatlens.operators import model as MD
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    words = spark.createDataFrame([("the", 1.5, 2.0), ("of the", 2.0, -1.0), ("la", 1.0, 0.5), ("zzz", 3.0, 1.0)], "term string, idf double, coef double")
+    out = SC.score_messages(docs, LinearModel(words, 0.1), channel_col=None, mode_col=None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    narrow = {r.doc_id: r.probability for r in out.collect()}
+    monkeypatch.setattr(MD, "MAX_DICTIONARY_BYTES", 0)
+    long = {r.doc_id: r.probability for r in SC.score_messages(docs, LinearModel(words, 0.1), channel_col=None, mode_col=None).collect()}
+    assert narrow == long and len(set(narrow.values())) > 10
+
+
+def test_whole_texts_are_scored_unless_cut(spark):
+    m = _model(spark, {"win": 2.0})
+    msgs = spark.createDataFrame([(1, "word " * 4000 + "win")], "id int, text string")
+    score = lambda **k: SC.score_messages(msgs, m, channel_col=None, mode_col=None, **k).first()
+    assert score().probability > 0.5 and not score().was_truncated
+    assert score(max_chars=10000).probability == 0.5 and score(max_chars=10000).was_truncated
+
+
+def test_native_path_takes_ordinary_mime_mail(spark):
+    head = "Message-ID: <{}@x>\nDate: Mon, 14 May 2001 16:39:00 -0700\nFrom: a@x.org\nTo: {}\n{}Subject: s\n\nbody line\n{}"
+    mime = "Mime-Version: 1.0\nContent-Type: text/plain; charset={}\nContent-Transfer-Encoding: {}\n"
+    native = [head.format(i, to, mime.format(cs, enc), i) for i, (to, cs, enc) in enumerate(
+        [(to, cs, enc) for to in ("b@y.org", "b@y.org, c@z.org") for cs in ("us-ascii", "utf-8", "iso-8859-1") for enc in ("7bit", "8bit")])]
+    native += [native[0].replace("\n", "\r\n"), head.format(99, "", "", "x"), head.format(98, "b@y.org", 'Content-Type: text/plain; charset="us-ascii"; format=flowed\n', "x")]
+    coded = [head.format(50, "Bob <b@y.org>", "", "x"), head.format(51, "b@y.org", mime.format("utf-8", "quoted-printable"), "caf=C3=A9"),
+             head.format(52, "b@y.org", mime.format("utf-8", "base64"), ""), head.format(53, "b@y.org", mime.format("utf-8", "8bit"), "caf\u00e9"),
+             'Message-ID: <54@x>\nFrom: a@x.org\nContent-Type: multipart/alternative; boundary="q"\n\n--q\nContent-Type: text/html\n\n<b>\n--q\n'
+             'Content-Type: text/plain\n\nplain\n--q--\n', "", None]
+    df = spark.createDataFrame([(m,) for m in native + coded], "message string")
+    ok = [r[0] for r in df.select(F.coalesce(ML.native_parse_ok(F.col("message")), F.lit(False))).collect()]
+    assert ok == [True] * len(native) + [False] * len(coded)
+    got = [r.mail for r in ML.parse_mail(df).collect()]
+    want = ML._stdlib_parse(pd.Series(native + coded, dtype=object)).to_dict("records")
+    for g, w in zip(got, want):
+        assert {k: getattr(g, k) or None for k in w} == {k: (v if v is not None and v == v else None) or None for k, v in w.items()}
+
+
+def test_crosstab_counts_labels_it_was_not_told(spark):
+    df = spark.createDataFrame([("sms", "benign"), ("sms", "vishing"), ("email", "vishing"), ("email", None)], "channel string, attack_label string")
+    got = {r.channel: r.asDict() for r in Q.crosstab_margins(df).collect()}
+    assert got["All"]["All"] == 3 and got["All"]["vishing"] == 2 and got["sms"]["phishing"] == 0
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder(monkeypatch):
+    from threatlens import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_root(Session())
 
 
 def _model(spark, coefs, intercept=0.0):
@@ -116,5 +191,5 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
 
     df = E.entry(spark)
-    assert df.count() >= 0 and "risk_tier" in df.columns
+    assert df.count() == 200 and "risk_tier" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())

@@ -45,7 +45,7 @@ def test_api_projections_and_explanations(spark):
     msgs = spark.createDataFrame([(0, "win", "sms", "balanced")], "id int, text string, channel string, mode string")
     s = SC.score_messages(msgs, m, include_explanation=True)
     r = s.first()
-    assert r.explanations == [] and r.timestamp.endswith("Z") or "+" in r.timestamp
+    assert r.explanations == [] and (r.timestamp.endswith("Z") or "+" in r.timestamp)
     assert SC.api_single(s).columns == ["probability", "risk_tier", "mode", "channel", "is_malicious", "roberta_enabled"]
     assert SC.api_batch(s).columns == ["probability", "risk_tier", "is_malicious"]
     rec = SC.audit_records(s).first().value

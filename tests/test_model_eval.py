@@ -80,6 +80,18 @@ def test_sweep_matches_101_passes(spark):
     assert all(a >= b for a, b in zip(recalls, recalls[1:]))
 
 
+def test_sweep_keeps_rows_without_a_score(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, None), (1, None), (0, float("nan")), (1, -0.5)], "y int, prob double")
+    for r in EV.threshold_sweep(df).collect():
+        assert (r.tp + r.fn, r.fp + r.tn) == (3, 2) and r.tp == (1 if r.step <= 90 else 0)
+
+
+def test_a_vocabulary_may_keep_all_terms(spark):
+    docs = spark.createDataFrame([("a", "x1 y1 z1"), ("b", "x1 y1")], "id string, t string")
+    tf = FE.term_counts(docs, "id", "t").withColumn("y", F.lit(0))
+    assert MD.fit_vocab(tf, 2, vocab_size=None, min_df=1, max_df=1.0).count() == 5
+
+
 def test_best_thresholds_ties_lowest(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.8), (0, 0.2)], "y int, prob double")
     best = {r.criterion: r.step for r in EV.best_thresholds(EV.threshold_sweep(df)).collect()}
@@ -130,7 +142,7 @@ def test_logistic_fit_is_stationary(spark):
     docs = spark.createDataFrame(rows, "id string, text string, y int")
     tf = FE.term_counts(docs, "id", "text", carry=("y",))
     vocab = MD.fit_vocab(tf, len(rows), vocab_size=1000, min_df=1, max_df=1.0)
-    m = MD.fit_logistic(docs.select("id", "y"), tf.drop("y"), vocab)
+    m = MD.fit_logistic(docs, vocab, "text")
     coef = {r.term: r.coef for r in m.vocab.collect()}
     terms = sorted(coef)
     W = {(r.id, r.term): r.weight for r in FE.tfidf(tf.drop("y"), vocab).collect()}

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.text import WORD
 
-# Vocabularies up to this many rows are broadcast; larger ones are joined
-# with a shuffle. A 30,000-term vocabulary is ~2 MB.
-BROADCAST_VOCAB_ROWS = 2_000_000
+# Vocabularies up to this size are broadcast; larger ones are joined with a
+# shuffle. Terms have no length limit, so bytes are counted, not rows.
+BROADCAST_VOCAB_BYTES = 32 << 20
+TERM_OVERHEAD = 48   # bytes of a row besides the term's characters
 
 
 def tokens(text) -> Column:
@@ -41,10 +42,6 @@ def ngrams_of(tok: Column) -> Column:
     return F.concat(tok, big)
 
 
-def with_ngrams(docs: DataFrame, text_col: str, out: str = "ngrams") -> DataFrame:
-    return docs.withColumn("_tok", tokens(text_col)).withColumn(out, ngrams_of(F.col("_tok"))).drop("_tok")
-
-
 def term_counts(docs: DataFrame, id_col: str, text_col: str, carry=()) -> DataFrame:
     """(id, *carry, term, tf) for every n-gram of every document.
 
@@ -56,18 +53,20 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, carry=()) -> DataFr
     return e.groupBy("id", *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def join_vocab(tf: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
-    """Inner join of term counts with the vocabulary: broadcast only when the
-    vocabulary row count is known to be small, shuffle join otherwise."""
-    if vocab_rows is None:
-        vocab_rows = vocab.count()
-    side = F.broadcast(vocab) if vocab_rows <= BROADCAST_VOCAB_ROWS else vocab
-    return tf.join(side, "term")
+def vocab_bytes(vocab: DataFrame) -> int:
+    return vocab.agg(F.sum(F.octet_length("term") + TERM_OVERHEAD)).first()[0] or 0
+
+
+def join_vocab(tf: DataFrame, vocab: DataFrame, size: int | None = None) -> DataFrame:
+    """Inner join of term counts with the vocabulary: broadcast only when its
+    size in bytes (counted if not given) is small, shuffle join otherwise."""
+    size = vocab_bytes(vocab) if size is None else size
+    return tf.join(F.broadcast(vocab) if size <= BROADCAST_VOCAB_BYTES else vocab, "term")
 
 
-def tfidf(tf: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
+def tfidf(tf: DataFrame, vocab: DataFrame, size: int | None = None) -> DataFrame:
     """(id, term, weight) with L2-normalised sub-linear TF-IDF weights."""
-    j = join_vocab(tf, vocab.select("term", "idf", *[c for c in vocab.columns if c == "coef"]), vocab_rows)
+    j = join_vocab(tf, vocab.select("term", "idf", *[c for c in vocab.columns if c == "coef"]), size)
     w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
     j = j.withColumn("raw_w", w)
     norm = F.sqrt(F.sum(F.col("raw_w") * F.col("raw_w")).over(Window.partitionBy("id")))

@@ -1,11 +1,13 @@
 """Linear text models over long-form TF-IDF.
 
-A model is a vocabulary table ``(term, idf, coef)`` plus an intercept.
-Scoring never builds vectors: per document it aggregates
-``sum(raw_w * coef)`` and ``sum(raw_w^2)`` in one pass, so
+A model is a vocabulary table ``(term, idf, coef)`` plus an intercept. A text
+is scored inside its row: its n-grams are counted against the dictionary, and
 
     p = sigmoid(dot / sqrt(norm2) + intercept)
 
+with ``dot = sum(raw_w * coef)`` and ``norm2 = sum(raw_w^2)``. A vocabulary too
+large for a dictionary in memory is joined in long form instead.
+
 Two ways to get coefficients:
 
 * ``fit_log_odds``: closed form ln((a + 1) / (b + 1)) with a / b the
@@ -28,11 +30,37 @@ from .. import schema as S
 from . import features as FE
 
 
+# Dictionaries up to this size are held by the driver and every executor.
+MAX_DICTIONARY_BYTES = 16 << 20
+
+
 @dataclass
 class LinearModel:
     vocab: DataFrame          # term, idf, coef (+ df, total_tf, idx)
     intercept: float = 0.0
-    vocab_rows: int | None = None
+    size: int | None = None   # bytes of the vocabulary's terms, counted on first use
+
+    def n_bytes(self) -> int:
+        if self.size is None:
+            self.size = FE.vocab_bytes(self.vocab)
+        return self.size
+
+    def dictionary(self) -> list | None:
+        """(term, idf, coef) rows by term, or None if they are too large for the driver."""
+        if self.n_bytes() > MAX_DICTIONARY_BYTES:
+            return None
+        if not hasattr(self, "_rows"):
+            self._rows = self.vocab.select("term", "idf", "coef").orderBy("term").collect()
+        return self._rows
+
+    def counter(self):
+        """Counts the dictionary's terms in an array of n-grams (made once: the terms go to the JVM one by one)."""
+        from pyspark.ml.feature import CountVectorizerModel
+
+        if not hasattr(self, "_counter"):
+            self._counter = CountVectorizerModel.from_vocabulary(
+                [r["term"] for r in self.dictionary()], inputCol="_ngrams", outputCol="_counts", minTF=1.0)
+        return self._counter
 
 
 def top_by_count(kept: DataFrame, k: int) -> DataFrame:
@@ -58,13 +86,13 @@ def vocab_stats(train_tf: DataFrame, label: str = "y") -> DataFrame:
     )
 
 
-def fit_vocab(train_tf: DataFrame, n_docs: int, vocab_size: int = S.VOCAB_SIZE_V2,
+def fit_vocab(train_tf: DataFrame, n_docs: int, vocab_size: int | None = S.VOCAB_SIZE_V2,
               min_df: int = S.MIN_DF, max_df: float = S.MAX_DF, label: str = "y") -> DataFrame:
-    """min_df <= df <= max_df * n, then the top ``vocab_size`` by total count;
-    adds idf and the alphabetical column index."""
+    """min_df <= df <= max_df * n, then the top ``vocab_size`` by total count (None:
+    all terms); adds idf and the alphabetical column index."""
     stats = vocab_stats(train_tf, label)
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
-    top = top_by_count(kept, vocab_size)
+    top = kept if vocab_size is None else top_by_count(kept, vocab_size)
     idf = F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0
     idx = F.row_number().over(Window.orderBy("term")) - 1   # <= vocab_size rows
     return top.select("term", "df", "total_tf", "df_pos", "df_neg", idf.alias("idf"), idx.alias("idx"))
@@ -75,28 +103,59 @@ def fit_log_odds(vocab: DataFrame) -> LinearModel:
     return LinearModel(vocab.withColumn("coef", coef), 0.0)
 
 
-def doc_scores(tf: DataFrame, model: LinearModel) -> DataFrame:
-    """(id, dot, norm2, n_terms) for documents with at least one vocabulary term."""
-    j = FE.join_vocab(tf, model.vocab.select("term", "idf", "coef"), model.vocab_rows)
-    w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    return j.groupBy("id").agg(
-        F.sum(w * F.col("coef")).alias("dot"),
-        F.sum(w * w).alias("norm2"),
-        F.count(F.lit(1)).alias("n_terms"),
-    )
+def _constants(values):
+    """An array constant; parsed once when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
+def with_term_weights(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
+    """Adds ``_at`` (dictionary positions) and ``_w`` (raw TF-IDF weights) of the
+    dictionary's terms in each text: a narrow step in the JVM."""
+    rows, counter = model.dictionary(), model.counter()
+    none = F.array().cast("array<string>")
+    d = docs.withColumn("_tok", F.coalesce(FE.tokens(text_col), none)).withColumn("_ngrams", FE.ngrams_of(F.col("_tok")))
+    d = counter.transform(d).withColumn("_sparse", F.unwrap_udt("_counts"))
+    idf = _constants(r["idf"] for r in rows)
+    w = F.zip_with("_sparse.indices", "_sparse.values", lambda i, tf: (F.lit(1.0) + F.log(tf)) * F.get(idf, i))
+    return d.withColumn("_at", F.col("_sparse.indices")).withColumn("_w", w).drop("_tok", "_ngrams", "_counts", "_sparse")
+
+
+def with_scores(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
+    """Adds ``_dot`` and ``_norm2`` (null without a known term) to every row."""
+    rows = model.dictionary()
+    if rows is None:
+        return _with_scores_long(docs, text_col, model)
+    if not rows:
+        return docs.withColumn("_dot", F.lit(None).cast("double")).withColumn("_norm2", F.lit(None).cast("double"))
+    d = with_term_weights(docs, text_col, model)
+    coef = _constants(r["coef"] for r in rows)
+    some = F.size("_w") > 0
+    add = lambda a, x: a + x
+    dot = F.aggregate(F.zip_with("_at", "_w", lambda i, w: w * F.get(coef, i)), F.lit(0.0), add)
+    norm2 = F.aggregate(F.transform("_w", lambda w: w * w), F.lit(0.0), add)
+    return d.withColumn("_dot", F.when(some, dot)).withColumn("_norm2", F.when(some, norm2)).drop("_at", "_w")
+
+
+def _with_scores_long(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
+    """The same through long rows, for any vocabulary size. Rows get a number in a
+    written table, so rows that share a caller's id stay apart."""
+    from ..session import checkpoint_root
+
+    checkpoint_root(docs.sparkSession)
+    d = docs.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    s = vocab_term_scores(d, "_row", text_col, model).select(F.col("id").alias("_row"), F.col("dot").alias("_dot"), F.col("norm2").alias("_norm2"))
+    return d.join(s, "_row", "left").drop("_row")
 
 
 def vocab_term_scores(docs: DataFrame, id_col: str, text_col: str, model: LinearModel) -> DataFrame:
-    """(id, dot, norm2, n_terms) straight from text: n-grams are joined with the
-    vocabulary map-side (broadcast when checked small) *before* the per-(doc,
-    term) aggregation, so only vocabulary terms are shuffled."""
+    """(id, dot, norm2) from long rows: one per n-gram and document, joined with
+    the vocabulary before they are counted. ``id_col`` must be unique."""
     d = docs.select(F.col(id_col).alias("id"), FE.tokens(text_col).alias("_tok"))
     e = d.select("id", F.explode(FE.ngrams_of(F.col("_tok"))).alias("term"))
-    j = FE.join_vocab(e, model.vocab.select("term", "idf", "coef"), model.vocab_rows)
+    j = FE.join_vocab(e, model.vocab.select("term", "idf", "coef"), model.n_bytes())
     tf = j.groupBy("id", "term", "idf", "coef").agg(F.count(F.lit(1)).alias("tf"))
     w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    return tf.groupBy("id").agg(F.sum(w * F.col("coef")).alias("dot"), F.sum(w * w).alias("norm2"),
-                                F.count(F.lit(1)).alias("n_terms"))
+    return tf.groupBy("id").agg(F.sum(w * F.col("coef")).alias("dot"), F.sum(w * w).alias("norm2"))
 
 
 def sigmoid(x):
@@ -108,70 +167,54 @@ def decision(dot, norm2, intercept: float):
     return F.coalesce(dot / F.sqrt(norm2), F.lit(0.0)) + F.lit(float(intercept))
 
 
-def predict(docs: DataFrame, tf: DataFrame, model: LinearModel, id_col: str = "id") -> DataFrame:
+def predict(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
     """Adds ``decision``, ``prob`` and ``pred`` (decision > 0) to ``docs``."""
-    s = doc_scores(tf, model).withColumnRenamed("id", id_col)
-    d = decision(F.col("dot"), F.col("norm2"), model.intercept)
-    return (docs.join(s, id_col, "left")
-                .withColumn("decision", d)
-                .withColumn("prob", sigmoid(F.col("decision")))
-                .withColumn("pred", (F.col("decision") > 0).cast("int"))
-                .drop("dot", "norm2", "n_terms"))
+    d = decision(F.col("_dot"), F.col("_norm2"), model.intercept)
+    return (with_scores(docs, text_col, model).withColumn("decision", d)
+            .withColumn("prob", sigmoid(F.col("decision")))
+            .withColumn("pred", (F.col("decision") > 0).cast("int")).drop("_dot", "_norm2"))
 
 
 # ---------------------------------------------------------------------------
 # Logistic regression on Spark ML
 # ---------------------------------------------------------------------------
 
-def _sparse_vectors(weights: DataFrame, size: int) -> DataFrame:
-    """(id, idx, weight) -> (id, features SparseVector). The vector object is
-    built by a small per-row helper; grouping and sorting stay in Spark."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def to_vec(idx, vals):
-        return SparseVector(size, idx, vals)
-
-    g = weights.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("e"))
-    return g.select("id", to_vec(F.col("e.idx"), F.col("e.weight")).alias("features"))
-
-
-def fit_logistic(train_docs: DataFrame, train_tf: DataFrame, vocab: DataFrame, label: str = "y",
+def fit_logistic(train: DataFrame, vocab: DataFrame, text_col: str = "clean_text", label: str = "y",
                  max_iter: int = 1000, tol: float = 1e-9) -> LinearModel:
-    """Balanced, L2 (C = 1) logistic regression on the TF-IDF vectors.
+    """Balanced, L2 (C = 1) logistic regression on the TF-IDF vectors of ``train``.
 
-    ``train_docs`` holds (id, label); ``train_tf`` the (id, term, tf) rows.
+    Vectors are assembled in the JVM and written once: the optimiser reads that
+    table in every pass. The coefficients (one per dictionary term) come back
+    through the driver, so the vocabulary must fit into a dictionary.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    size = vocab.count()
-    idx = vocab.select("term", "idx")
-    weights = FE.tfidf(train_tf, vocab, size).select("id", "term", "weight").join(
-        F.broadcast(idx) if size <= FE.BROADCAST_VOCAB_ROWS else idx, "term")
-    vec = _sparse_vectors(weights, size)
-
-    @F.udf(VectorUDT())
-    def empty_if_null(v):
-        return v if v is not None else SparseVector(size, [], [])
-
-    data = (train_docs.select("id", F.col(label).cast("double").alias("label"))
-            .join(vec, "id", "left")
-            .withColumn("features", empty_if_null("features")))
-    # balanced weights n / (k * n_c): one row per class, broadcast
-    cw = data.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
-    w = Window.partitionBy()
-    cw = cw.select("label", (F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c"))).alias("w"))
-    n = train_docs.count()
-    data = data.join(F.broadcast(cw), "label")
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    from ..session import scratch_path
+
+    blank = LinearModel(vocab.withColumn("coef", F.lit(0.0)))
+    rows = blank.dictionary()
+    if rows is None:
+        raise ValueError("the vocabulary is too large for a fit with a dictionary")
+    spark = train.sparkSession
+    n_of = {r[0]: r[1] for r in train.groupBy(label).count().collect()}   # one row per class
+    n = sum(n_of.values())
+    weight = F.create_map(*[F.lit(x) for c, k in n_of.items() for x in (c, n / (len(n_of) * k))])[F.col(label)]
+    d = with_term_weights(train.select(label, text_col), text_col, blank)
+    norm = F.sqrt(F.aggregate(F.transform("_w", lambda w: w * w), F.lit(0.0), lambda a, x: a + x))
+    d = d.withColumn("_norm", norm)
+    features = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(rows)).alias("size"), F.col("_at").alias("indices"),
+                        F.transform("_w", lambda w: w / F.col("_norm")).alias("values"))
+    path = scratch_path(spark, "logistic-features")
+    d.select(F.col(label).cast("double").alias("label"), weight.alias("w"), features.alias("features")).write.parquet(path)
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("w", T.DoubleType()), T.StructField("features", VectorUDT())])
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1.0 / n,
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol,
                             fitIntercept=True, family="binomial")
-    m = lr.fit(data)
-    coefs = m.coefficients.toArray().tolist()  # vocabulary-sized (<= vocab_size values)
-    spark = train_docs.sparkSession
-    cdf = spark.createDataFrame(list(enumerate(coefs)), "idx int, coef double")
-    return LinearModel(vocab.join(F.broadcast(cdf), "idx"), float(m.intercept), size)
+    m = lr.fit(spark.read.schema(schema).parquet(path))
+    fitted = spark.createDataFrame([(r["term"], float(c)) for r, c in zip(rows, m.coefficients.toArray())], "term string, coef double")
+    return LinearModel(FE.join_vocab(vocab.drop("coef"), fitted), float(m.intercept))
 
 
 # ---------------------------------------------------------------------------
@@ -181,11 +224,11 @@ def fit_logistic(train_docs: DataFrame, train_tf: DataFrame, vocab: DataFrame, l
 def save_model(model: LinearModel, path: str) -> None:
     model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     spark = model.vocab.sparkSession
-    meta = json.dumps({"intercept": model.intercept, "vocab_rows": model.vocab_rows})
+    meta = json.dumps({"intercept": model.intercept, "size": model.size})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> LinearModel:
     vocab = spark.read.parquet(f"{path}/vocab")
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    return LinearModel(vocab, float(meta["intercept"]), meta.get("vocab_rows"))
+    return LinearModel(vocab, float(meta["intercept"]), meta.get("size"))

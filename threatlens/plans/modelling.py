@@ -29,6 +29,8 @@ class Fitted:
     train_tf: DataFrame    # id, y, term, tf (train fold)
     n_train: int
     model: MD.LinearModel  # log-odds coefficients, intercept 0
+    predictions: DataFrame | None = None   # scored test fold, written on first use
+    logistic: MD.LinearModel | None = None  # fitted on first use
 
 
 def labelled(spark: SparkSession, sf_dir: str, label=C.label_malicious) -> DataFrame:
@@ -64,15 +66,19 @@ def _fit(spark: SparkSession, sf_dir: str, vocab_size: int) -> Fitted:
     train_tf = FE.term_counts(train, "id", "clean_text", carry=("y",)).checkpoint()
     vocab = MD.fit_vocab(train_tf, n_train, vocab_size).checkpoint()
     model = MD.fit_log_odds(vocab)
-    model.vocab_rows = vocab.count()
     return Fitted(sp, train_tf, n_train, model)
 
 
 def test_predictions(f: Fitted) -> DataFrame:
-    test = f.split.where(F.col("fold") == "test")
-    s = MD.vocab_term_scores(test, "id", "clean_text", f.model)
-    d = MD.decision(F.col("dot"), F.col("norm2"), f.model.intercept)
-    return (test.join(s, "id", "left").withColumn("decision", d)
-                .withColumn("prob", MD.sigmoid(F.col("decision")))
-                .withColumn("pred", (F.col("decision") > 0).cast("int"))
-                .drop("dot", "norm2", "n_terms"))
+    """The test fold with its scores, written once and read by every evaluation."""
+    if f.predictions is None:
+        test = f.split.where(F.col("fold") == "test")
+        f.predictions = MD.predict(test, "clean_text", f.model).checkpoint()
+    return f.predictions
+
+
+def logistic_model(f: Fitted) -> MD.LinearModel:
+    if f.logistic is None:
+        m = MD.fit_logistic(f.split.where(F.col("fold") == "train"), f.model.vocab.drop("coef"))
+        f.logistic = MD.LinearModel(m.vocab.checkpoint(), m.intercept)
+    return f.logistic

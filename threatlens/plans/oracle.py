@@ -436,7 +436,7 @@ SCORE_CTES = (
          CASE WHEN id % 29 = 0 THEN 'bogus' WHEN id % 31 = 0 THEN NULL WHEN id % 4 = 0 THEN 'balanced'
               WHEN id % 4 = 1 THEN 'high_recall' WHEN id % 4 = 2 THEN 'LOW_FP' ELSE '' END AS mode
   FROM msg)""",
-    f"req_pre AS (SELECT *, {Q.preprocess('text')} AS pre FROM req)",
+    f"req_pre AS (SELECT *, {Q.preprocess('text', cut=False)} AS pre FROM req)",
     f"""req_tf AS (SELECT id, term, count(*) AS tf
                  FROM (SELECT id, unnest({grams_sql('toks')}) AS term
                        FROM (SELECT id, {toks_sql('pre')} AS toks FROM req_pre WHERE pre <> '')) GROUP BY ALL)""",
@@ -449,7 +449,7 @@ SCORE_CTES = (
          CASE WHEN coalesce(mode, '') <> '' AND lower(mode) NOT IN ({_MODES})
               THEN 'Invalid mode: ' || mode || '. Use: balanced, high_recall, low_fp' END AS error,
          CASE WHEN lower(channel) IN ('email', 'sms', 'unknown') THEN lower(channel) ELSE 'unknown' END AS ch,
-         length(replace(coalesce(text, ''), chr(0), '')) > {S.MAX_CHAR_LENGTH} AS was_truncated
+         false AS was_truncated
   FROM req_pre r LEFT JOIN req_dot d USING (id))""",
 )
 
@@ -567,7 +567,7 @@ ORACLE["compare_models"] = model_sql(
     _metrics_sql("tfidf", "preds") + " UNION ALL " + _metrics_sql("keyword", "kw"),
     f"""kw AS (SELECT id, y, prob, CAST(prob > 0.5 AS INTEGER) AS pred FROM (
           SELECT id, y, round(CASE WHEN pc = '' THEN 0.0 ELSE 1.0 / (1.0 + exp(-(({_KW_HITS_CLEAN}) - 1.5))) END, 12) AS prob
-          FROM (SELECT *, {Q.preprocess('clean_text')} AS pc FROM preds)))""")
+          FROM (SELECT *, {Q.preprocess('clean_text', cut=False)} AS pc FROM preds)))""")
 
 # ---------------------------------------------------------------------------
 # Loading and batch requests
@@ -577,7 +577,7 @@ ORACLE["load_sources"] = """
 SELECT 'documents' AS dataset, count(*) AS rows FROM documents
 UNION ALL SELECT 'labels', count(*) FROM labels"""
 
-_BAD_ITEM = " OR ".join(f"coalesce({c}, false)" for c, _ in _TXT_RULES[:4])
+_ITEM_ERROR = "CASE " + " ".join(f"WHEN {c} THEN {Q.q(m)}" for c, m in _TXT_RULES[:4]) + " END"
 _BATCH_CTES = (
     SCORE_CTES[0],
     """b_req AS (
@@ -585,14 +585,10 @@ _BATCH_CTES = (
          CASE WHEN (id // 20) % 7 = 6 THEN 'bogus' WHEN (id // 20) % 3 = 0 THEN 'balanced'
               WHEN (id // 20) % 3 = 1 THEN 'high_recall' ELSE 'LOW_FP' END AS mode
   FROM req)""",
-    f"""b_ok AS (
-  SELECT batch_id FROM b_req GROUP BY batch_id
-  HAVING count_if({_BAD_ITEM}) = 0 AND count(*) BETWEEN 1 AND {S.MAX_BATCH}
-     AND lower(any_value(mode)) IN ({_MODES}))""",
-) + tuple(c.replace("FROM req)", "FROM b_req WHERE batch_id IN (SELECT batch_id FROM b_ok))", 1)
-          .replace("SELECT *, ", "SELECT *, ", 1) for c in SCORE_CTES[1:])
+) + tuple(c.replace("FROM req)", "FROM b_req)", 1) for c in SCORE_CTES[1:])
 
 ORACLE["batch_predictions"] = model_sql(f"""
 SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY id) - 1 AS INTEGER) AS index, id,
-       probability, risk_tier, is_malicious, error
-FROM ({_score_out('first', '0.0')}, batch_id FROM req_first)""", *_BATCH_CTES)
+       CASE WHEN bad IS NULL THEN probability END AS probability, CASE WHEN bad IS NULL THEN risk_tier ELSE 'Error' END AS risk_tier,
+       CASE WHEN bad IS NULL THEN is_malicious END AS is_malicious, coalesce(bad, error) AS error
+FROM ({_score_out('first', '0.0')}, batch_id, {_ITEM_ERROR} AS bad FROM req_first)""", *_BATCH_CTES)

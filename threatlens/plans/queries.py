@@ -198,7 +198,7 @@ def vocab(spark, sf_dir):
 @query
 def tfidf_weights(spark, sf_dir):
     f = ML.fit(spark, sf_dir)
-    w = FE.tfidf(f.train_tf.select("id", "term", "tf"), f.model.vocab, f.model.vocab_rows)
+    w = FE.tfidf(f.train_tf.select("id", "term", "tf"), f.model.vocab, f.model.n_bytes())
     return EV.rounded(w.select("id", "term", "weight"))
 
 
@@ -426,8 +426,7 @@ def logistic_fit(spark, sf_dir):
     from ..operators import model as MD
 
     f = ML.fit(spark, sf_dir)
-    train = f.split.where(F.col("fold") == "train").select("id", "y")
-    m = MD.fit_logistic(train, f.train_tf.select("id", "term", "tf"), f.model.vocab.drop("coef"))
+    m = ML.logistic_model(f)
     path = scratch_path(spark, "model")
     MD.save_model(m, path)
     back = MD.load_model(spark, path)
@@ -435,13 +434,25 @@ def logistic_fit(spark, sf_dir):
     return EV.rounded(back.vocab.select("term", "idx", "coef").unionByName(icpt), 6)
 
 
+@query
+def logistic_eval(spark, sf_dir):
+    """Precision / recall / F1 / ROC-AUC of the logistic model on the test fold."""
+    from ..operators import model as MD
+
+    f = ML.fit(spark, sf_dir)
+    m = ML.logistic_model(f)
+    p = MD.predict(f.split.where(F.col("fold") == "test").select("id", "y", "clean_text"), "clean_text", m)
+    return EV.rounded(EV.evaluation_summary(p.withColumn("prob", F.round("prob", 6))), 4)
+
+
 @query
 def compare_models(spark, sf_dir):
     """Precision / recall / F1 / ROC-AUC of the linear model and the second
     (keyword) model on the same test fold."""
     p = _test_preds(spark, sf_dir)
-    second = keyword_model().column(X.preprocess("clean_text"))
-    k = (p.select("id", "y", F.round(F.when(X.preprocess("clean_text") == "", F.lit(0.0)).otherwise(second), 12)
+    whole = X.preprocess("clean_text", None)   # both models see the whole text
+    second = keyword_model().column(whole)
+    k = (p.select("id", "y", F.round(F.when(whole == "", F.lit(0.0)).otherwise(second), 12)
                   .alias("prob"))
           .withColumn("pred", (F.col("prob") > 0.5).cast("int")))
     rows = [EV.evaluation_summary(d).select(F.lit(name).alias("model"), "precision", "recall", "f1", "roc_auc")
@@ -466,9 +477,9 @@ BATCH_SIZE = 20  # messages per batch request built from the message table
 
 @query
 def batch_predictions(spark, sf_dir):
-    """Messages grouped into batch requests of BATCH_SIZE (by id order); a batch
-    is validated as a whole, accepted batches are scored item by item and keep
-    each item's input index (3-field batch response + ids)."""
+    """Messages grouped into batch requests of BATCH_SIZE (by id order); every item
+    gives one row with its input index: a 3-field response, or an error row for
+    a bad text or the batch's bad mode."""
     f = ML.fit(spark, sf_dir)
     req = requests(_msg(spark, sf_dir))
     b = F.col("batch_id")
@@ -478,10 +489,7 @@ def batch_predictions(spark, sf_dir):
         F.transform(F.array_sort(F.collect_list(F.struct("id", "text", "channel"))),   # <= BATCH_SIZE items
                     lambda m: F.struct(m["text"].alias("text"), m["channel"].alias("channel"),
                                        m["id"].alias("id"))).alias("messages")).withColumn("mode", mode)
-    items = Q.batch_items(Q.validate_batches(batches))
-    ids = Q.validate_batches(batches).where("accepted").select(
-        "batch_id", F.posexplode("messages").alias("index", "m")).select("batch_id", "index", F.col("m.id").alias("id"))
-    scored = SC.score_messages(items.join(ids, ["batch_id", "index"]), f.model, id_col="id")
+    scored = SC.score_messages(Q.batch_items(batches), f.model, error_col="item_error")
     return scored.select("batch_id", "index", "id", *SC.api_batch(scored).columns, "error")
 
 

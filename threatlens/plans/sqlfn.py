@@ -139,5 +139,5 @@ def sanitize(x: str) -> str:
     return f"substring(replace(coalesce(CAST({x} AS VARCHAR), ''), chr(0), ''), 1, {S.MAX_CHAR_LENGTH})"
 
 
-def preprocess(x: str) -> str:
-    return collapse_ws(sanitize(x))
+def preprocess(x: str, cut: bool = True) -> str:
+    return collapse_ws(sanitize(x) if cut else f"replace(coalesce({x}, ''), chr(0), '')")
