@@ -373,7 +373,11 @@ def mail_csv_headers(spark, sf_dir):
     """Raw mail CSV (header row) read with imposed names: the header line
     stays as data; then the regex header table."""
     path = scratch_path(spark, "mail-csv")
-    IO.write_table(mail_texts(_msg(spark, sf_dir)), path, fmt="csv", header=True)
+    texts = mail_texts(_msg(spark, sf_dir))
+    IO.write_table(texts, path, fmt="csv", header=False)
+    # one header line for the archive, however many files its rows go to
+    head = spark.createDataFrame([tuple(texts.columns)], ", ".join(f"{c} string" for c in texts.columns))
+    IO.write_table(head, path, fmt="csv", header=False, mode="append")
     return extract_headers(IO.read_csv_named(spark, path, null_value=IO.CSV_NULL))
 
 
