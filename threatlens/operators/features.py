@@ -6,10 +6,9 @@ space. Weights are sub-linear and smoothed:
 
     w = (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1),  then L2-normalised per doc
 
-Plan: explode -> aggregate tf per (doc, term) (partial aggregation makes
-the shuffle carry distinct pairs only) -> aggregate per term for the
-vocabulary -> join the capped vocabulary (broadcast only below a checked
-row count) -> per-doc norms.
+Plan: count inside the row -> explode -> aggregate per term for the
+vocabulary (the one shuffle) -> join the capped vocabulary (broadcast only
+below a checked size) -> per-doc norms.
 """
 
 from __future__ import annotations
@@ -42,15 +41,26 @@ def ngrams_of(tok: Column) -> Column:
     return F.concat(tok, big)
 
 
+def counted(grams: Column) -> Column:
+    """Distinct n-grams of an array with their counts, as array of (term, tf): run
+    lengths of the sorted array (bound to a lambda variable, so it is sorted once)."""
+    def lengths(s):
+        placed = F.transform(s, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+        firsts = F.filter(placed, lambda e: ~F.get(s, e["at"] - 1).eqNullSafe(e["term"]))
+        return F.transform(F.array(firsts), lambda f: F.transform(f, lambda e, j: F.struct(
+            e["term"].alias("term"), (F.coalesce(F.get(f, j + 1)["at"], F.size(s)) - e["at"]).cast("long").alias("tf"))))
+
+    return F.flatten(F.flatten(F.transform(F.array(F.array_sort(grams)), lengths)))
+
+
 def term_counts(docs: DataFrame, id_col: str, text_col: str, carry=()) -> DataFrame:
     """(id, *carry, term, tf) for every n-gram of every document.
 
-    ``carry`` columns depend on the document only (e.g. its label) and ride
-    along in the grouping key instead of being joined back later.
+    Counted inside the row: no shuffle, and documents that share an id stay
+    apart. ``carry`` columns (e.g. the label) ride along.
     """
     d = docs.select(F.col(id_col).alias("id"), *carry, tokens(text_col).alias("_tok"))
-    e = d.select("id", *carry, F.explode(ngrams_of(F.col("_tok"))).alias("term"))
-    return e.groupBy("id", *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return d.select("id", *carry, F.explode(counted(ngrams_of(F.col("_tok")))).alias("t")).select("id", *carry, "t.term", "t.tf")
 
 
 def vocab_bytes(vocab: DataFrame) -> int:

@@ -8,11 +8,11 @@ without sorting a whole group in one task:
    so a hot group costs nothing extra);
 3. a running sum over that small histogram finds, per group, the bucket
    where the k-th row falls and how many rows of it are still needed;
-4. rows below that bucket are in, rows above are out, and only the rows
-   of the cut bucket (about n / 2^20 per group) are ranked by full hash.
+4. the hashes of that one bucket (about n / 2^20 per group) are counted and
+   summed the same way: the k-th hash is known exactly.
 
-The per-group cut table has one row per group (per class), read back as
-scalars and applied with map lookups.
+The cut hashes (one per group, e.g. per class) come back as scalars, so the
+mark is the narrow expression ``hash <= cut``: no join, no window over rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 BUCKET_HEX = 5  # 16^5 = 2^20 buckets
+MAX_GROUPS = 1000
 
 
 def hash_key(key: Column, seed: int = S.RANDOM_STATE) -> Column:
@@ -33,40 +34,54 @@ def _bucket(h: Column) -> Column:
     return F.conv(F.substring(h, 1, BUCKET_HEX), 16, 10).cast("bigint")
 
 
+def _per_group(rows, group: str | None, field: str) -> Column:
+    """The value of ``field`` for the row's group (null for a group without one)."""
+    out = F.lit(None)
+    for r in rows:
+        here = F.lit(True) if group is None else F.col(group).eqNullSafe(F.lit(r[group]))
+        out = F.when(here, F.lit(r[field])).otherwise(out)
+    return out
+
+
+def _cut(counts: DataFrame, order: str, wanted, gcols: list[str]) -> list:
+    """Per group the first value of ``order`` at which the running count reaches
+    ``wanted``: rows (group, order, take = how many of its rows, n = that it has)."""
+    part = Window.partitionBy(*gcols)
+    run = F.sum("_n").over(part.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    k = F.least(F.lit(wanted), F.sum("_n").over(part)) if isinstance(wanted, int) else wanted
+    rows = (counts.withColumn("_incl", run).withColumn("_k", k)
+            .where((F.col("_incl") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_incl")))
+            .select(*gcols, order, (F.col("_k") - F.col("_incl") + F.col("_n")).alias("take"), F.col("_n").alias("n"))
+            .limit(MAX_GROUPS + 1).collect())
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    return rows
+
+
 def smallest_by_hash(df: DataFrame, key: str, k, group: str | None = None,
                      seed: int = S.RANDOM_STATE, out: str = "selected") -> DataFrame:
     """Marks (``out``) the ``k`` rows of each group with the smallest hash.
 
     ``k`` is an int (min(k, group size) per group) or a dict group value -> k.
-    The cut table (one row per group, e.g. per class) is read back as bounded
-    scalars and applied as map lookups: no join, no data through the driver.
+    Groups are few (classes): over MAX_GROUPS of them raise. Rows that share
+    the key of the cut are told apart by a rank over those rows alone.
     """
-    d = df.withColumn("_h", hash_key(F.col(key), seed)).withColumn("_b", _bucket(F.col("_h")))
+    d = df.withColumn("_h", hash_key(F.col(key), seed))
     gcols = [group] if group else []
-    hist = d.groupBy(*gcols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    part = Window.partitionBy(*gcols)
-    w = part.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # <= 2^20 rows per group
-    cum = hist.withColumn("_incl", F.sum("_n").over(w)).withColumn("_before", F.col("_incl") - F.col("_n"))
-    if isinstance(k, dict):
-        kk = F.create_map(*[x for g, v in k.items() for x in (F.lit(g), F.lit(int(v)))])[F.col(group)]
-    else:
-        kk = F.least(F.lit(int(k)), F.sum("_n").over(part))
-    cut_rows = (cum.withColumn("_k", kk).where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_incl")))
-                .select(*gcols, "_b", (F.col("_k") - F.col("_before")).alias("_need")).collect())
-    if not cut_rows:
-        return d.withColumn(out, F.lit(False)).drop("_h", "_b")
-
-    def lookup(field):
-        if not group:
-            return F.lit(cut_rows[0][field])
-        return F.create_map(*[x for r in cut_rows for x in (F.lit(r[group]), F.lit(r[field]))])[F.col(group)]
-
-    cut_b, need = lookup("_b"), lookup("_need")
-    in_cut = F.coalesce(F.col("_b") == cut_b, F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(*gcols).orderBy("_h", key))  # cut-bucket rows only
-    edge = d.where(in_cut).withColumn(out, rank <= need)
-    rest = d.where(~in_cut).withColumn(out, F.coalesce(F.col("_b") < cut_b, F.lit(False)))
-    return edge.unionByName(rest).drop("_h", "_b")
+    buckets = d.select(*gcols, _bucket(F.col("_h")).alias("_b"))
+    wanted = int(k) if not isinstance(k, dict) else _per_group([{group: g, "k": int(v)} for g, v in k.items()], group, "k")
+    cut = _cut(buckets.groupBy(*gcols, "_b").agg(F.count(F.lit(1)).alias("_n")), "_b", wanted, gcols)
+    edge = d.select(*gcols, "_h").where(_bucket(F.col("_h")) == _per_group(cut, group, "_b").cast("bigint"))
+    hashes = edge.groupBy(*gcols, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    last = _cut(hashes, "_h", _per_group(cut, group, "take").cast("bigint"), gcols) if cut else []
+    at = _per_group(last, group, "_h").cast("string")
+    if all(r["take"] == r["n"] for r in last):
+        return d.withColumn(out, F.coalesce(F.col("_h") <= at, F.lit(False))).drop("_h")
+    tied = F.coalesce(F.col("_h") == at, F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*gcols).orderBy("_h"))   # copies of one key per group
+    some = d.where(tied).withColumn(out, rank <= _per_group(last, group, "take"))
+    rest = d.where(~tied).withColumn(out, F.coalesce(F.col("_h") < at, F.lit(False)))
+    return some.unionByName(rest).drop("_h")
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = S.RANDOM_STATE) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import canonical as C
+from ..operators.quality import build_master_corpus
+from ..session import written
 from .fixture import mail_texts, message_view, tab_lines
 
 
@@ -32,22 +34,22 @@ _BUILT: dict = {}
 
 
 def input_key(spark: SparkSession, sf_dir: str) -> tuple:
-    """Identifies a build: the session and the exact input files (metadata only)."""
-    files = []
-    for t in ("documents", "labels"):
-        files += spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles()
-    return (id(spark), spark.sparkContext.applicationId, sf_dir, tuple(sorted(files)))
+    """Identifies a build: the session and the input files with their sizes and
+    times, folded into one row (a listing; no file is opened)."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")]
+    files = spark.read.format("binaryFile").load(paths).select(
+        F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    n, h = files.agg(F.count(F.lit(1)), F.sum("h")).first()
+    return (id(spark), spark.sparkContext.applicationId, sf_dir, n, str(h))
 
 
 def master_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as a written table (checkpoint in the shared folder): later
-    filters and reports read the scan instead of re-running -- or duplicating
+    """The corpus as a written table in the shared folder: later filters and
+    reports scan the columns they need instead of re-running -- or duplicating
     through predicate pushdown -- the parsing and cleaning expressions. Built
     once per session and input; later queries reuse the written table."""
-    from ..session import checkpoint_root
-
     key = input_key(spark, sf_dir)
     if key not in _BUILT:
-        checkpoint_root(spark)
-        _BUILT[key] = C.union_sources(list(canonical_sources(message_view(spark, sf_dir)).values())).checkpoint()
+        sources = canonical_sources(message_view(spark, sf_dir))
+        _BUILT[key] = written(build_master_corpus(sources, strict=False), "corpus")
     return _BUILT[key]

@@ -2,9 +2,8 @@
 
 labelled corpus (clean_text not null, y = malicious) -> stratified split ->
 train n-gram counts (label carried) -> vocabulary (30,000 terms) -> model.
-The labelled set and the vocabulary are checkpointed to the shared
-checkpoint folder, so the later actions (class counts, vocabulary cut,
-scores) do not recompute the corpus.
+The corpus, the term counts, the vocabulary and the predictions are tables
+written to the shared folder, so later actions scan them column by column.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from ..operators import canonical as C
 from ..operators import features as FE
 from ..operators import model as MD
 from ..operators import sampling as SP
-from ..session import checkpoint_root
+from ..session import written
 from .corpus import master_corpus
 
 
@@ -39,32 +38,32 @@ def labelled(spark: SparkSession, sf_dir: str, label=C.label_malicious) -> DataF
         F.col("message_id").alias("id"), "clean_text", "channel", label().alias("y"))
 
 
-def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checkpoint_root(spark)
-    lab = labelled(spark, sf_dir).checkpoint()
-    return SP.stratified_split(lab, "y", "id").checkpoint()
+def split(spark: SparkSession, sf_dir: str, label=C.label_malicious) -> DataFrame:
+    """The labelled corpus with its fold: a narrow expression over the corpus table."""
+    return SP.stratified_split(labelled(spark, sf_dir, label), "y", "id")
 
 
 _FITTED: dict = {}
 
 
-def fit(spark: SparkSession, sf_dir: str, vocab_size: int = S.VOCAB_SIZE_V2) -> Fitted:
+def fit(spark: SparkSession, sf_dir: str, vocab_size: int = S.VOCAB_SIZE_V2, label=C.label_malicious) -> Fitted:
     """Split + vocabulary + model, fitted once per session and input (the
     pieces are checkpointed tables) and reused by every evaluation/scoring query."""
     from .corpus import input_key
 
-    key = input_key(spark, sf_dir) + (vocab_size,)
+    key = input_key(spark, sf_dir) + (vocab_size, label.__name__)
     if key not in _FITTED:
-        _FITTED[key] = _fit(spark, sf_dir, vocab_size)
+        _FITTED[key] = _fit(spark, sf_dir, vocab_size, label)
     return _FITTED[key]
 
 
-def _fit(spark: SparkSession, sf_dir: str, vocab_size: int) -> Fitted:
-    sp = split(spark, sf_dir)
+def _fit(spark: SparkSession, sf_dir: str, vocab_size: int, label) -> Fitted:
+    sp = split(spark, sf_dir, label)
     train = sp.where(F.col("fold") == "train")
     n_train = train.count()
-    train_tf = FE.term_counts(train, "id", "clean_text", carry=("y",)).checkpoint()
-    vocab = MD.fit_vocab(train_tf, n_train, vocab_size).checkpoint()
+    train_tf = FE.term_counts(train, "id", "clean_text", carry=("y",))
+    train_tf = written(train_tf, "term-counts")
+    vocab = written(MD.fit_vocab(train_tf, n_train, vocab_size), "vocabulary")
     model = MD.fit_log_odds(vocab)
     return Fitted(sp, train_tf, n_train, model)
 
@@ -73,12 +72,12 @@ def test_predictions(f: Fitted) -> DataFrame:
     """The test fold with its scores, written once and read by every evaluation."""
     if f.predictions is None:
         test = f.split.where(F.col("fold") == "test")
-        f.predictions = MD.predict(test, "clean_text", f.model).checkpoint()
+        f.predictions = written(MD.predict(test, "clean_text", f.model), "test-predictions")
     return f.predictions
 
 
 def logistic_model(f: Fitted) -> MD.LinearModel:
     if f.logistic is None:
         m = MD.fit_logistic(f.split.where(F.col("fold") == "train"), f.model.vocab.drop("coef"))
-        f.logistic = MD.LinearModel(m.vocab.checkpoint(), m.intercept)
+        f.logistic = MD.LinearModel(written(m.vocab, "logistic"), m.intercept)
     return f.logistic
