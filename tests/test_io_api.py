@@ -28,7 +28,7 @@ def test_read_labeled_lines_newlines_and_bad_utf8(spark):
     p = C.parse_labeled_lines(lines)
     got = sorted((r.label, r.message) for r in p.where("accepted").collect())
     assert got == [("ham", "bad � byte"), ("ham", "first"), ("spam", "WIN cash now")]
-    assert lines.select("line_no").distinct().count() == 4
+    assert lines.select("line_key").distinct().count() == 4
 
 
 def test_predictions_csv_roundtrip(spark):

@@ -118,15 +118,18 @@ def canonical_phishing(df: DataFrame, key_col: str | None = None) -> DataFrame:
     """label = 1 rows -> canonical phishing rows.
 
     Blank body -> raw ''/clean '[empty]'; tactic over subject + ' ' + body
-    (a missing subject prints as 'nan', which matches no keyword).
+    (a missing subject prints as 'nan', which matches no keyword). Without a key
+    column the id follows from the whole row, with the ``copy_no`` of
+    ``number_copies`` (and the ``file`` of a stream) if there are such columns.
     """
     rows = filter_label(df)
     body = F.col("body")
     raw = F.when(X.is_blank(body), F.lit("")).otherwise(body)
     full = F.concat(F.coalesce(F.col("subject"), F.lit("nan")), F.lit(" "), raw)
-    key = F.col(key_col) if key_col else F.concat_ws("\u001f", "sender", "receiver", "date", "subject")
+    whole = ("file", "sender", "receiver", "date", "subject", "body", "copy_no")
+    key = [F.col(c) for c in ([key_col] if key_col else whole) if c in df.columns]
     return rows.select(*_canonical(
-        message_id=X.stable_id(F.lit(S.SOURCE_PHISHING), key, raw),
+        message_id=X.stable_id(F.lit(S.SOURCE_PHISHING), *key, raw),
         raw_text=raw,
         clean_text=F.coalesce(X.clean_mail_body(raw), F.lit("[empty]")),
         channel=F.lit("email"),

@@ -120,42 +120,63 @@ def with_term_weights(docs: DataFrame, text_col: str, model: LinearModel) -> Dat
     return d.withColumn("_at", F.col("_sparse.indices")).withColumn("_w", w).drop("_tok", "_ngrams", "_counts", "_sparse")
 
 
-def with_scores(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
-    """Adds ``_dot`` and ``_norm2`` (null without a known term) to every row."""
+def _strongest(pairs, k: int):
+    """Terms of the ``k`` largest positive contributions in an array of (value, term);
+    equal values (at 9 digits) by term."""
+    ranked = F.transform(F.filter(pairs, lambda p: p["value"] > 0),
+                         lambda p: F.struct((-F.round(p["value"], 9)).alias("value"), p["term"].alias("term")))
+    return F.transform(F.slice(F.array_sort(ranked), 1, k), lambda p: p["term"])
+
+
+def with_scores(docs: DataFrame, text_col: str, model: LinearModel, explain: int = 0) -> DataFrame:
+    """Adds ``_dot`` and ``_norm2`` (null without a known term) to every row, and
+    ``_why``: the ``explain`` terms that speak most for a malicious text."""
     rows = model.dictionary()
     if rows is None:
-        return _with_scores_long(docs, text_col, model)
+        return _with_scores_long(docs, text_col, model, explain)
     if not rows:
-        return docs.withColumn("_dot", F.lit(None).cast("double")).withColumn("_norm2", F.lit(None).cast("double"))
+        none = docs.withColumn("_dot", F.lit(None).cast("double")).withColumn("_norm2", F.lit(None).cast("double"))
+        return none.withColumn("_why", F.array().cast("array<string>"))
     d = with_term_weights(docs, text_col, model)
     coef = _constants(r["coef"] for r in rows)
     some = F.size("_w") > 0
     add = lambda a, x: a + x
     dot = F.aggregate(F.zip_with("_at", "_w", lambda i, w: w * F.get(coef, i)), F.lit(0.0), add)
     norm2 = F.aggregate(F.transform("_w", lambda w: w * w), F.lit(0.0), add)
-    return d.withColumn("_dot", F.when(some, dot)).withColumn("_norm2", F.when(some, norm2)).drop("_at", "_w")
+    why = F.array().cast("array<string>")
+    if explain:
+        terms = F.from_json(F.lit(json.dumps([r["term"] for r in rows])), "array<string>")
+        why = _strongest(F.zip_with("_at", "_w", lambda i, w: F.struct((w * F.get(coef, i)).alias("value"),
+                                                                       F.get(terms, i).alias("term"))), explain)
+    return (d.withColumn("_dot", F.when(some, dot)).withColumn("_norm2", F.when(some, norm2)).withColumn("_why", why)
+            .drop("_at", "_w"))
 
 
-def _with_scores_long(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
+def _with_scores_long(docs: DataFrame, text_col: str, model: LinearModel, explain: int = 0) -> DataFrame:
     """The same through long rows, for any vocabulary size. Rows get a number in a
     written table, so rows that share a caller's id stay apart."""
     from ..session import checkpoint_root
 
     checkpoint_root(docs.sparkSession)
     d = docs.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    s = vocab_term_scores(d, "_row", text_col, model).select(F.col("id").alias("_row"), F.col("dot").alias("_dot"), F.col("norm2").alias("_norm2"))
-    return d.join(s, "_row", "left").drop("_row")
+    s = vocab_term_scores(d, "_row", text_col, model, explain).select(
+        F.col("id").alias("_row"), F.col("dot").alias("_dot"), F.col("norm2").alias("_norm2"), F.col("why").alias("_why"))
+    return d.join(s, "_row", "left").withColumn("_why", F.coalesce("_why", F.array().cast("array<string>"))).drop("_row")
 
 
-def vocab_term_scores(docs: DataFrame, id_col: str, text_col: str, model: LinearModel) -> DataFrame:
-    """(id, dot, norm2) from long rows: one per n-gram and document, joined with
+def vocab_term_scores(docs: DataFrame, id_col: str, text_col: str, model: LinearModel, explain: int = 0) -> DataFrame:
+    """(id, dot, norm2, why) from long rows: one per n-gram and document, joined with
     the vocabulary before they are counted. ``id_col`` must be unique."""
     d = docs.select(F.col(id_col).alias("id"), FE.tokens(text_col).alias("_tok"))
     e = d.select("id", F.explode(FE.ngrams_of(F.col("_tok"))).alias("term"))
     j = FE.join_vocab(e, model.vocab.select("term", "idf", "coef"), model.n_bytes())
     tf = j.groupBy("id", "term", "idf", "coef").agg(F.count(F.lit(1)).alias("tf"))
     w = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    return tf.groupBy("id").agg(F.sum(w * F.col("coef")).alias("dot"), F.sum(w * w).alias("norm2"))
+    value = w * F.col("coef")
+    why = F.array().cast("array<string>")
+    if explain:   # distinct terms of one document
+        why = _strongest(F.collect_list(F.when(value > 0, F.struct(value.alias("value"), "term"))), explain)
+    return tf.groupBy("id").agg(F.sum(value).alias("dot"), F.sum(w * w).alias("norm2"), (why if explain else F.first(why)).alias("why"))
 
 
 def sigmoid(x):
@@ -172,7 +193,7 @@ def predict(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
     d = decision(F.col("_dot"), F.col("_norm2"), model.intercept)
     return (with_scores(docs, text_col, model).withColumn("decision", d)
             .withColumn("prob", sigmoid(F.col("decision")))
-            .withColumn("pred", (F.col("decision") > 0).cast("int")).drop("_dot", "_norm2"))
+            .withColumn("pred", (F.col("decision") > 0).cast("int")).drop("_dot", "_norm2", "_why"))
 
 
 # ---------------------------------------------------------------------------
@@ -217,6 +238,26 @@ def fit_logistic(train: DataFrame, vocab: DataFrame, text_col: str = "clean_text
     return LinearModel(FE.join_vocab(vocab.drop("coef"), fitted), float(m.intercept))
 
 
+def largest_gradient(docs: DataFrame, model: LinearModel, text_col: str = "clean_text", label: str = "y") -> DataFrame:
+    """One row (terms, gradient): the largest absolute partial derivative of the
+    balanced, L2 (C = 1) objective at ``model``; 0 at its unique optimum."""
+    n_of = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}   # one row per class
+    n = sum(n_of.values())
+    balance = F.create_map(*[F.lit(x) for c, k in n_of.items() for x in (c, n / (len(n_of) * k))])[F.col(label)]
+    d = with_term_weights(docs.select(label, text_col), text_col, model)
+    coef = _constants(r["coef"] for r in model.dictionary())
+    add = lambda a, x: a + x
+    norm = F.sqrt(F.aggregate(F.transform("_w", lambda w: w * w), F.lit(0.0), add))
+    z = F.aggregate(F.zip_with("_at", "_w", lambda i, w: w * F.get(coef, i)), F.lit(0.0), add)
+    d = d.withColumn("_norm", norm).withColumn("_off", balance * (sigmoid(
+        F.when(F.col("_norm") > 0, z / F.col("_norm")).otherwise(F.lit(0.0)) + F.lit(float(model.intercept))) - F.col(label)))
+    per_term = F.transform(F.arrays_zip("_at", "_w"), lambda x: F.struct(x["_at"].alias("at"), (x["_w"] / F.col("_norm") * F.col("_off")).alias("g")))
+    bias = F.array(F.struct(F.lit(-1).alias("at"), F.col("_off").alias("g")))
+    sums = d.select(F.explode(F.concat(bias, per_term)).alias("x")).groupBy(F.col("x.at").alias("at")).agg(F.sum("x.g").alias("g"))
+    own = F.when(F.col("at") >= 0, F.get(coef, F.col("at"))).otherwise(F.lit(0.0))
+    return sums.agg(F.count_if(F.col("at") >= 0).alias("terms"), F.max(F.abs(F.col("g") + own)).alias("gradient"))
+
+
 # ---------------------------------------------------------------------------
 # Persistence
 # ---------------------------------------------------------------------------

@@ -32,33 +32,36 @@ class Fitted:
     logistic: MD.LinearModel | None = None  # fitted on first use
 
 
-def labelled(spark: SparkSession, sf_dir: str, label=C.label_malicious) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, label=C.label_malicious, sources=None) -> DataFrame:
     corpus = master_corpus(spark, sf_dir)
+    if sources:
+        corpus = corpus.where(F.col("source_dataset").isin(*sources))
     return C.drop_null_text(corpus).select(
         F.col("message_id").alias("id"), "clean_text", "channel", label().alias("y"))
 
 
-def split(spark: SparkSession, sf_dir: str, label=C.label_malicious) -> DataFrame:
+def split(spark: SparkSession, sf_dir: str, label=C.label_malicious, sources=None) -> DataFrame:
     """The labelled corpus with its fold: a narrow expression over the corpus table."""
-    return SP.stratified_split(labelled(spark, sf_dir, label), "y", "id")
+    return SP.stratified_split(labelled(spark, sf_dir, label, sources), "y", "id")
 
 
 _FITTED: dict = {}
 
 
-def fit(spark: SparkSession, sf_dir: str, vocab_size: int = S.VOCAB_SIZE_V2, label=C.label_malicious) -> Fitted:
+def fit(spark: SparkSession, sf_dir: str, vocab_size: int = S.VOCAB_SIZE_V2, label=C.label_malicious,
+        sources: tuple[str, ...] | None = None) -> Fitted:
     """Split + vocabulary + model, fitted once per session and input (the
     pieces are checkpointed tables) and reused by every evaluation/scoring query."""
     from .corpus import input_key
 
-    key = input_key(spark, sf_dir) + (vocab_size, label.__name__)
+    key = input_key(spark, sf_dir) + (vocab_size, label.__name__, sources)
     if key not in _FITTED:
-        _FITTED[key] = _fit(spark, sf_dir, vocab_size, label)
+        _FITTED[key] = _fit(spark, sf_dir, vocab_size, label, sources)
     return _FITTED[key]
 
 
-def _fit(spark: SparkSession, sf_dir: str, vocab_size: int, label) -> Fitted:
-    sp = split(spark, sf_dir, label)
+def _fit(spark: SparkSession, sf_dir: str, vocab_size: int, label, sources) -> Fitted:
+    sp = split(spark, sf_dir, label, sources)
     train = sp.where(F.col("fold") == "train")
     n_train = train.count()
     train_tf = FE.term_counts(train, "id", "clean_text", carry=("y",))
@@ -68,6 +71,11 @@ def _fit(spark: SparkSession, sf_dir: str, vocab_size: int, label) -> Fitted:
     return Fitted(sp, train_tf, n_train, model)
 
 
+def fit_smishing(spark: SparkSession, sf_dir: str) -> Fitted:
+    """The first model generation: smishing only, on SMS and benign mail."""
+    return fit(spark, sf_dir, S.VOCAB_SIZE_V1, C.label_smishing, (S.SOURCE_SMS, S.SOURCE_MAIL))
+
+
 def test_predictions(f: Fitted) -> DataFrame:
     """The test fold with its scores, written once and read by every evaluation."""
     if f.predictions is None:

@@ -66,9 +66,9 @@ def mail_canon_select(where: str) -> str:
   )"""
 
 
-def phish_canon_select(where: str) -> str:
+def phish_canon_select(where: str, key: tuple = ("id",)) -> str:
     return f"""
-  SELECT {Q.stable_id(Q.q(S.SOURCE_PHISHING), 'id', 'raw')} AS message_id,
+  SELECT {Q.stable_id(Q.q(S.SOURCE_PHISHING), *key, 'raw')} AS message_id,
          raw AS raw_text,
          coalesce({Q.clean_mail_body('raw')}, '[empty]') AS clean_text,
          'email' AS channel, 'en' AS language,
@@ -80,7 +80,8 @@ def phish_canon_select(where: str) -> str:
          {Q.tactic_mail("coalesce(subject, 'nan') || ' ' || raw")} AS manipulation_tactic,
          'exploit' AS intent_stage,
          '{S.SOURCE_PHISHING}' AS source_dataset, 'high' AS confidence_label
-  FROM (SELECT *, CASE WHEN {Q.is_blank('body')} THEN '' ELSE body END AS raw
+  FROM (SELECT *, CASE WHEN {Q.is_blank('body')} THEN '' ELSE body END AS raw,
+               row_number() OVER (PARTITION BY sender, receiver, date_raw, subject, body) - 1 AS copy_no
         FROM msg WHERE label = 1 AND {where})"""
 
 
@@ -592,3 +593,52 @@ SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY id) - 1
        CASE WHEN bad IS NULL THEN probability END AS probability, CASE WHEN bad IS NULL THEN risk_tier ELSE 'Error' END AS risk_tier,
        CASE WHEN bad IS NULL THEN is_malicious END AS is_malicious, coalesce(bad, error) AS error
 FROM ({_score_out('first', '0.0')}, batch_id, {_ITEM_ERROR} AS bad FROM req_first)""", *_BATCH_CTES)
+
+
+# ---------------------------------------------------------------------------
+# Raw files, faulty sources, explanations, the first model generation
+# ---------------------------------------------------------------------------
+
+ORACLE["sms_files"] = with_ctes(
+    TAB_LINES_SQL,
+    """keyed AS (SELECT md5(value) || '-' || CAST(row_number() OVER (PARTITION BY value) - 1 AS VARCHAR) AS line_no, value
+                 FROM tab_lines)""",
+    parsed_lines_cte("parsed", "keyed"), body=sms_canon_select("parsed"))
+ORACLE["mail_csv"] = ORACLE["mail_canonical"]
+_PHISH_FILE = phish_canon_select("true", ("sender", "receiver", "date_raw", "subject", "body", "copy_no"))
+ORACLE["phishing_csv"] = with_ctes(body=_PHISH_FILE)
+ORACLE["stream_sms_files"] = f"SELECT * EXCLUDE (message_id), 1 AS ids FROM ({ORACLE['labeled_lines']})"
+ORACLE["stream_phishing_files"] = f"SELECT * EXCLUDE (message_id), 1 AS ids FROM ({ORACLE['phishing_canonical']})"
+ORACLE["stream_rejects"] = with_ctes(SCORE_CTES[0], body=f"""
+SELECT id, array_to_string(v, '; ') AS violations FROM (SELECT *, {_VIOL} AS v FROM req) WHERE len(v) > 0""")
+
+_PLACES = list(enumerate(S.CANONICAL_COLUMNS, 1))
+_FAULTS = [("sms", "column language is absent"), ("sms", "column extra is unknown"), ("phishing", None)] + [
+    ("mail", f"column {c} is at position {len(_PLACES) + 1 - i} instead of {i}") for i, c in _PLACES if 2 * i != len(_PLACES) + 1]
+ORACLE["schema_violations"] = corpus_sql(
+    "SELECT source_dataset, rows, violation FROM faults JOIN held USING (source_dataset)",
+    "faults(source_dataset, violation) AS (VALUES " + ", ".join(
+        f"({Q.q(a)}, {'NULL' if b is None else Q.q(b)})" for a, b in _FAULTS) + ")",
+    """held AS (SELECT 'sms' AS source_dataset, count(*) AS rows FROM sms_canon
+                UNION ALL SELECT 'mail', count(*) FROM mail_canon UNION ALL SELECT 'phishing', count(*) FROM phish_canon)""")
+
+ORACLE["explained_messages"] = model_sql(f"""
+SELECT s.id, probability, risk_tier, mode, channel, is_malicious, false AS roberta_enabled,
+       CASE WHEN error IS NULL THEN coalesce(why, '') END AS explanations, error IS NULL AS has_time
+FROM ({_score_out("first", "0.0")} FROM req_first) s LEFT JOIN (
+  SELECT id, string_agg(term, '; ' ORDER BY rn) AS why
+  FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY value DESC, term) AS rn
+        FROM (SELECT r.id, r.term, round((1 + ln(r.tf)) * v.idf * v.coef, 9) AS value, v.coef FROM req_tf r JOIN vocab v USING (term))
+        WHERE coef > 0)
+  WHERE rn <= 5 GROUP BY id) w ON s.id = w.id""", *SCORE_CTES)
+
+ORACLE["model_roundtrip"] = ORACLE["vocab"]
+ORACLE["logistic_optimum"] = model_sql("""
+SELECT (SELECT count(*) FROM split WHERE fold = 'train') AS n_train, (SELECT count(*) FROM split WHERE fold = 'test') AS n_test,
+       (SELECT count(*) FROM vocab) AS terms, true AS at_optimum""")
+ORACLE["smishing_eval"] = (
+    ORACLE["stored_predictions"]
+    .replace("attack_label IN ('smishing', 'phishing'), false) AS INTEGER) AS y", "attack_label = 'smishing', false) AS INTEGER) AS y")
+    .replace("FROM corpus WHERE clean_text IS NOT NULL",
+             f"FROM corpus WHERE clean_text IS NOT NULL AND source_dataset IN ('{S.SOURCE_SMS}', '{S.SOURCE_MAIL}')")
+    .replace(f"LIMIT {S.VOCAB_SIZE_V2}", f"LIMIT {S.VOCAB_SIZE_V1}"))

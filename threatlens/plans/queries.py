@@ -106,6 +106,53 @@ def master_corpus(spark, sf_dir):
     return comparable(Q.build_master_corpus(srcs, strict=False))
 
 
+# ---------------------------------------------------------------------------
+# Raw files -> canonical rows
+# ---------------------------------------------------------------------------
+
+def _phishing_rows(msg):
+    return msg.select("sender", "receiver", F.col("date_raw").alias("date"), "subject", "body", "label")
+
+
+@query
+def sms_files(spark, sf_dir):
+    """Label/text files of every message -> canonical SMS rows; ids follow from the lines."""
+    path = scratch_path(spark, "sms-lines")
+    tab_lines(_msg(spark, sf_dir)).select("value").write.text(path)
+    return comparable(C.canonical_sms(C.parse_labeled_lines(IO.read_labeled_lines(spark, path)), key_col="line_key"))
+
+
+@query
+def mail_csv(spark, sf_dir):
+    """Mail archive CSV (file, message) -> canonical benign mail rows."""
+    path = scratch_path(spark, "mail-archive")
+    IO.write_table(mail_texts(_msg(spark, sf_dir)), path, fmt="csv")
+    return comparable(C.canonical_mail(IO.read_csv(spark, path, S.MAIL_CSV_SCHEMA, null_value=IO.CSV_NULL)))
+
+
+@query
+def phishing_csv(spark, sf_dir):
+    """Labelled phishing CSV -> canonical phishing rows; ids follow from the rows."""
+    path = scratch_path(spark, "phishing-csv")
+    IO.write_table(_phishing_rows(_msg(spark, sf_dir)), path, fmt="csv")
+    rows = C.filter_label(IO.read_csv(spark, path, S.PHISHING_CSV_SCHEMA, null_value=IO.CSV_NULL))
+    return comparable(C.canonical_phishing(IO.number_copies(rows)))
+
+
+@query
+def schema_violations(spark, sf_dir):
+    """Sources with a missing, an unknown and misplaced columns: every violation,
+    beside the rows that the faulty source holds."""
+    srcs = CP.canonical_sources(_msg(spark, sf_dir))
+    faulty = {"sms": srcs["sms"].drop("language").withColumn("extra", F.lit(1)),
+              "mail": srcs["mail"].select(*reversed(S.CANONICAL_COLUMNS)), "phishing": srcs["phishing"]}
+    out = [df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(name).alias("source_dataset"), "rows",
+        F.explode_outer(F.array(*[F.lit(v) for _, v in Q.schema_violations(df, name)]).cast("array<string>")).alias("violation"))
+        for name, df in faulty.items()]
+    return C.union_sources(out)
+
+
 @query
 def corpus_validation(spark, sf_dir):
     return Q.required_field_report(CP.canonical_sources(_msg(spark, sf_dir)))
@@ -288,7 +335,7 @@ def scored_messages(spark, sf_dir):
 
 
 def keyword_model():
-    """Stand-in second model with a closed form: sigmoid(hits - 1.5), hits =
+    """Stand-in second model with a closed form: logits (0, hits - 1.5), hits =
     number of risk phrases contained in the lower-cased text."""
     def make():
         import numpy as np
@@ -297,9 +344,9 @@ def keyword_model():
 
         def predict(texts):
             hits = np.array([sum(w in str(t).lower() for w in words) for t in texts], dtype=float)
-            return 1.0 / (1.0 + np.exp(-(hits - 1.5)))
+            return np.stack([np.zeros(len(hits)), hits - 1.5], axis=1)
         return predict
-    return SC.SecondModel(make, batch_size=256)
+    return SC.SecondModel(make, batch_size=256, logits=True)
 
 
 @query
@@ -311,11 +358,25 @@ def second_model(spark, sf_dir):
 
 @query
 def audit_log(spark, sf_dir):
+    """Audit records appended to a folder as JSON lines and read back."""
+    f = ML.fit(spark, sf_dir)
+    path = scratch_path(spark, "audit-log")
+    IO.write_audit_log(SC.audit_records(SC.score_messages(requests(_msg(spark, sf_dir)), f.model)), path)
+    return IO.read_audit_log(spark, path).drop("timestamp")
+
+
+EXPLAIN_TERMS = 5
+
+
+@query
+def explained_messages(spark, sf_dir):
+    """The 6-field response of every request with the terms that weigh most towards
+    malicious, and whether the prediction carries its time."""
     f = ML.fit(spark, sf_dir)
-    rec = SC.audit_records(SC.score_messages(requests(_msg(spark, sf_dir)), f.model))
-    schema = "timestamp string, probability double, risk_tier string, is_malicious boolean, mode string, " \
-             "channel string, text_length int"
-    return rec.select(F.from_json("value", schema).alias("r")).select("r.*").drop("timestamp")
+    scored = SC.score_messages(requests(_msg(spark, sf_dir)), f.model, include_explanation=True, explain_terms=EXPLAIN_TERMS)
+    return scored.select("id", *SC.api_single(scored).columns[:2], F.col("mode_out").alias("mode"), F.col("channel_out").alias("channel"),
+                         "is_malicious", "roberta_enabled", F.array_join("explanations", "; ").alias("explanations"),
+                         F.to_timestamp("timestamp").isNotNull().alias("has_time"))
 
 
 # ---------------------------------------------------------------------------
@@ -408,6 +469,43 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(out).select(*score_cols())
 
 
+@query
+def stream_rejects(spark, sf_dir):
+    """What the scoring stream turns away, with the reasons."""
+    from ..streaming.streams import score_stream
+
+    f = ML.fit(spark, sf_dir)
+    src, out, rej, ck = (scratch_path(spark, n) for n in ("req-in", "scores-out", "rejects-out", "scores-ckpt"))
+    requests(_msg(spark, sf_dir)).write.parquet(src)
+    score_stream(spark, src, f.model, out, rej, ck).awaitTermination()
+    return spark.read.parquet(rej).select("id", "violations")
+
+
+def _files_stream(spark, kind, write):
+    """Canonical rows of a stream of raw files. Ids contain the file's path, so the
+    result tells only whether they are distinct."""
+    from ..streaming.streams import canonicalize_files_stream
+
+    src, out, ck = (scratch_path(spark, f"{kind}-{n}") for n in ("in", "out", "ckpt"))
+    write(src)
+    canonicalize_files_stream(spark, kind, src, out, ck, null_value=IO.CSV_NULL).awaitTermination()
+    rows = comparable(spark.read.schema(S.CANONICAL_SCHEMA).parquet(out).select(*S.CANONICAL_COLUMNS))
+    ids = rows.groupBy("message_id").agg(F.count(F.lit(1)).alias("ids"))
+    return rows.join(ids, "message_id").drop("message_id")
+
+
+@query
+def stream_sms_files(spark, sf_dir):
+    lines = tab_lines(_msg(spark, sf_dir)).select("value")
+    return _files_stream(spark, "sms", lines.write.text)
+
+
+@query
+def stream_phishing_files(spark, sf_dir):
+    rows = _phishing_rows(_msg(spark, sf_dir))
+    return _files_stream(spark, "phishing", lambda path: IO.write_table(rows, path, fmt="csv"))
+
+
 @query
 def stream_canonical(spark, sf_dir):
     """SMS lines arrive as files; canonical rows appended by a streaming query."""
@@ -449,16 +547,49 @@ def logistic_eval(spark, sf_dir):
     return EV.rounded(EV.evaluation_summary(p.withColumn("prob", F.round("prob", 6))), 4)
 
 
+@query
+def logistic_optimum(spark, sf_dir):
+    """Sizes of the folds, number of terms, and whether the fit is at the (unique)
+    optimum of its objective: no partial derivative over 1e-3 in size."""
+    from ..operators import model as MD
+
+    f = ML.fit(spark, sf_dir)
+    train = f.split.where(F.col("fold") == "train")
+    folds = f.split.agg(F.count_if(F.col("fold") == "train").alias("n_train"), F.count_if(F.col("fold") == "test").alias("n_test"))
+    grad = MD.largest_gradient(train, ML.logistic_model(f)).select("terms", (F.col("gradient") < 1e-3).alias("at_optimum"))
+    one = F.lit(1)   # two tables of one row
+    return folds.withColumn("k", one).join(grad.withColumn("k", one), "k").drop("k")
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """The log-odds model saved, loaded and listed."""
+    from ..operators import model as MD
+
+    path = scratch_path(spark, "log-odds")
+    MD.save_model(ML.fit(spark, sf_dir).model, path)
+    back = MD.load_model(spark, path)
+    return EV.rounded(back.vocab.select("term", "idx", "df", "total_tf", "df_pos", "df_neg", "idf", "coef"))
+
+
+@query
+def smishing_eval(spark, sf_dir):
+    """The first model generation: smishing against the rest of SMS and benign mail,
+    20,000 terms; counts, precision, recall, F1 and ROC-AUC on its test fold."""
+    f = ML.fit_smishing(spark, sf_dir)
+    return EV.rounded(EV.evaluation_summary(ML.test_predictions(f).withColumn("prob", F.round("prob", 12))))
+
+
 @query
 def compare_models(spark, sf_dir):
     """Precision / recall / F1 / ROC-AUC of the linear model and the second
     (keyword) model on the same test fold."""
     p = _test_preds(spark, sf_dir)
     whole = X.preprocess("clean_text", None)   # both models see the whole text
-    second = keyword_model().column(whole)
-    k = (p.select("id", "y", F.round(F.when(whole == "", F.lit(0.0)).otherwise(second), 12)
-                  .alias("prob"))
-          .withColumn("pred", (F.col("prob") > 0.5).cast("int")))
+    second = keyword_model()
+    k = p.select("id", "y", (whole == "").alias("blank"), second.raw(whole).alias("raw")).select(
+        "id", "y", F.when(F.col("blank"), F.lit(0.0)).otherwise(F.round(second.probability(F.col("raw")), 12)).alias("prob"),
+        F.when(F.col("blank"), F.lit(0)).otherwise(second.label(F.col("raw"))).alias("pred"))
     rows = [EV.evaluation_summary(d).select(F.lit(name).alias("model"), "precision", "recall", "f1", "roc_auc")
             for name, d in (("tfidf", p.select("id", "y", "prob", "pred")), ("keyword", k))]
     return EV.rounded(rows[0].unionByName(rows[1]))

@@ -72,6 +72,16 @@ PHISHING_CSV_SCHEMA = T.StructType([
     T.StructField("label", T.IntegerType(), True),
 ])
 
+AUDIT_SCHEMA = T.StructType([
+    T.StructField("timestamp", T.StringType(), True),
+    T.StructField("probability", T.DoubleType(), True),
+    T.StructField("risk_tier", T.StringType(), True),
+    T.StructField("is_malicious", T.BooleanType(), True),
+    T.StructField("mode", T.StringType(), True),
+    T.StructField("channel", T.StringType(), True),
+    T.StructField("text_length", T.IntegerType(), True),
+])
+
 PREDICTIONS_SCHEMA = T.StructType([
     T.StructField("true_label", T.IntegerType(), True),
     T.StructField("pred_label", T.IntegerType(), True),

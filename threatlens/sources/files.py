@@ -10,15 +10,40 @@ from pyspark.sql import types as T
 from .. import schema as S
 
 
-def read_labeled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines (LF, CRLF or lone CR end a line), invalid UTF-8 -> U+FFFD.
+COPY_BLOCK = 10_000  # copies of one row that a task numbers at a time
+
+
+def number_copies(df: DataFrame, out: str = "copy_no") -> DataFrame:
+    """Every row with the number (0, 1, ...) of its copy among equal rows.
 
-    ``line_no`` is unique and deterministic for a given input layout: the
-    scan of a file split is replayed identically when a task is retried.
+    Equal rows are interchangeable, so (row, copy number) is a key that depends on
+    the content alone: not on files, splits, partitions or retries. Rows are counted
+    (partial aggregation, so a row repeated a billion times is no hot key) and
+    written out again; rows with many copies are dealt out in blocks first.
     """
-    raw = spark.read.text(path)
-    return raw.select(F.monotonically_increasing_id().alias("line_no"),
-                      F.make_valid_utf8(F.col("value")).alias("value"))
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    few = counts.where(F.col("_n") <= COPY_BLOCK).select(*cols, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias(out))
+    last_block = F.floor((F.col("_n") - 1) / COPY_BLOCK).cast("long")
+    blocks = counts.where(F.col("_n") > COPY_BLOCK).select(*cols, "_n", F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("_b"))
+    first = F.col("_b") * COPY_BLOCK
+    many = blocks.repartition(*cols, F.col("_b")).select(
+        *cols, F.explode(F.sequence(first, F.least(first + COPY_BLOCK, F.col("_n")) - 1)).alias(out))
+    return few.unionByName(many)
+
+
+def keyed_lines(raw: DataFrame) -> DataFrame:
+    """(line_key, value) of text lines: the key is the digest of the line (with its
+    file, if there is a ``file`` column) and its copy number."""
+    lines = number_copies(raw.withColumn("value", F.make_valid_utf8(F.col("value"))))
+    content = F.md5(F.concat_ws("\u001f", *[F.col(c) for c in raw.columns]))
+    return lines.select(F.concat_ws("-", content, F.col("copy_no").cast("string")).alias("line_key"), "value")
+
+
+def read_labeled_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines (LF, CRLF or lone CR end a line), invalid UTF-8 -> U+FFFD, with a
+    ``line_key`` that is the same however the lines are dealt to files and splits."""
+    return keyed_lines(spark.read.text(path))
 
 
 CSV_NULL = "\\N"  # null marker written by ``write_table`` (keeps '' apart from null)
@@ -31,8 +56,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
     An empty field is null by default (external files); pass
     ``null_value=CSV_NULL`` for files written by ``write_table``.
     """
-    return (spark.read.schema(schema).option("header", header).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", null_value).csv(path))
+    return csv_options(spark.read, schema, header, null_value).csv(path)
+
+
+def csv_options(reader, schema: T.StructType, header: bool = True, null_value: str = ""):
+    """Batch or stream reader set up as in ``read_csv``."""
+    return (reader.schema(schema).option("header", header).option("multiLine", True)
+            .option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", null_value))
 
 
 def read_csv_named(spark: SparkSession, path: str, schema: T.StructType = S.MAIL_CSV_NAMED_SCHEMA,
@@ -93,3 +123,7 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 def write_audit_log(records: DataFrame, path: str) -> None:
     """JSON lines (one ``value`` string per prediction)."""
     records.select("value").write.mode("append").text(path)
+
+
+def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.AUDIT_SCHEMA).json(path)
