@@ -240,7 +240,8 @@ def fit_logistic(train: DataFrame, vocab: DataFrame, text_col: str = "clean_text
 
 def largest_gradient(docs: DataFrame, model: LinearModel, text_col: str = "clean_text", label: str = "y") -> DataFrame:
     """One row (terms, gradient): the largest absolute partial derivative of the
-    balanced, L2 (C = 1) objective at ``model``; 0 at its unique optimum."""
+    objective that ``fit_logistic`` minimises (mean balanced loss plus L2 / n) at
+    ``model``; 0 at its unique optimum."""
     n_of = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}   # one row per class
     n = sum(n_of.values())
     balance = F.create_map(*[F.lit(x) for c, k in n_of.items() for x in (c, n / (len(n_of) * k))])[F.col(label)]
@@ -255,7 +256,7 @@ def largest_gradient(docs: DataFrame, model: LinearModel, text_col: str = "clean
     bias = F.array(F.struct(F.lit(-1).alias("at"), F.col("_off").alias("g")))
     sums = d.select(F.explode(F.concat(bias, per_term)).alias("x")).groupBy(F.col("x.at").alias("at")).agg(F.sum("x.g").alias("g"))
     own = F.when(F.col("at") >= 0, F.get(coef, F.col("at"))).otherwise(F.lit(0.0))
-    return sums.agg(F.count_if(F.col("at") >= 0).alias("terms"), F.max(F.abs(F.col("g") + own)).alias("gradient"))
+    return sums.agg(F.count_if(F.col("at") >= 0).alias("terms"), (F.max(F.abs(F.col("g") + own)) / n).alias("gradient"))
 
 
 # ---------------------------------------------------------------------------

@@ -550,13 +550,13 @@ def logistic_eval(spark, sf_dir):
 @query
 def logistic_optimum(spark, sf_dir):
     """Sizes of the folds, number of terms, and whether the fit is at the (unique)
-    optimum of its objective: no partial derivative over 1e-3 in size."""
+    optimum of its objective: every partial derivative is below 1e-4."""
     from ..operators import model as MD
 
     f = ML.fit(spark, sf_dir)
     train = f.split.where(F.col("fold") == "train")
     folds = f.split.agg(F.count_if(F.col("fold") == "train").alias("n_train"), F.count_if(F.col("fold") == "test").alias("n_test"))
-    grad = MD.largest_gradient(train, ML.logistic_model(f)).select("terms", (F.col("gradient") < 1e-3).alias("at_optimum"))
+    grad = MD.largest_gradient(train, ML.logistic_model(f)).select("terms", (F.col("gradient") < 1e-4).alias("at_optimum"))
     one = F.lit(1)   # two tables of one row
     return folds.withColumn("k", one).join(grad.withColumn("k", one), "k").drop("k")
 
