@@ -32,7 +32,7 @@ def test_stored_predictions_and_group_limit(spark):
 def test_no_cartesian_or_nested_loop_join(spark):
     from threatlens.plans.queries import QUERIES
 
-    skip = {"logistic_fit", "logistic_eval"}  # iterative ML fit; checked by its own test
+    skip = {"logistic_fit", "logistic_eval", "logistic_optimum"}  # iterative ML fit; checked by its own test
     for name, fn in QUERIES.items():
         if name in skip:
             continue

@@ -557,8 +557,8 @@ def logistic_optimum(spark, sf_dir):
     train = f.split.where(F.col("fold") == "train")
     folds = f.split.agg(F.count_if(F.col("fold") == "train").alias("n_train"), F.count_if(F.col("fold") == "test").alias("n_test"))
     grad = MD.largest_gradient(train, ML.logistic_model(f)).select("terms", (F.col("gradient") < 1e-4).alias("at_optimum"))
-    one = F.lit(1)   # two tables of one row
-    return folds.withColumn("k", one).join(grad.withColumn("k", one), "k").drop("k")
+    both = folds.unionByName(grad, allowMissingColumns=True)   # two rows, folded into one
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query
