@@ -50,7 +50,7 @@ def counted(grams: Column) -> Column:
         return F.transform(F.array(firsts), lambda f: F.transform(f, lambda e, j: F.struct(
             e["term"].alias("term"), (F.coalesce(F.get(f, j + 1)["at"], F.size(s)) - e["at"]).cast("long").alias("tf"))))
 
-    return F.flatten(F.flatten(F.transform(F.array(F.array_sort(grams)), lengths)))
+    return F.flatten(F.flatten(F.transform(F.array(F.sort_array(grams)), lengths)))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, carry=()) -> DataFrame:
