@@ -1,4 +1,6 @@
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -59,3 +61,34 @@ def test_redaction_takes_the_spans_out(spark, hazards, no_rows):
     got = {r.doc_id: r.redacted for r in S.redact(hazards, V, ["doc_id"]).collect()}
     assert got[10] == "[SECRET]\" and [SECRET]" and got[1] is None and got[2] == ""
     assert S.redact(no_rows, V, ["doc_id"]).collect() == [] and S.find_secrets(no_rows, V, ["doc_id"]).collect() == []
+
+
+GROUPED = ("xkqzvwpjhrtmnbgfdclsyaeo", "XKQZVWPJHRTMNBGFDCLSYAEO", "8K3JD-9FJ2L-X0P4M-Q7R6T-B1N5V", "xkqzv-wpjhr-tmnbg-fdcls",
+           "aB3x/Yk9+Qz2L/mN0p/Rt7W+vC4s", "3f9Qz_7Lm2X_p0Rt8_Wv5Cs")
+
+
+@pytest.mark.parametrize("x", GROUPED)
+def test_single_case_and_grouped_keys_are_found(x):
+    assert S.Scanner(V).find(f"key {x} end") == [("random", 4, 4 + len(x))]
+
+
+def test_planted_random_strings_are_found():
+    rnd, s = random.Random(5), S.Scanner(V)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for signs, sizes, least in ((lower, [24], 0.93), (upper, [24], 0.95), (lower, [4] * 5, 0.92), (upper + digits, [5] * 5, 0.99),
+                                (lower + upper + digits, [3, 7, 4, 6, 5], 0.99), ("0123456789ABCDEF", [30], 0.99)):
+        keys = ["-".join("".join(rnd.choices(signs, k=n)) for n in sizes) for _ in range(300)]
+        assert sum(s.find(f"key {k} end") == [("random", 4, 4 + len(k))] for k in keys) >= least * len(keys)
+
+
+def test_closed_forms_and_names_are_not_reported():
+    s = S.Scanner(V)
+    for x in ("2024/01/02/03/04/05", "20240102T030405Z", "1-2-3-4-5-6-7-8-9-10", "+49-170-1234567-89", "ab/cd/ef/gh/ij/kl",
+              "Donaudampfschifffahrtsgesellschaft", "MAX_CHARS_PER_TOKEN", "XMLHttpRequestFactory", "----------------"):
+        assert s.find(f"id {x} end") == []
+    assert s.find("see config/production/database/wJalrXUtnFEMIK7MDENGbPxRfi/readme end") == [("random", 31, 57)]
+
+
+def test_grouped_keys_leave_the_text(spark):
+    docs = spark.createDataFrame([(i, f"a {x} b") for i, x in enumerate(GROUPED)], "doc_id int, text string")
+    assert {r.redacted for r in S.redact(docs, V, ["doc_id"]).collect()} == {"a [SECRET] b"}
