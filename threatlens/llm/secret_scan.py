@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,21 @@ def pair_bits(vocabulary: str, tokens) -> dict[str, float]:
     return _PAIRS[vocabulary]
 
 
+def stretches(text: str, a: int, b: int, base: list[tuple[int, int]], i: int = 0):
+    """What base spans (sorted, from the i-th on) leave of [a, b), in pieces of the
+    minimum length; the one separator that joins a piece to a span is not part of it."""
+    at, cut = a, False
+    for x, y in [*base[i:bisect_left(base, (b, b), i)], (b, b)]:
+        end = min(x, b)
+        if end > at:
+            left = at + (cut and bool(SEPARATORS.match(text, at)))
+            right = end - (end < b and bool(SEPARATORS.match(text, end - 1)))
+            if right - left >= MIN_CANDIDATE:
+                yield left, right
+        if y > at:
+            at, cut = y, x < b
+
+
 class Scanner:
     """find(text) -> [(kind, start, end)] in code points, by start, then kind."""
 
@@ -118,12 +134,14 @@ class Scanner:
         if "AKIA" in text:
             found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
         found += [("hex", *m.span()) for m in HEX.finditer(text)]
-        base = [(a, b) for _, a, b in found]
+        base = sorted((a, b) for _, a, b in found)
+        i = 0
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            if any(x < b and a < y for x, y in base):
-                continue
-            found += [("random", x, y) for x, y in self.random_spans(text, a, b)]
+            while i < len(base) and base[i][1] <= a:
+                i += 1
+            for x, y in stretches(text, a, b, base, i):
+                found += [("random", *r) for r in self.random_spans(text, x, y)]
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
