@@ -66,3 +66,15 @@ def test_bounds_hold_for_most_vectors():
     about, half = N.estimate(bits, corr, q)
     true = (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)
     assert (np.abs(about - true) <= half).mean() > 0.97 and bits.shape == (2000, 8)
+
+
+def test_many_vector_lengths(spark, monkeypatch):
+    monkeypatch.setattr(N, "ROTATION_BYTES", 1000)
+    rng = np.random.default_rng(4)
+    rows = [(1000 * d + i, rng.standard_normal(d).tolist()) for d in range(2, 82) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.search(N.build_index(df), F.col("vec_id") % 1000 == 0, 5, block_rows=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [j for _, j in brute([x for x in rows if x[0] // 1000 == q // 1000], every=1000)[q]]
+                   for q in range(2000, 82000, 1000)}

@@ -23,7 +23,7 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 512       # queries that travel together
 EPSILON = 2.4          # width of the error bound in standard deviations
 SEED = 31
-MAX_DIMENSIONS = 64    # distinct vector lengths in a table
+ROTATION_BYTES = 64 << 20   # rotations kept per Python worker; then they are made anew
 
 _ROTATIONS: dict = {}
 
@@ -33,6 +33,8 @@ def rotation(dim: int, seed: int = SEED):
     import numpy as np
 
     if (dim, seed) not in _ROTATIONS:
+        if sum(r.nbytes for r in _ROTATIONS.values()) > ROTATION_BYTES:
+            _ROTATIONS.clear()
         g = np.random.default_rng(seed).standard_normal((dim, dim))
         q, r = np.linalg.qr(g)
         _ROTATIONS[dim, seed] = q * np.sign(np.diag(r))
@@ -126,12 +128,9 @@ def search(index: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS,
     candidates than k: all of them. An empty table gives an empty result.
     """
     index = store(index, "vector-index")
-    sizes = index.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).limit(MAX_DIMENSIONS + 1).collect()
-    if len(sizes) > MAX_DIMENSIONS:
-        raise ValueError(f"vectors have more than {MAX_DIMENSIONS} different lengths")
-    blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], -(-r["n"] // block_rows))]) if sizes \
-        else F.create_map(F.lit(0), F.lit(1))
-    index = index.withColumn("blocks", blocks[F.col("dim")])
+    # one row per vector length: broadcast, as n different lengths take n * n / 2 components in the table
+    blocks = index.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    index = index.join(F.broadcast(blocks), "dim")
     hashed = F.xxhash64("vec_id", "v")
     base = index.groupBy("dim", F.pmod(hashed, F.col("blocks")).cast("int").alias("block")).agg(
         F.collect_list(F.struct("vec_id", "code", "correction", "v")).alias("rows"))
