@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,32 @@ def test_stems_stand_for_longer_forms():
     rows = [("idio", 9, 4.0), ("idiot", 9, 4.1), ("idiot ", 7, 4.0), ("scum", 5, 3.0), ("scum ", 5, 3.0), ("réeux", 9, 3.0), ("réeuxa", 3, 3.5)]
     stems, whole = X.choose_stems(rows)
     assert stems == {"idiot": 4.1, "scum": 3.0, "réeux": 3.0} and whole == {"scum"}
+
+
+def test_statistic(spark):
+    def direct(t, c, n1, n0):
+        if t * n0 <= c * n1:
+            return 0.0
+        n, cells = n1 + n0, ((t, t + c, n1), (c, t + c, n0), (n1 - t, n1 + n0 - t - c, n1), (n0 - c, n1 + n0 - t - c, n0))
+        return 2 * sum(k * math.log(k * n / (row * col)) for k, row, col in cells if k)
+
+    rows = [(t, c) for t in (0, 1, 5, 30, 60) for c in (0, 1, 7, 90)]
+    got = spark.createDataFrame(rows, "t long, c long").select("t", "c", X.g2(F.col("t"), F.col("c"), 60, 90).alias("g")).collect()
+    assert all(r.g == pytest.approx(direct(r.t, r.c, 60, 90), abs=1e-9) for r in got)
+
+
+def test_many_different_toxic_words(spark):
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    toxic = ["".join(rnd.choices(letters, k=10)) for _ in range(900)]
+    clean = ["".join(rnd.choices(letters, k=10)) for _ in range(900)]
+    docs = [[] for _ in range(400)]
+    for words, first in ((toxic, 0), (clean, 200)):
+        for w in words:
+            for i in rnd.sample(range(first, first + 200), 20):
+                docs[i].append(w)
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "doc_id long, toxic int")
+    stems = set(X.fit(table, labels, F.lit(True)).stems)
+    known = lambda w: any(w[:k] in stems for k in range(1, len(w) + 1))
+    assert sum(map(known, toxic)) >= 895 and sum(map(known, clean)) <= 5

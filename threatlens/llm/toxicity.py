@@ -30,7 +30,6 @@ MIN_TOXIC_DOCS = 3
 MIN_G2 = 20.0             # likelihood ratio statistic of a stem's capped occurrences
 MIN_WEIGHT = 1.8          # log ratio of the frequencies
 SMOOTH_WORDS = 30         # added to a text's length, so that one hit in a few words is no certainty
-MAX_STEMS = 5000
 THRESHOLD = 0.7
 
 # FIXED VALUES: letters that look like Latin ones, and digits and signs written for letters.
@@ -200,15 +199,12 @@ def _evidence_factory(lexicon):
     return run
 
 
-def g2(t: int, c: int, n1: int, n0: int) -> float:
+def g2(t: Column, c: Column, n1: int, n0: int) -> Column:
     """Likelihood ratio statistic of a 2 x 2 table, for terms over-represented in toxic documents."""
-    if t * n0 <= c * n1:
-        return 0.0
-    total, out = n1 + n0, 0.0
+    t, c, total, out = t.cast("double"), c.cast("double"), float(n1 + n0), F.lit(0.0)
     for seen, row, col in ((t, t + c, n1), (c, t + c, n0), (n1 - t, total - t - c, n1), (n0 - c, total - t - c, n0)):
-        if seen > 0:
-            out += seen * math.log(seen * total / (row * col))
-    return 2.0 * out
+        out += F.when(seen > 0, seen * F.log(seen * total / F.nullif(row * float(col), F.lit(0.0)))).otherwise(0.0)
+    return F.when(t * n0 <= c * n1, F.lit(0.0)).otherwise(2.0 * out)
 
 
 def choose_stems(rows) -> tuple[dict[str, float], frozenset]:
@@ -264,9 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
         text: str = "text", per_class: int = SAMPLE_DOCS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Lexicon and curve from a bounded labelled sample (``labelled_sample``).
 
-    Terms are counted per document on the executors; only stems that pass the
-    tests (MAX_STEMS at most, strongest first) and two numbers per sampled
-    document reach the driver. Without labels of both classes the lexicon is empty.
+    Terms are counted and tested on the executors; only the terms that pass all
+    tests (bounded by the sample's words) and two numbers per sampled document
+    reach the driver. Without labels of both classes the lexicon is empty.
     """
     sample = labelled_sample(docs, labels, learnable, label, doc_id, text, per_class).persist()
     parts = map_texts(sample, ["y"], "text", "copy long, terms array<struct<term: string, k: int>>", _terms_factory)
@@ -283,10 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
             F.sum(F.when(toxic, 0).otherwise(k)).alias("clean"))
         weight = F.log(((F.col("tox") + 0.5) / n1) / ((F.col("clean") + 0.5) / n0))
         top = (counts.withColumn("weight", weight)
-               .where((F.col("docs") >= MIN_TOXIC_DOCS) & (F.col("weight") >= MIN_WEIGHT))
-               .orderBy(F.desc(F.col("weight") * F.col("tox")), "term").limit(MAX_STEMS).collect())
-        kept = [(r["term"], r["docs"], r["weight"]) for r in top if g2(r["tox"], r["clean"], CAP * n1, CAP * n0) >= MIN_G2]
-        stems, whole = choose_stems(kept)
+               .where((F.col("docs") >= MIN_TOXIC_DOCS) & (F.col("weight") >= MIN_WEIGHT)
+                      & (g2(F.col("tox"), F.col("clean"), CAP * n1, CAP * n0) >= MIN_G2)).collect())
+        stems, whole = choose_stems([(r["term"], r["docs"], r["weight"]) for r in top])
         lexicon = Lexicon(stems, whole, exceptions)
         seen = map_texts(sample, ["y"], "text", "weight double, n long", _evidence_factory, lexicon).collect()
         lexicon.curve = fit_curve([(r["weight"], r["n"]) for r in seen], [r["y"] for r in seen])
