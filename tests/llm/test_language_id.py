@@ -41,3 +41,13 @@ def test_whole_text_counts():
 def test_ties_fall_to_the_smaller_name():
     c = L.Classifier({"y": b"same words here", "x": b"same words here"})
     assert c.predict("same words") == ("x", 0.0, True)
+
+
+def test_repeated_rows_are_one_in_the_sample(spark):
+    docs = spark.range(0, 200).select(F.col("id").alias("doc_id"), F.concat(F.lit("ordinary words "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    for key in ("cast(null as bigint)", "cast(7 as bigint)"):
+        same = spark.range(0, 3000, 1, 4).select(F.expr(key).alias("doc_id"), F.lit("the very same line").alias("text"), F.lit("en").alias("lang"))
+        d = L.learn(docs.unionByName(same), F.lit(True), pieces=1000)
+        assert d["en"].decode().split("\n").count("the very same line") == 1
+        assert len(d["en"].decode().split("\n")) == 201
+    assert L.learn(docs, F.lit(True), pieces=50) == L.learn(docs.union(docs), F.lit(True), pieces=50)

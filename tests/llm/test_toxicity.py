@@ -99,3 +99,14 @@ def test_many_different_toxic_words(spark):
     stems = set(X.fit(table, labels, F.lit(True)).stems)
     known = lambda w: any(w[:k] in stems for k in range(1, len(w) + 1))
     assert sum(map(known, toxic)) >= 895 and sum(map(known, clean)) <= 5
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    docs = spark.range(0, 2000, 1, 4).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.selectExpr("id as doc_id", "text").union(docs.selectExpr("cast(5 as bigint)", "'the very same'")).union(
+        docs.selectExpr("cast(6 as bigint)", "text"))
+    labels = spark.range(0, 2000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = X.labelled_sample(docs, labels, F.lit(True), per_class=100).groupBy("y").count().collect()
+    assert all(60 <= r["count"] <= 140 for r in got) and len(got) == 2
+    whole = X.labelled_sample(docs, labels, F.lit(True), per_class=5000).collect()     # fewer than per_class: all, once
+    assert len(whole) == 2000 + 1 + 2000 - 1 and sum(r.text == "the very same" for r in whole) == 1

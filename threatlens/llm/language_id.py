@@ -36,23 +36,25 @@ def letters(text: str) -> str:
 def learn(docs: DataFrame, learnable: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id",
           pieces: int = SAMPLE_PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
     """Dictionary content per language from a bounded sample: about ``pieces``
-    pieces of ``piece_chars`` characters, chosen by a hash. Two narrow passes: one
-    counts rows per language, one reads the chosen texts."""
+    pieces of ``piece_chars`` characters, chosen by a hash among the distinct
+    (id, text) of the language; rows that repeat both are one. One pass counts
+    them per language, a narrow one reads the chosen texts."""
+    t = F.col(text)
+    h = F.xxhash64(F.col(doc_id), t)
     rows = docs.where(learnable & F.col(lang).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    keys = rows.select(F.col(lang).alias("lang"), h.alias("h")).distinct()
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
     spark = docs.sparkSession
     rate = spark.createDataFrame([(r["lang"], pieces / r["n"]) for r in counts], "r_lang string, rate double")
-    t = F.col(text)
-    h = F.xxhash64(F.col(doc_id), t)
     start = 1 + F.pmod(F.xxhash64(h), F.greatest(F.length(t) - piece_chars, F.lit(1)).cast("long"))
     picked = (rows.select(F.col(lang).alias("lang"), h.alias("h"), t.substr(start.cast("int"), F.lit(piece_chars)).alias("piece"))
               .join(F.broadcast(rate), F.col("lang") == F.col("r_lang"))
               .where(F.pmod(F.col("h"), F.lit(1 << 40)) < F.col("rate") * (1 << 40))
-              .where(F.length("piece") > 0).select("lang", "h", "piece").collect())   # ~ languages x pieces
+              .where(F.length("piece") > 0).select("lang", "h", "piece").distinct().collect())   # ~ languages x pieces
     out: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["piece"])):
         out.setdefault(r["lang"], []).append(letters(r["piece"]))

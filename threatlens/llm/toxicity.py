@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, store
 
 SAMPLE_DOCS = 2500        # labelled documents per class that the fit reads, in expectation
 CAP = 3                   # occurrences of a stem that count in one document of the fit
@@ -148,14 +148,19 @@ def features(weight: float, n_words: int) -> tuple[float, float]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", doc_id: str = "doc_id",
                     text: str = "text", per_class: int = SAMPLE_DOCS) -> DataFrame:
     """(text, y) of about ``per_class`` labelled documents of each class, chosen by a
-    hash of the id. Only the chosen ids (bounded) are broadcast to the documents."""
+    hash among the distinct (id, text), so that rows which repeat an id or a whole
+    document neither enlarge the sample nor fill it. Only the chosen keys (bounded)
+    are broadcast to the documents."""
     known = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & learnable)
              .groupBy(F.col(doc_id).alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("y")))
-    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    h = F.xxhash64(F.col(text))
+    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    keys = store(rows.select(F.col(doc_id).alias("l_id"), h.alias("l_hash")).distinct().join(known, "l_id"), "toxicity-keys")
+    n = {r["y"]: r["n"] for r in keys.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.when(F.col("y") == 1, F.lit(per_class / max(1, n.get(1, 0)))).otherwise(F.lit(per_class / max(1, n.get(0, 0))))
-    ids = known.where(F.pmod(F.xxhash64(F.col("l_id"), F.lit(11)), F.lit(1 << 30)) < rate * (1 << 30))
-    return docs.where(F.col(text).isNotNull()).join(F.broadcast(ids), F.col(doc_id) == F.col("l_id")).select(
-        F.col(text).alias("text"), "y")
+    drawn = keys.where(F.pmod(F.xxhash64(F.col("l_id"), F.col("l_hash"), F.lit(11)), F.lit(1 << 30)) < rate * (1 << 30))
+    return (rows.join(F.broadcast(drawn), (F.col(doc_id) == F.col("l_id")) & (h == F.col("l_hash")))
+            .groupBy("l_id", "l_hash", "y").agg(F.min(text).alias("text")).select("text", "y"))
 
 
 def document_terms(text: str) -> tuple[int, dict[str, int]]:
