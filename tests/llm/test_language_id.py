@@ -51,3 +51,11 @@ def test_repeated_rows_are_one_in_the_sample(spark):
         assert d["en"].decode().split("\n").count("the very same line") == 1
         assert len(d["en"].decode().split("\n")) == 201
     assert L.learn(docs, F.lit(True), pieces=50) == L.learn(docs.union(docs), F.lit(True), pieces=50)
+
+
+def test_a_few_bytes_are_noise(monkeypatch):
+    c = L.Classifier({"a": b"alpha beta", "b": b"uno dos"})
+    for sizes, rejected in (([30, 30], True), ([30, 31], True), ([32, 30], True), ([30, 33], False), ([9000, 9003], True), ([9000, 9100], False)):
+        monkeypatch.setattr(c, "sizes", lambda data: sizes)
+        lang, score, no = c.predict("some text")
+        assert no == rejected and lang == "ab"[sizes[1] < sizes[0]] and score == min(1.0, abs(sizes[0] - sizes[1]) / (0.1 * max(sizes)))

@@ -23,6 +23,7 @@ BLOCK_BYTES = 4096
 LEVEL = 3
 FULL_MARGIN = 0.10       # saving over the runner-up that counts as certain
 MIN_SCORE = 0.05         # below: rejected
+MIN_BYTES = 3            # saving in bytes, below: rejected; of learnable rows that the dictionaries had not seen, 46 % were right below, 99.9 % from there on
 UNKNOWN = "und"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -86,7 +87,7 @@ class Classifier:
         best = sizes[order[0]]
         other = sizes[order[1]] if len(order) > 1 else 2 * best
         score = min(1.0, (other - best) / (FULL_MARGIN * other))
-        return self.langs[order[0]], score, score < MIN_SCORE
+        return self.langs[order[0]], score, score < MIN_SCORE or other - best < MIN_BYTES
 
 
 def _classify(dictionaries):
