@@ -73,3 +73,19 @@ def test_bad_edits_are_refused(counter):
     for edits in ([(2, 1, "")], [(0, 3, "x"), (2, 4, "y")], [(0, 99, "")]):
         with pytest.raises(ValueError):
             T.CountTree("some text", counter).apply(edits)
+
+
+def test_further_edits_start_from_the_edited_text(counter):
+    rnd = random.Random(9)
+    letters = " \n\t'sltrem aé1!.日Ω"
+    for _ in range(300):
+        t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 200)))
+        tree = T.CountTree(t, counter)
+        for _ in range(4):
+            cuts = sorted(rnd.randint(0, len(t)) for _ in range(2 * rnd.randint(0, 4)))
+            edits = [(a, b, "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 5)))) for a, b in zip(cuts[::2], cuts[1::2])]
+            t = edited(t, edits)
+            assert tree.apply(edits)[0] == tree.text == t
+            fresh = T.CountTree(t, counter)
+            assert tree.total == full(counter, t) and tree.starts == fresh.starts
+            assert [tree.before(i) for i in range(tree.n_pieces)] == [fresh.before(i) for i in range(fresh.n_pieces)]

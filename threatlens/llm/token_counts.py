@@ -4,8 +4,8 @@ A text's pre-tokens (the pieces that the vocabulary's pattern cuts before any
 merge) are kept with their token counts in a segment tree. An edit touches the
 pre-tokens around it only: the pattern is run again from the last border that
 the edit cannot have moved until its borders meet old ones beyond the edit.
-Those pieces are counted anew, and the sums above them are updated; the root
-holds the count of the edited text.
+Those pieces are counted anew and spliced in between the kept counts; the root
+holds the count of the edited text, which further edits start from.
 """
 
 from __future__ import annotations
@@ -73,10 +73,12 @@ class CountTree:
     """Pre-token borders of one text and a segment tree over their token counts."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self._counter = text, counter
+        self._counter = counter
         pieces = counter.pattern.findall(text)
-        self.starts = [0, *accumulate(map(len, pieces))]      # the last one is the text's length
-        counts = counter.counts(pieces)
+        self._build(text, [0, *accumulate(map(len, pieces))], counter.counts(pieces))
+
+    def _build(self, text: str, starts: list[int], counts: list[int]) -> None:
+        self.text, self.starts = text, starts                 # the last start is the text's length
         self._leaves = [counts[i:i + LEAF] for i in range(0, len(counts), LEAF)] or [[]]
         size = 1
         while size < len(self._leaves):
@@ -95,7 +97,7 @@ class CountTree:
         return len(self.starts) - 1
 
     def before(self, piece: int) -> int:
-        """Tokens before a pre-token (as the text stood when the tree was built)."""
+        """Tokens before a pre-token of the present text."""
         leaf, rest = divmod(piece, LEAF)
         out = sum(self._leaves[leaf][:rest]) if rest else 0
         node = leaf + self._size
@@ -105,30 +107,25 @@ class CountTree:
             node //= 2
         return out
 
-    def _replace(self, first: int, last: int, counts: list[int]) -> None:
-        """Pre-tokens [first, last) of the tree give way to ``counts``; the slots of
-        the others stay, so positions in the tree keep their meaning."""
-        if first == self.n_pieces and first:
-            first_slot = first - 1
-            leaf, at = divmod(first_slot, LEAF)
-            extra = {leaf: sum(counts)}
-        else:
-            leaf = first // LEAF
-            extra = {leaf: sum(counts)}
-        for i in range(first, last):
-            a, b = divmod(i, LEAF)
-            extra[a] = extra.get(a, 0) - self._leaves[a][b]
-            self._leaves[a][b] = 0
-        for a, change in extra.items():
-            node = a + self._size
-            while node:
-                self._sums[node] += change
-                node //= 2
+    def _splice(self, text: str, changes: list[tuple[int, int, list[str]]]) -> None:
+        """Pre-tokens [first, last) give way to new ones, which alone are counted; the
+        others keep their counts and move with the text."""
+        old, starts, counts, at, pos = [c for x in self._leaves for c in x], [], [], 0, 0
+        for first, last, pieces in changes:
+            moved = pos - self.starts[at]
+            starts += [x + moved for x in self.starts[at:first]]
+            counts += old[at:first]
+            ends = list(accumulate(map(len, pieces), initial=self.starts[first] + moved))
+            starts += ends[:-1]
+            counts += self._counter.counts(pieces)
+            at, pos = last, ends[-1]
+        moved = pos - self.starts[at]
+        self._build(text, starts + [x + moved for x in self.starts[at:]], counts + old[at:])
 
     def apply(self, edits) -> tuple[str, int]:
-        """Apply (start, end, replacement) edits, given on the original text, in order
-        and without overlap. Returns the new text and the number of pre-tokens
-        that were encoded again; ``total`` is then the new text's count."""
+        """Apply (start, end, replacement) edits, given on the present text, in order
+        and without overlap. Returns the new text and the number of pre-tokens that
+        were encoded again; the tree then is the new text's, ready for further edits."""
         edits = [e for e in edits if e[0] != e[1] or e[2]]
         if not edits:
             return self.text, 0
@@ -145,7 +142,7 @@ class CountTree:
             shift.append(length - b)
             at = b
         new_text = "".join([*parts, self.text[at:]])
-        starts, k, recounted = self.starts, 0, 0
+        starts, k, changes = self.starts, 0, []
         while k < len(edits):
             # first pre-token whose end the edit may have moved
             first = max(0, bisect_right(starts, edits[k][0] - CONTEXT) - 1)
@@ -161,10 +158,10 @@ class CountTree:
                         last, done = i, passed
                         break
                 pieces.append(m[0])
-            self._replace(first, last, self._counter.counts(pieces))
-            recounted += len(pieces)
+            changes.append((first, last, pieces))
             k = done
-        return new_text, recounted
+        self._splice(new_text, changes)
+        return new_text, sum(len(pieces) for _, _, pieces in changes)
 
 
 def pattern_edits(rules=SCRUB):
@@ -187,10 +184,10 @@ def _recounter(vocabulary, rules):
         rows = []
         for i, text in enumerate(texts):
             tree = CountTree(text or "", counter)
-            before = tree.total
+            before, n_pieces = tree.total, tree.n_pieces
             edits = find(text or "") if find else [(e["start"], e["end"], e["text"]) for e in given[i] or []]
             _, recounted = tree.apply(edits)
-            rows.append((before, tree.n_pieces, len(edits), tree.total, recounted))
+            rows.append((before, n_pieces, len(edits), tree.total, recounted))
         return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(5)]
 
     return run
