@@ -155,3 +155,15 @@ def test_logistic_fit_is_stationary(spark):
     grad_w = w + X.T @ (sw * (p - y))
     grad_b = np.sum(sw * (p - y))
     assert np.max(np.abs(grad_w)) < 1e-4 and abs(grad_b) < 1e-4
+
+
+def test_vocabularies_over_the_dictionary_limit_are_refused(spark, monkeypatch):
+    from threatlens.operators import model
+
+    monkeypatch.setattr(model, "MAX_DICTIONARY_BYTES", 10)
+    vocab = spark.createDataFrame([("some", 1.0, 0.5), ("words", 1.0, -0.5)], "term string, idf double, coef double")
+    docs = spark.createDataFrame([("some words", 1), ("words", 0)], "clean_text string, y int")
+    for refused in (lambda: model.with_term_weights(docs, "clean_text", model.LinearModel(vocab)),
+                    lambda: model.largest_gradient(docs, model.LinearModel(vocab)), lambda: model.fit_logistic(docs, vocab)):
+        with pytest.raises(ValueError, match="vocabulary"):
+            refused()

@@ -111,7 +111,10 @@ def _constants(values):
 def with_term_weights(docs: DataFrame, text_col: str, model: LinearModel) -> DataFrame:
     """Adds ``_at`` (dictionary positions) and ``_w`` (raw TF-IDF weights) of the
     dictionary's terms in each text: a narrow step in the JVM."""
-    rows, counter = model.dictionary(), model.counter()
+    rows = model.dictionary()
+    if rows is None:
+        raise ValueError(f"the vocabulary's terms exceed a dictionary of {MAX_DICTIONARY_BYTES} bytes")
+    counter = model.counter()
     none = F.array().cast("array<string>")
     d = docs.withColumn("_tok", F.coalesce(FE.tokens(text_col), none)).withColumn("_ngrams", FE.ngrams_of(F.col("_tok")))
     d = counter.transform(d).withColumn("_sparse", F.unwrap_udt("_counts"))
