@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ship_package
-from . import (bpe_codec, language_id, mixture, nearest_neighbours, quality_ledger, secret_scan, simhash_dedup,
-               token_counts, toxicity, url_filter)
+from . import (bpe_codec, language_id, mixture, nearest_neighbours, periodic_runs, quality_ledger, secret_scan,
+               simhash_dedup, token_counts, toxicity, url_filter)
 from .common import doc_bucket, table
 
 TOKENIZERS = "/opt/tokenizers"                     # folder of public vocabulary files
@@ -112,3 +112,18 @@ def op10_simhash_dedup(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return simhash_dedup.component_ids(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash_dedup.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of repeated words in all documents (a tenth of them with a planted tail)."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", periodic_runs.with_planted_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(docs, ["doc_id"])
+    best = periodic_runs.longest_run(F.col("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
