@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ship_package
-from . import (bpe_codec, language_id, mixture, nearest_neighbours, periodic_runs, quality_ledger, secret_scan,
-               simhash_dedup, token_counts, toxicity, url_filter)
+from . import (bpe_codec, collocations, language_id, mixture, nearest_neighbours, periodic_runs, quality_ledger,
+               secret_scan, simhash_dedup, token_counts, toxicity, url_filter)
 from .common import doc_bucket, table
 
 TOKENIZERS = "/opt/tokenizers"                     # folder of public vocabulary files
@@ -127,3 +127,9 @@ def op11_periodic_runs(spark, sf_dir):
         F.floor(F.lit(1000) * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
         F.sha2(periodic_runs.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    """The 2,000 strongest phrases of every language."""
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
