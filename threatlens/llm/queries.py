@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, ship_package
 from . import (bpe_codec, collocations, language_id, mixture, nearest_neighbours, periodic_runs, quality_ledger,
-               secret_scan, simhash_dedup, token_counts, toxicity, url_filter)
+               secret_scan, simhash_dedup, token_counts, toxicity, url_filter, warc)
 from .common import doc_bucket, table
 
 TOKENIZERS = "/opt/tokenizers"                     # folder of public vocabulary files
@@ -133,3 +133,12 @@ def op11_periodic_runs(spark, sf_dir):
 def op13_collocations(spark, sf_dir):
     """The 2,000 strongest phrases of every language."""
     return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_warc_archives(spark, sf_dir):
+    """Every page as a WARC record, written and read back."""
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"), "intact")
