@@ -5,7 +5,10 @@ meet the rules in an equi-join on a short prefix of their SHA-256 digest; the
 full digest confirms a meeting, and rule precedence picks the winner.
 
 Path prefixes are plain string prefixes ("/en/1" fits "/en/12"), so the only
-prefix lengths worth expanding are the distinct path lengths of the rules.
+prefix lengths worth expanding are the distinct path lengths of the rules; and of
+the host only the suffixes with as many labels as some rule's host has. A rule set
+of B bytes has at most sqrt(2 B) distinct lengths or label counts, so both lists
+are short whatever the number of rules.
 """
 
 from __future__ import annotations
@@ -15,8 +18,7 @@ from pyspark.sql import functions as F
 
 RULE_SCHEMA = "host string, path string, verdict string"
 HASH_PREFIX_HEX = 8         # 4 bytes of the digest are the join key
-MAX_PATH_LENGTHS = 4096     # distinct path lengths a rule set may have
-BROADCAST_RULES = 100_000   # rules that may be broadcast (< 20 MB of digests)
+BROADCAST_BYTES = 16 << 20  # hosts, paths and digests of rules that may be broadcast
 
 # FIXED VALUES: the rules of the contract.
 CONTRACT_RULES = [
@@ -48,12 +50,19 @@ def expression_digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each of its parent domains; [] for an empty host."""
-    parts = F.split(host, "\\.")
+def n_labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def numbers(values: list[int]) -> Column:
+    """A constant array of whole numbers, also of very many."""
+    return F.split(F.lit(",".join(map(str, sorted(values)))), ",").cast("array<int>") if values else F.array().cast("array<int>")
+
+
+def host_suffixes(host: Column, labels: Column) -> Column:
+    """The host's last n labels for every n of ``labels`` that it has; [] for an empty host."""
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(parts)),
-                    lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+        F.transform(F.filter(labels, lambda n: n <= n_labels(host)), lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -62,23 +71,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     The longest rule (host + path) wins; equal lengths: the longer host, then
     block before allow. Null URLs and URLs without ``://`` have an empty host
     and fit no rule. Repeated URLs are judged once. Rules with a null part are
-    ignored; repeated rules act as one. An empty rule set or an empty page
-    table gives an empty result.
+    ignored; repeated rules act as one. URLs of any length and with any number of
+    labels cost time in proportion to their length and the rules' distinct lengths
+    and label counts. An empty rule set or an empty page table gives an empty result.
     """
     rules = rules.where("host is not null and path is not null and verdict is not null").select(
         F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).distinct()
-    lengths = [r[0] for r in rules.select(F.length("r_path")).distinct().limit(MAX_PATH_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_PATH_LENGTHS:
-        raise ValueError(f"rule paths have more than {MAX_PATH_LENGTHS} distinct lengths")
+    shapes = rules.agg(F.collect_set(F.length("r_path")), F.collect_set(n_labels(F.col("r_host"))),
+                       F.coalesce(F.sum(F.octet_length("r_host") + F.octet_length("r_path") + 100), F.lit(0))).first()
     digests = rules.withColumn("r_digest", expression_digest(F.col("r_host"), F.col("r_path"))) \
                    .withColumn("r_key", F.substring("r_digest", 1, HASH_PREFIX_HEX))
-    if rules.count() <= BROADCAST_RULES:
+    if shapes[2] <= BROADCAST_BYTES:
         digests = F.broadcast(digests)
     urls = pages.select(F.col(url).alias("url")).where(F.col("url").contains("://")).distinct()
     urls = urls.select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    cuts = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")
-    prefixes = F.transform(F.filter(cuts, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    expr = (urls.select("url", F.explode(host_suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes"))
+    prefixes = F.transform(F.filter(numbers(shapes[0]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    expr = (urls.select("url", F.explode(host_suffixes(F.col("host"), numbers(shapes[1]))).alias("suffix"), prefixes.alias("prefixes"))
             .select("url", "suffix", F.explode("prefixes").alias("prefix"))
             .withColumn("digest", expression_digest(F.col("suffix"), F.col("prefix")))
             .withColumn("key", F.substring("digest", 1, HASH_PREFIX_HEX)))
