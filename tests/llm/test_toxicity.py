@@ -110,3 +110,75 @@ def test_repeated_ids_keep_the_sample_bounded(spark):
     assert all(60 <= r["count"] <= 140 for r in got) and len(got) == 2
     whole = X.labelled_sample(docs, labels, F.lit(True), per_class=5000).collect()     # fewer than per_class: all, once
     assert len(whole) == 2000 + 1 + 2000 - 1 and sum(r.text == "the very same" for r in whole) == 1
+
+
+def naive_hits(lexicon, folded):
+    """Every stem tried at every word start, every exception phrase looked up in the text."""
+    n = len(folded)
+    start = lambda i: i == 0 or not folded[i - 1].isalpha()
+    letter = lambda i: i < n and folded[i].isalpha()
+    phrases = [X.fold(p) for p in lexicon.exceptions]
+    masked = [(i, i + len(p)) for i in range(n) for p in phrases if folded.startswith(p, i) and start(i) and not letter(i + len(p))]
+    out = []
+    for i in range(n):
+        if start(i):
+            for s, w in lexicon.stems.items():
+                e = i + len(s)
+                if folded.startswith(s, i) and not (s in lexicon.whole and letter(e)) and not any(a <= i and e <= b for a, b in masked):
+                    out.append((i, e, w))
+    return out
+
+
+def naive_score(lexicon, text):
+    folded = X.fold(text or "")
+    hits = naive_hits(lexicon, folded)
+    z = lexicon.curve[0]
+    if hits:
+        weight, words = sum(w for _, _, w in hits), len(folded.split())
+        z += lexicon.curve[1] * math.log1p(200 * weight / (words + X.SMOOTH_WORDS)) + lexicon.curve[2] * math.log1p(weight)
+    return 1 / (1 + math.exp(-max(-60, min(60, z)))), sorted(folded[a:b] for a, b, _ in hits)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    sf = "/root/testdata/sf0.01"
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    return X.fit(documents(spark, sf=sf), documents(spark, "labels", sf), learn)
+
+
+def test_scores_equal_a_plain_search(spark, learned):
+    docs = documents(spark)
+    more = [(10_000, "trash can, trash Trash bins trash bin idiot-proof clown nose"), (10_001, None), (10_002, " ".join(sorted(learned.stems)[:40]))]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    want = {r.doc_id: naive_score(learned, r.text) for r in docs.collect()}
+    got = X.score_toxicity(docs, learned, ["doc_id"]).collect()
+    assert learned.stems and any(r.hits for r in got)
+    for r in got:
+        score, hits = want[r.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-12) and sorted(r.hits) == hits and r.predicted == int(score >= 0.7)
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark, learned):
+    sf = "/root/testdata/sf0.01"
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    docs = documents(spark, sf=sf).repartition(9, "text").sortWithinPartitions(F.desc("doc_id"))
+    assert X.fit(docs, documents(spark, "labels", sf).repartition(5), learn) == learned
+
+
+def test_columns_with_the_names_of_helpers(spark, learned):
+    sf = "/root/testdata/sf0.01"
+    names = ("y", "l_id", "l_hash", "id", "hash", "copy", "terms", "weight", "n", "toxic", "term", "tox", "clean", "docs", "least", "k")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    docs = documents(spark, sf=sf).select("*", *[F.lit("x").alias(c) for c in names])
+    assert X.fit(docs, documents(spark, "labels", sf), learn) == learned
+
+
+def test_long_texts_take_linear_time(matcher):
+    import time
+
+    t = time.time()
+    assert matcher.evidence("trash can " * 300_000)[2] == []
+    assert len(matcher.evidence("trash can idiot " * 150_000)[2]) == 150_000
+    for one in (" ", "\n", "x", ".", "1", "!"):
+        assert matcher.evidence(one * 3_000_000)[2] == []
+    assert time.time() - t < 60

@@ -15,8 +15,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +119,7 @@ class Matcher:
                     masked.append((a, b))
             elif not (whole and after):
                 found.append((a, b, w))
-        if masked:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in masked)]
-        return found
+        return outside(found, masked) if masked else found
 
     def evidence(self, text: str | None) -> tuple[float, int, list[str]]:
         """Summed weight, number of words, and the matched stems."""
@@ -138,6 +138,19 @@ class Matcher:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def outside(found, masked):
+    """The hits that no masked stretch holds: of the stretches that begin no later
+    than a hit, the one that reaches furthest decides."""
+    masked = sorted(masked)
+    starts, reach = [a for a, _ in masked], list(accumulate((b for _, b in masked), max))
+    kept = []
+    for x in found:
+        i = bisect_right(starts, x[0])
+        if not i or reach[i - 1] < x[1]:
+            kept.append(x)
+    return kept
+
+
 def features(weight: float, n_words: int) -> tuple[float, float]:
     """Evidence for its text's length, and evidence as such (both 0 without a hit)."""
     return math.log1p(200.0 * weight / (n_words + SMOOTH_WORDS)), math.log1p(weight)
@@ -147,20 +160,20 @@ def features(weight: float, n_words: int) -> tuple[float, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", doc_id: str = "doc_id",
                     text: str = "text", per_class: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, y) of about ``per_class`` labelled documents of each class, chosen by a
+    """(id, text, y) of about ``per_class`` labelled documents of each class, chosen by a
     hash among the distinct (id, text), so that rows which repeat an id or a whole
     document neither enlarge the sample nor fill it. Only the chosen keys (bounded)
     are broadcast to the documents."""
     known = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & learnable)
              .groupBy(F.col(doc_id).alias("l_id")).agg(F.max(F.col(label).cast("int")).alias("y")))
-    h = F.xxhash64(F.col(text))
-    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    keys = store(rows.select(F.col(doc_id).alias("l_id"), h.alias("l_hash")).distinct().join(known, "l_id"), "toxicity-keys")
+    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    keys = store(rows.select(F.col("id").alias("l_id"), F.col("hash").alias("l_hash")).distinct().join(known, "l_id"), "toxicity-keys")
     n = {r["y"]: r["n"] for r in keys.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.when(F.col("y") == 1, F.lit(per_class / max(1, n.get(1, 0)))).otherwise(F.lit(per_class / max(1, n.get(0, 0))))
     drawn = keys.where(F.pmod(F.xxhash64(F.col("l_id"), F.col("l_hash"), F.lit(11)), F.lit(1 << 30)) < rate * (1 << 30))
-    return (rows.join(F.broadcast(drawn), (F.col(doc_id) == F.col("l_id")) & (h == F.col("l_hash")))
-            .groupBy("l_id", "l_hash", "y").agg(F.min(text).alias("text")).select("text", "y"))
+    return (rows.join(F.broadcast(drawn), (F.col("id") == F.col("l_id")) & (F.col("hash") == F.col("l_hash")))
+            .groupBy("id", "hash", "y").agg(F.min("text").alias("text")))
 
 
 def document_terms(text: str) -> tuple[int, dict[str, int]]:
@@ -270,9 +283,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
     reach the driver. Without labels of both classes the lexicon is empty.
     """
     sample = labelled_sample(docs, labels, learnable, label, doc_id, text, per_class).persist()
-    parts = map_texts(sample, ["y"], "text", "copy long, terms array<struct<term: string, k: int>>", _terms_factory)
-    # of near copies with the same label one counts
-    firsts = parts.groupBy("y", "copy").agg(F.first("terms").alias("terms")).persist()
+    parts = map_texts(sample, ["y", "hash", "id"], "text", "copy long, terms array<struct<term: string, k: int>>", _terms_factory).persist()
+    # of near copies with the same label the one with the least (hash, id) counts; as many keys as the sample has rows at most
+    least = parts.groupBy("y", "copy").agg(F.min(F.struct("hash", "id")).alias("least")).select("y", "copy", "least.hash", "least.id")
+    firsts = parts.join(F.broadcast(least), ["y", "copy", "hash", "id"])
     try:
         n = {r["y"]: r["n"] for r in firsts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -288,11 +302,12 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
                       & (g2(F.col("tox"), F.col("clean"), CAP * n1, CAP * n0) >= MIN_G2)).collect())
         stems, whole = choose_stems([(r["term"], r["docs"], r["weight"]) for r in top])
         lexicon = Lexicon(stems, whole, exceptions)
-        seen = map_texts(sample, ["y"], "text", "weight double, n long", _evidence_factory, lexicon).collect()
+        seen = map_texts(sample, ["y", "hash"], "text", "weight double, n long", _evidence_factory, lexicon).collect()
+        seen.sort(key=lambda r: (r["hash"], r["y"]))          # sums of floats come in one order
         lexicon.curve = fit_curve([(r["weight"], r["n"]) for r in seen], [r["y"] for r in seen])
         return lexicon
     finally:
-        firsts.unpersist()
+        parts.unpersist()
         sample.unpersist()
 
 
