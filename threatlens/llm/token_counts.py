@@ -4,15 +4,16 @@ A text's pre-tokens (the pieces that the vocabulary's pattern cuts before any
 merge) are kept with their token counts in a segment tree. An edit touches the
 pre-tokens around it only: the pattern is run again from the last border that
 the edit cannot have moved until its borders meet old ones beyond the edit.
-Those pieces are counted anew and spliced in between the kept counts; the root
-holds the count of the edited text, which further edits start from.
+Those pieces are counted anew and take the old ones' place in their leaf; the sums
+on the leaf's path are updated, all others stay. The root holds the count of the
+edited text, which further edits start from.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from bisect import bisect_right
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -22,6 +23,7 @@ from .common import map_texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTEXT = 3              # characters beyond a pre-token that its end can depend on
 LEAF = 32                # pre-tokens of a leaf
+FULL_LEAF = 8 * LEAF     # a leaf that edits have filled beyond this has the tree laid out again (kept counts, no encoding)
 CACHE_PIECES = 300_000   # pieces kept per Python worker; then the cache starts anew
 KEEP_LENGTH = 64
 
@@ -57,7 +59,9 @@ class Counter:
         return _COUNTERS[vocabulary]
 
     def piece(self, s: str) -> int:
-        n = len(self._enc.encode_ordinary(s))
+        """Tokens of one pre-token. The merges run on its bytes; the pattern, which cannot
+        take a million blanks in one piece, does not run again."""
+        n = len(self._enc._encode_single_piece(s))
         if len(s) <= KEEP_LENGTH:
             if len(self._known) >= CACHE_PIECES:
                 self._known.clear()
@@ -70,23 +74,33 @@ class Counter:
 
 
 class CountTree:
-    """Pre-token borders of one text and a segment tree over their token counts."""
+    """Segment tree over the pre-tokens of one text: each node sums the characters,
+    tokens and pre-tokens below it."""
 
     def __init__(self, text: str, counter: Counter):
-        self._counter = counter
+        self._counter, self.text = counter, text
         pieces = counter.pattern.findall(text)
-        self._build(text, [0, *accumulate(map(len, pieces))], counter.counts(pieces))
+        self._lay_out(list(map(len, pieces)), counter.counts(pieces))
 
-    def _build(self, text: str, starts: list[int], counts: list[int]) -> None:
-        self.text, self.starts = text, starts                 # the last start is the text's length
-        self._leaves = [counts[i:i + LEAF] for i in range(0, len(counts), LEAF)] or [[]]
+    def _lay_out(self, lengths: list[int], counts: list[int]) -> None:
+        cut = range(0, len(counts), LEAF)
+        self._lengths = [lengths[i:i + LEAF] for i in cut] or [[]]
+        self._counts = [counts[i:i + LEAF] for i in cut] or [[]]
         size = 1
-        while size < len(self._leaves):
+        while size < len(self._counts):
             size *= 2
         self._size = size
-        self._sums = [0] * size + [sum(x) for x in self._leaves] + [0] * (size - len(self._leaves))
-        for i in range(size - 1, 0, -1):
-            self._sums[i] = self._sums[2 * i] + self._sums[2 * i + 1]
+        self.updated = 0                                       # nodes whose sums edits have set since
+        spare = [0] * (size - len(self._counts))
+        self._chars = [0] * size + list(map(sum, self._lengths)) + spare
+        self._sums = [0] * size + list(map(sum, self._counts)) + spare
+        self._pieces = [0] * size + list(map(len, self._counts)) + spare
+        for node in range(size - 1, 0, -1):
+            self._sum(node)
+
+    def _sum(self, node: int) -> None:
+        for x in (self._chars, self._sums, self._pieces):
+            x[node] = x[2 * node] + x[2 * node + 1]
 
     @property
     def total(self) -> int:
@@ -94,33 +108,59 @@ class CountTree:
 
     @property
     def n_pieces(self) -> int:
-        return len(self.starts) - 1
+        return self._pieces[1]
 
     def before(self, piece: int) -> int:
         """Tokens before a pre-token of the present text."""
-        leaf, rest = divmod(piece, LEAF)
-        out = sum(self._leaves[leaf][:rest]) if rest else 0
-        node = leaf + self._size
-        while node > 1:
-            if node & 1:
-                out += self._sums[node - 1]
-            node //= 2
-        return out
-
-    def _splice(self, text: str, changes: list[tuple[int, int, list[str]]]) -> None:
-        """Pre-tokens [first, last) give way to new ones, which alone are counted; the
-        others keep their counts and move with the text."""
-        old, starts, counts, at, pos = [c for x in self._leaves for c in x], [], [], 0, 0
-        for first, last, pieces in changes:
-            moved = pos - self.starts[at]
-            starts += [x + moved for x in self.starts[at:first]]
-            counts += old[at:first]
-            ends = list(accumulate(map(len, pieces), initial=self.starts[first] + moved))
-            starts += ends[:-1]
-            counts += self._counter.counts(pieces)
-            at, pos = last, ends[-1]
-        moved = pos - self.starts[at]
-        self._build(text, starts + [x + moved for x in self.starts[at:]], counts + old[at:])
+        node, out = 1, 0
+        if piece >= self.n_pieces:
+            return self.total
+        while node < self._size:
+            node *= 2
+            if piece >= self._pieces[node]:
+                piece -= self._pieces[node]
+                out += self._sums[node]
+                node += 1
+        return out + sum(self._counts[node - self._size][:piece])
+
+    def _locate(self, char: int) -> tuple[int, int, int]:
+        """(leaf, place in it, first character) of the pre-token that holds a character;
+        at the text's end the place behind the last one."""
+        if char >= self._chars[1]:
+            return len(self._counts) - 1, len(self._counts[-1]), self._chars[1]
+        node, start = 1, 0
+        while node < self._size:
+            node *= 2
+            if char - start >= self._chars[node]:
+                start += self._chars[node]
+                node += 1
+        for i, n in enumerate(self._lengths[node - self._size]):
+            if char < start + n:
+                break
+            start += n
+        return node - self._size, i, start
+
+    def _replace(self, start: int, end: int, pieces: list[str]) -> None:
+        """The pre-tokens of characters [start, end) give way to new ones, which alone are
+        counted; then the sums on the paths of the touched leaves."""
+        a, i, _ = self._locate(start)
+        b, j, _ = self._locate(end)
+        for leaves, new in ((self._lengths, list(map(len, pieces))), (self._counts, self._counter.counts(pieces))):
+            rest = leaves[b][j:]
+            leaves[a] = leaves[a][:i] + new + (rest if a == b else [])
+            for k in range(a + 1, b + 1):
+                leaves[k] = rest if k == b else []
+        nodes = range(a + self._size, b + self._size + 1)
+        for node in nodes:
+            leaf = node - self._size
+            self._chars[node], self._sums[node], self._pieces[node] = (
+                sum(self._lengths[leaf]), sum(self._counts[leaf]), len(self._counts[leaf]))
+        while nodes[0] > 1:
+            self.updated += len(nodes)
+            nodes = range(nodes[0] // 2, nodes[-1] // 2 + 1)
+            for node in nodes:
+                self._sum(node)
+        self.updated += 1
 
     def apply(self, edits) -> tuple[str, int]:
         """Apply (start, end, replacement) edits, given on the present text, in order
@@ -142,25 +182,28 @@ class CountTree:
             shift.append(length - b)
             at = b
         new_text = "".join([*parts, self.text[at:]])
-        starts, k, changes = self.starts, 0, []
+        k, changes = 0, []
         while k < len(edits):
             # first pre-token whose end the edit may have moved
-            first = max(0, bisect_right(starts, edits[k][0] - CONTEXT) - 1)
+            first = self._locate(max(0, edits[k][0] - CONTEXT))[2]
             moved = shift[k - 1] if k else 0
-            pieces, last, done = [], self.n_pieces, len(edits)
-            for m in self._counter.pattern.finditer(new_text, starts[first] + moved):
+            pieces, last, done = [], len(self.text), len(edits)
+            for m in self._counter.pattern.finditer(new_text, first + moved):
                 p = m.start()
                 passed = bisect_right(new_end, p)
                 if passed > k and (passed == len(edits) or p + CONTEXT < new_start[passed]):
                     old = p - shift[passed - 1]
-                    i = bisect_left(starts, old)
-                    if old >= edits[passed - 1][1] and i < self.n_pieces and starts[i] == old:
-                        last, done = i, passed
+                    if edits[passed - 1][1] <= old < len(self.text) and self._locate(old)[2] == old:
+                        last, done = old, passed
                         break
                 pieces.append(m[0])
             changes.append((first, last, pieces))
             k = done
-        self._splice(new_text, changes)
+        for change in reversed(changes):                       # places further left stay valid
+            self._replace(*change)
+        self.text = new_text
+        if max(map(len, self._counts)) > FULL_LEAF:
+            self._lay_out(list(chain.from_iterable(self._lengths)), list(chain.from_iterable(self._counts)))
         return new_text, sum(len(pieces) for _, _, pieces in changes)
 
 
