@@ -4,6 +4,7 @@ from collections import defaultdict
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
 from threatlens.llm import mixture
 
@@ -91,3 +92,50 @@ def test_targets_stop_at_three_sizes_and_excess_is_dealt_again(spark):
     got = {r.source: r.target for r in mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["source"]).collect()}
     assert got["b"] == 30 and got["c"] == 30
     assert got["a"] == pytest.approx(730) and got["d"] == pytest.approx(730)      # weights 1 and 1 share the rest
+
+
+def rows_of(spark, groups):
+    """(n, doc_id, text, source) -> n equal rows each, over several partitions."""
+    return spark.createDataFrame([(i, t, s, "x") for n, i, t, s in groups for _ in range(n)],
+                                 "doc_id long, text string, source string, size string").repartition(6)
+
+
+@pytest.mark.parametrize("groups", [
+    [(2000, 7, "a b c", "s"), (500, None, "one two three four", "t")],
+    [(20_000, None, "a b", "s"), (3, 1, "x y z", "t"), (100, 2, "w", None)],
+    [(3000, 7, "a b c", "s"), (3000, 7, "c b a", "s"), (9000, 8, "q", "t"), (50, 9, "", "t")],
+])
+def test_repeated_rows_meet_their_targets(spark, groups):
+    df = rows_of(spark, groups)
+    got = mixture.mix(df, ["doc_id", "source", "text"]).collect()
+    assert len(got) == sum(n for n, *_ in groups)
+    per, target, largest = defaultdict(int), {}, defaultdict(int)
+    for r in got:
+        per[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(per[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in per)
+    again = mixture.mix(df.repartition(3), ["doc_id", "source", "text"]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_tables_too_large_for_a_broadcast(spark, monkeypatch):
+    docs = documents(spark).select("doc_id", "text", "source")
+    want = sorted(map(str, mixture.mix(docs, ["doc_id"]).collect()))
+    monkeypatch.setattr(mixture, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, mixture.mix(docs, ["doc_id"]).collect())) == want
+
+
+def test_very_long_texts(spark):
+    rows = [(1, " " * 3_000_000, "s"), (2, "x" * 3_000_000, "s"), (3, "a " * 1_500_000, "s"), (4, "a b", "t")]
+    got = {r.doc_id: r["size"] for r in mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()}
+    assert got == {1: 0, 2: 1, 3: 1_500_000, 4: 2}
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    docs = documents(spark).select("doc_id", "text", "source")
+    names = ("size", "target", "epochs", "selected", "taken", "place", "bucket", "part", "last", "last_rows", "of", "room", "t_source",
+             "c_source", "c_bucket", "budget", "before", "words", "through", "weight", "level", "try")
+    more = docs.select("*", *[F.lit("x").alias(c) for c in names])
+    assert sorted(map(str, mixture.mix(more, ["doc_id"]).collect())) == sorted(map(str, mixture.mix(docs, ["doc_id"]).collect()))
