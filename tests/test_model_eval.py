@@ -157,13 +157,57 @@ def test_logistic_fit_is_stationary(spark):
     assert np.max(np.abs(grad_w)) < 1e-4 and abs(grad_b) < 1e-4
 
 
-def test_vocabularies_over_the_dictionary_limit_are_refused(spark, monkeypatch):
-    from threatlens.operators import model
-
-    monkeypatch.setattr(model, "MAX_DICTIONARY_BYTES", 10)
-    vocab = spark.createDataFrame([("some", 1.0, 0.5), ("words", 1.0, -0.5)], "term string, idf double, coef double")
-    docs = spark.createDataFrame([("some words", 1), ("words", 0)], "clean_text string, y int")
-    for refused in (lambda: model.with_term_weights(docs, "clean_text", model.LinearModel(vocab)),
-                    lambda: model.largest_gradient(docs, model.LinearModel(vocab)), lambda: model.fit_logistic(docs, vocab)):
-        with pytest.raises(ValueError, match="vocabulary"):
-            refused()
+def small_corpus(spark, n=160, seed=4):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        y = int(i % 3 == 0)
+        rows.append((f"d{i}", " ".join(rnd.choice(words[:25] if y else words[10:]) for _ in range(rnd.randint(0, 12))), y))
+    docs = spark.createDataFrame(rows, "id string, clean_text string, y int").repartition(5)
+    tf = FE.term_counts(docs, "id", "clean_text", carry=("y",))
+    return docs, MD.fit_vocab(tf, n, vocab_size=None, min_df=1, max_df=1.0)
+
+
+def test_the_fit_with_tables_is_the_fit_with_a_dictionary(spark, monkeypatch):
+    docs, vocab = small_corpus(spark, 90)
+    held = MD.fit_logistic(docs, vocab, tol=1e-14)
+    monkeypatch.setattr(MD, "MAX_DICTIONARY_BYTES", 10)
+    monkeypatch.setattr(FE, "BROADCAST_VOCAB_BYTES", 10)
+    monkeypatch.setattr(MD.LG, "HOT_PARTS", 30)
+    tabled = MD.fit_logistic(docs, vocab, tol=1e-10)
+    want, got = ({r.term: r.coef for r in m.vocab.collect()} for m in (held, tabled))
+    assert set(want) == set(got) and max(abs(want[t] - got[t]) for t in want) < 1e-6
+    assert abs(held.intercept - tabled.intercept) < 1e-6
+    assert MD.largest_gradient(docs, tabled).first().gradient < 1e-9
+    a, b = ({r.id: r.prob for r in MD.predict(docs, "clean_text", m).collect()} for m in (held, tabled))
+    assert max(abs(a[i] - b[i]) for i in a) < 1e-6
+
+
+def test_gradient_steps_against_numpy(spark):
+    docs, vocab = small_corpus(spark, 60, 5)
+    rows = sorted(docs.collect())
+    terms = sorted((r.idx, r.term) for r in vocab.collect())
+    tf = FE.term_counts(docs, "id", "clean_text")
+    at = {(r.id, r.term): r.weight for r in FE.tfidf(tf, vocab).collect()}
+    x = np.array([[at.get((r.id, t), 0.0) for _, t in terms] for r in rows])
+    y = np.array([r.y for r in rows])
+    n, n1 = len(y), y.sum()
+    c, w, b = np.where(y == 1, n / (2 * n1), n / (2 * (n - n1))), np.zeros(len(terms)), 0.0
+    for _ in range(3):
+        r = c * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 2.0 * (x.T @ r + w) / n, b - 2.0 * r.sum() / n
+    m = MD.fit_gradient_steps(docs, vocab, 3, 2.0)
+    got = {r.idx: r.coef for r in m.vocab.collect()}
+    assert np.allclose([got[i] for i, _ in terms], w, atol=1e-12) and m.intercept == pytest.approx(b, abs=1e-12)
+
+
+def test_ordinals(spark):
+    from threatlens.operators.ordinals import with_ordinals
+
+    rnd = random.Random(2)
+    values = [(f"t{rnd.randint(0, 10 ** 6)}", i) for i in range(3000)] + [(None, 1), ("", 2)]
+    got = with_ordinals(spark.createDataFrame(values, "term string, _range int").repartition(7), [F.col("term"), F.col("_range")], "at").collect()
+    assert [(r.term, r["_range"]) for r in sorted(got, key=lambda r: r["at"])] == sorted(values, key=lambda v: (v[0] is not None, v[0] or "", v[1]))
+    assert sorted(r["at"] for r in got) == list(range(len(values)))
+    assert with_ordinals(spark.createDataFrame([], "term string"), [F.col("term")], "at").collect() == []

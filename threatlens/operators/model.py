@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from . import features as FE
+from . import logistic as LG
+from .ordinals import with_ordinals
 
 
 # Dictionaries up to this size are held by the driver and every executor.
@@ -94,8 +96,8 @@ def fit_vocab(train_tf: DataFrame, n_docs: int, vocab_size: int | None = S.VOCAB
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
     top = kept if vocab_size is None else top_by_count(kept, vocab_size)
     idf = F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0
-    idx = F.row_number().over(Window.orderBy("term")) - 1   # <= vocab_size rows
-    return top.select("term", "df", "total_tf", "df_pos", "df_neg", idf.alias("idf"), idx.alias("idx"))
+    top = top.select("term", "df", "total_tf", "df_pos", "df_neg", idf.alias("idf"))
+    return with_ordinals(top, [F.col("term")], "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def fit_log_odds(vocab: DataFrame) -> LinearModel:
@@ -208,8 +210,9 @@ def fit_logistic(train: DataFrame, vocab: DataFrame, text_col: str = "clean_text
     """Balanced, L2 (C = 1) logistic regression on the TF-IDF vectors of ``train``.
 
     Vectors are assembled in the JVM and written once: the optimiser reads that
-    table in every pass. The coefficients (one per dictionary term) come back
-    through the driver, so the vocabulary must fit into a dictionary.
+    table in every pass, and the coefficients come back through the driver. A
+    vocabulary too large for a dictionary is fitted with tables (``logistic``):
+    the same optimum, no vector over the terms in one place.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import VectorUDT
@@ -220,7 +223,8 @@ def fit_logistic(train: DataFrame, vocab: DataFrame, text_col: str = "clean_text
     blank = LinearModel(vocab.withColumn("coef", F.lit(0.0)))
     rows = blank.dictionary()
     if rows is None:
-        raise ValueError("the vocabulary is too large for a fit with a dictionary")
+        coef, intercept, _ = LG.minimise(LG.entries(train, vocab, text_col, label), tol, max_iter)
+        return _with_coefficients(vocab, coef, intercept)
     spark = train.sparkSession
     n_of = {r[0]: r[1] for r in train.groupBy(label).count().collect()}   # one row per class
     n = sum(n_of.values())
@@ -241,10 +245,24 @@ def fit_logistic(train: DataFrame, vocab: DataFrame, text_col: str = "clean_text
     return LinearModel(FE.join_vocab(vocab.drop("coef"), fitted), float(m.intercept))
 
 
+def _with_coefficients(vocab: DataFrame, coef: DataFrame, intercept: float) -> LinearModel:
+    c = coef.select(F.col("at").alias("_at"), F.col("w").alias("coef"))
+    return LinearModel(vocab.drop("coef").join(c, F.col("idx") == F.col("_at")).drop("_at"), intercept)
+
+
+def fit_gradient_steps(train: DataFrame, vocab: DataFrame, steps: int, rate: float, text_col: str = "clean_text",
+                       label: str = "y") -> LinearModel:
+    """A fixed number of plain gradient steps on the objective of ``fit_logistic``, from zero, with tables."""
+    return _with_coefficients(vocab, *LG.descend(LG.entries(train, vocab, text_col, label), steps, rate))
+
+
 def largest_gradient(docs: DataFrame, model: LinearModel, text_col: str = "clean_text", label: str = "y") -> DataFrame:
     """One row (terms, gradient): the largest absolute partial derivative of the
     objective that ``fit_logistic`` minimises (mean balanced loss plus L2 / n) at
     ``model``; 0 at its unique optimum."""
+    if model.dictionary() is None:
+        e = LG.entries(docs, model.vocab, text_col, label)
+        return LG.gradient(e, model.vocab.select(F.col("idx").cast("long").alias("at"), F.col("coef").alias("w")), model.intercept)
     n_of = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}   # one row per class
     n = sum(n_of.values())
     balance = F.create_map(*[F.lit(x) for c, k in n_of.items() for x in (c, n / (len(n_of) * k))])[F.col(label)]

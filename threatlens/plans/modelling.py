@@ -30,6 +30,7 @@ class Fitted:
     model: MD.LinearModel  # log-odds coefficients, intercept 0
     predictions: DataFrame | None = None   # scored test fold, written on first use
     logistic: MD.LinearModel | None = None  # fitted on first use
+    stepped: MD.LinearModel | None = None   # a few gradient steps, on first use
 
 
 def labelled(spark: SparkSession, sf_dir: str, label=C.label_malicious, sources=None) -> DataFrame:
@@ -89,3 +90,11 @@ def logistic_model(f: Fitted) -> MD.LinearModel:
         m = MD.fit_logistic(f.split.where(F.col("fold") == "train"), f.model.vocab.drop("coef"))
         f.logistic = MD.LinearModel(written(m.vocab, "logistic"), m.intercept)
     return f.logistic
+
+
+def stepped_model(f: Fitted, steps: int, rate: float) -> MD.LinearModel:
+    """A fixed number of gradient steps with coefficients in tables."""
+    if f.stepped is None:
+        m = MD.fit_gradient_steps(f.split.where(F.col("fold") == "train"), f.model.vocab.drop("coef"), steps, rate)
+        f.stepped = MD.LinearModel(written(m.vocab, "stepped"), m.intercept)
+    return f.stepped

@@ -642,3 +642,39 @@ ORACLE["smishing_eval"] = (
     .replace("FROM corpus WHERE clean_text IS NOT NULL",
              f"FROM corpus WHERE clean_text IS NOT NULL AND source_dataset IN ('{S.SOURCE_SMS}', '{S.SOURCE_MAIL}')")
     .replace(f"LIMIT {S.VOCAB_SIZE_V2}", f"LIMIT {S.VOCAB_SIZE_V1}"))
+
+
+def _step_ctes(steps: int, rate: float) -> tuple[str, ...]:
+    """Gradient steps of the balanced, L2-penalised mean loss from zero."""
+    out = [
+        """fx AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS x
+                  FROM (SELECT t.id, v.idx, (1 + ln(t.tf)) * v.idf AS w FROM tf t JOIN vocab v USING (term) WHERE t.fold = 'train'))""",
+        """fr AS (SELECT s.id, s.y, n.n / (k.k * c.n_c) AS c, n.n FROM split s,
+                  (SELECT CAST(count(*) AS DOUBLE) AS n FROM split WHERE fold = 'train') n,
+                  (SELECT CAST(count(DISTINCT y) AS DOUBLE) AS k FROM split WHERE fold = 'train') k,
+                  LATERAL (SELECT count(*) AS n_c FROM split o WHERE o.fold = 'train' AND o.y = s.y) c
+                  WHERE s.fold = 'train')""",
+        "w0 AS (SELECT idx, CAST(0 AS DOUBLE) AS w FROM vocab)", "b0 AS (SELECT CAST(0 AS DOUBLE) AS b)"]
+    for t in range(steps):
+        out += [
+            f"z{t} AS (SELECT fx.id, sum(fx.x * w.w) AS z FROM fx JOIN w{t} w USING (idx) GROUP BY fx.id)",
+            f"""r{t} AS (SELECT fr.id, fr.n, fr.c * (1 / (1 + exp(-(coalesce(z.z, 0) + b.b))) - fr.y) AS r
+                         FROM b{t} b, fr LEFT JOIN z{t} z ON z.id = fr.id)""",
+            f"g{t} AS (SELECT fx.idx, sum(fx.x * r.r) AS g FROM fx JOIN r{t} r USING (id) GROUP BY fx.idx)",
+            f"""w{t + 1} AS (SELECT w.idx, w.w - {rate} * (coalesce(g.g, 0) + w.w) / n.n AS w
+                             FROM (SELECT max(n) AS n FROM fr) n, w{t} w LEFT JOIN g{t} g ON g.idx = w.idx)""",
+            f"b{t + 1} AS (SELECT b.b - {rate} * s.g AS b FROM b{t} b, (SELECT sum(r) / max(n) AS g FROM r{t}) s)"]
+    return tuple(out)
+
+
+# FIXED VALUES: steps and rate of the query.
+_STEPS = _step_ctes(4, 2.0)
+ORACLE["logistic_steps"] = model_sql("""
+SELECT v.term, v.idx, round(w.w, 9) AS coef FROM vocab v JOIN w4 w USING (idx)
+UNION ALL SELECT NULL, NULL, round(b, 9) FROM b4""", *_STEPS)
+ORACLE["logistic_steps_eval"] = with_ctes(*CORPUS_CTES, *MODEL_CTES[:-2], *_STEPS, """test_scores AS (
+  SELECT id, sum(raw_w * coef) AS dot, sum(raw_w * raw_w) AS norm2
+  FROM (SELECT tf.id, (1 + ln(tf.tf)) * v.idf AS raw_w, w.w AS coef
+        FROM tf JOIN vocab v USING (term) JOIN w4 w USING (idx) WHERE tf.fold = 'test')
+  GROUP BY id)""", MODEL_CTES[-1].replace("0.0) + 0.0 AS decision", "0.0) + (SELECT b FROM b4) AS decision").replace(
+    "exp(-d.decision)), 12)", "exp(-d.decision)), 9)"), CM_CTE, body=ORACLE["stored_predictions"][ORACLE["stored_predictions"].rindex("\nSELECT tn, fp"):])

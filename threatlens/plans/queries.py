@@ -561,6 +561,33 @@ def logistic_optimum(spark, sf_dir):
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+GRADIENT_STEPS, GRADIENT_RATE = 4, 2.0
+
+
+def _stepped(spark, sf_dir):
+    f = ML.fit(spark, sf_dir)
+    return f, ML.stepped_model(f, GRADIENT_STEPS, GRADIENT_RATE)
+
+
+@query
+def logistic_steps(spark, sf_dir):
+    """Four gradient steps of the logistic objective with coefficients kept in tables: one row
+    per vocabulary term plus the intercept (term null)."""
+    _, m = _stepped(spark, sf_dir)
+    icpt = spark.createDataFrame([(None, None, float(m.intercept))], "term string, idx int, coef double")
+    return EV.rounded(m.vocab.select("term", "idx", "coef").unionByName(icpt))
+
+
+@query
+def logistic_steps_eval(spark, sf_dir):
+    """The model of ``logistic_steps`` on the test fold."""
+    from ..operators import model as MD
+
+    f, m = _stepped(spark, sf_dir)
+    p = MD.predict(f.split.where(F.col("fold") == "test").select("id", "y", "clean_text"), "clean_text", m)
+    return EV.rounded(EV.evaluation_summary(p.withColumn("prob", F.round("prob", 9))))
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     """The log-odds model saved, loaded and listed."""
