@@ -31,6 +31,7 @@ class Fitted:
     predictions: DataFrame | None = None   # scored test fold, written on first use
     logistic: MD.LinearModel | None = None  # fitted on first use
     stepped: MD.LinearModel | None = None   # a few gradient steps, on first use
+    second: object | None = None            # trained second model, on first use
 
 
 def labelled(spark: SparkSession, sf_dir: str, label=C.label_malicious, sources=None) -> DataFrame:
@@ -98,3 +99,16 @@ def stepped_model(f: Fitted, steps: int, rate: float) -> MD.LinearModel:
         m = MD.fit_gradient_steps(f.split.where(F.col("fold") == "train"), f.model.vocab.drop("coef"), steps, rate)
         f.stepped = MD.LinearModel(written(m.vocab, "stepped"), m.intercept)
     return f.stepped
+
+
+def trained_second_model(f: Fitted):
+    """The contextual model trained on the train fold, stored and loaded again."""
+    from ..operators import contextual as CX
+    from ..session import scratch_path
+
+    if f.second is None:
+        spark = f.split.sparkSession
+        path = scratch_path(spark, "second-model")
+        CX.save_second_model(spark, CX.fit_second_model(f.split.where(F.col("fold") == "train")), path)
+        f.second = CX.load_second_model(spark, path)
+    return f.second

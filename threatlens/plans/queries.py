@@ -356,6 +356,32 @@ def second_model(spark, sf_dir):
     return out.select(*score_cols(), "roberta_enabled")
 
 
+@query
+def trained_second_model(spark, sf_dir):
+    """Requests scored by the linear model and the trained contextual one."""
+    f = ML.fit(spark, sf_dir)
+    out = SC.score_messages(requests(_msg(spark, sf_dir)), f.model, second=ML.trained_second_model(f))
+    return out.select(*score_cols(), "roberta_enabled")
+
+
+@query
+def compare_trained_models(spark, sf_dir):
+    """Precision / recall / F1 / ROC-AUC of the linear model, the trained contextual one
+    and their blend on the test fold."""
+    f = ML.fit(spark, sf_dir)
+    second = ML.trained_second_model(f)
+    p = _test_preds(spark, sf_dir).withColumn("pre", X.preprocess("clean_text", None))
+    both = p.select("id", "y", "pre", F.col("prob").alias("first"), F.col("pred").alias("first_pred"), second.raw(F.col("pre")).alias("raw"))
+    k = both.select("id", "y", "first", "first_pred",
+                    F.when(F.col("pre") == "", F.lit(0.0)).otherwise(F.round(second.probability(F.col("raw")), 6)).alias("second"))
+    blend = F.round(SC.ensemble_score(F.col("first"), F.col("second"), True), 6)
+    frames = (("tfidf", k.select("id", "y", F.col("first").alias("prob"), F.col("first_pred").alias("pred"))),
+              ("contextual", k.select("id", "y", F.col("second").alias("prob"), (F.col("second") > 0.5).cast("int").alias("pred"))),
+              ("ensemble", k.select("id", "y", blend.alias("prob"), (blend > 0.5).cast("int").alias("pred"))))
+    rows = [EV.evaluation_summary(d).select(F.lit(name).alias("model"), "precision", "recall", "f1", "roc_auc") for name, d in frames]
+    return EV.rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
 @query
 def audit_log(spark, sf_dir):
     """Audit records appended to a folder as JSON lines and read back."""
