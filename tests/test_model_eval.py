@@ -211,3 +211,40 @@ def test_ordinals(spark):
     assert [(r.term, r["_range"]) for r in sorted(got, key=lambda r: r["at"])] == sorted(values, key=lambda v: (v[0] is not None, v[0] or "", v[1]))
     assert sorted(r["at"] for r in got) == list(range(len(values)))
     assert with_ordinals(spark.createDataFrame([], "term string"), [F.col("term")], "at").collect() == []
+
+
+def test_copies_of_the_cut_key_are_told_apart_exactly(spark):
+    rows = [("hot", i % 3, "same") for i in range(900)] + [(f"k{i}", i % 3, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, g int, v string").repartition(7)
+    got = SP.smallest_by_hash(df, "key", {0: 250, 1: 1, 2: 400}, "g").where("selected").groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in got} == {0: 250, 1: 1, 2: 400}
+    a, b = (sorted(map(tuple, SP.sample_n(d, 500, "key").collect())) for d in (df, df.repartition(3)))
+    assert len(a) == 500 and a == b
+    assert SP.sample_n(spark.createDataFrame([(None, 1)] * 50, "key string, v int"), 20, "key").count() == 20
+
+
+def test_any_number_of_groups(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(f"id{i}", rnd.choice([None, *range(40)])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id string, y int").repartition(4)
+    want = {r.id: r.fold for r in SP.stratified_split(df.where("y is not null"), "y", "id").collect()}
+    monkeypatch.setattr(SP, "LITERAL_GROUPS", 5)
+    assert {r.id: r.fold for r in SP.stratified_split(df.where("y is not null"), "y", "id").collect()} == want
+    monkeypatch.setattr(SP, "BROADCAST_BYTES", -1)
+    picked = SP.smallest_by_hash(df, "id", 7, "y").where("selected").groupBy("y").count().collect()
+    sizes = {y: sum(1 for _, z in rows if z == y) for y in {y for _, y in rows}}
+    assert {r.y: r["count"] for r in picked} == {y: min(7, n) for y, n in sizes.items()}
+
+
+def test_crosstab_of_many_labels_comes_in_long_form(spark, monkeypatch):
+    from collections import Counter
+
+    from threatlens.operators import quality as Q
+
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["sms", "email", None]), rnd.choice([None, *[f"l{i}" for i in range(30)]])) for _ in range(400)]
+    monkeypatch.setattr(Q, "MAX_CROSSTAB_COLUMNS", 20)
+    got = {(r[0], r[1]): r[2] for r in Q.crosstab_margins(spark.createDataFrame(rows, "channel string, attack_label string")).collect()}
+    pairs = [p for p in rows if None not in p]
+    want = Counter(pairs) + Counter(("All", c) for _, c in pairs) + Counter((r, "All") for r, _ in pairs) + Counter({("All", "All"): len(pairs)})
+    assert got == dict(want)

@@ -91,12 +91,13 @@ def crosstab_margins(df: DataFrame, row: str = "channel", col: str = "attack_lab
                      values=("benign", "phishing", "smishing")) -> DataFrame:
     """row x col counts with an 'All' row and column; pairs with a null dropped.
 
-    ``values`` have a column in any case; every other value found gets one too.
+    ``values`` have a column in any case; every other value found gets one too. With
+    more than ``MAX_CROSSTAB_COLUMNS`` values the table comes in long form (``crosstab_long``).
     """
     pairs = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
     found = [r[0] for r in pairs.select(col).distinct().limit(MAX_CROSSTAB_COLUMNS + 1).collect()]
     if len(found) > MAX_CROSSTAB_COLUMNS:
-        raise ValueError(f"{col} has more than {MAX_CROSSTAB_COLUMNS} values")
+        return crosstab_long(df, row, col)
     values = [*values, *sorted(set(found) - set(values))]
     wide = pairs.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0, list(values))
     wide = wide.withColumn("All", reduce(lambda a, b: a + b, [F.col(v) for v in values]))
@@ -105,6 +106,15 @@ def crosstab_margins(df: DataFrame, row: str = "channel", col: str = "attack_lab
     return wide.unionByName(total)
 
 
+def crosstab_long(df: DataFrame, row: str = "channel", col: str = "attack_label") -> DataFrame:
+    """(row, col, count) of all pairs without a null, with the margins as rows ('All', col), (row, 'All')
+    and ('All', 'All'); for any number of values."""
+    pairs = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("_n"))
+    sums = pairs.cube(row, col).agg(F.sum("_n").alias("count"), F.grouping(row).alias("_r"), F.grouping(col).alias("_c"))
+    name = lambda c, g: F.when(F.col(g) == 1, F.lit("All")).otherwise(F.col(c).cast("string")).alias(c)
+    return sums.where("count is not null").select(name(row, "_r"), name(col, "_c"), "count")
+
+
 def health_report(df: DataFrame, by: str = "source_dataset") -> DataFrame:
     """Per source: totals, non-null texts, missing timestamps, label counts."""
     n = F.count(F.lit(1))
