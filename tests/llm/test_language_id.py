@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from threatlens.llm import language_id as L
@@ -59,3 +61,43 @@ def test_a_few_bytes_are_noise(monkeypatch):
         monkeypatch.setattr(c, "sizes", lambda data: sizes)
         lang, score, no = c.predict("some text")
         assert no == rejected and lang == "ab"[sizes[1] < sizes[0]] and score == min(1.0, abs(sizes[0] - sizes[1]) / (0.1 * max(sizes)))
+
+
+def plain(text, dictionaries):
+    """Every dictionary tried on every block by a compressor made for it; the sizes compared by hand."""
+    import zstandard as z
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+    total = {}
+    for name, content in dictionaries.items():
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        total[name] = sum(len(z.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False,
+                                               write_dict_id=False).compress(data[i:i + 4096])) for i in range(0, len(data), 4096))
+    first = min(total, key=lambda k: (total[k], k))
+    others = [total[k] for k in total if k != first]
+    other = min(others) if others else 2 * total[first]
+    score = min(1.0, (other - total[first]) / (0.10 * other))
+    return first, score, score < 0.05 or other - total[first] < 3
+
+
+def test_predictions_equal_trying_every_dictionary(spark):
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = documents(spark)
+    d = L.learn(docs, ~held)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = QUERIES["op1_language_id"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got[:120]:
+        lang, score, rejected = plain(texts[r.doc_id], d)
+        assert (r.lang_pred, r.rejected) == (lang, rejected) and abs(r.score - score) < 1e-12
+
+
+def test_many_languages_in_several_passes(spark, monkeypatch, hazards):
+    docs = documents(spark).select("doc_id", "text", F.concat("lang", F.lit("-"), F.col("doc_id") % 3).alias("lang"), F.lit("x").alias("_two"))
+    want = sorted(map(tuple, L.learn_and_identify(docs, F.lit(True), ["doc_id"]).collect()))
+    monkeypatch.setattr(L, "LANGUAGES_A_PASS", 2)
+    assert sorted(map(tuple, L.learn_and_identify(docs, F.lit(True), ["doc_id"]).collect())) == want
+    got = L.learn_and_identify(hazards.withColumn("lang", F.coalesce("lang", "source")), F.lit(True), ["doc_id"]).collect()
+    assert len(got) == len(TEXTS) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3, 11)} == {"und"}

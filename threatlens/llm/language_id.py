@@ -5,6 +5,9 @@ reduced to lower-case words (digits and signs say nothing about the language)
 and cut into blocks, every block is compressed with every dictionary, and the
 language whose dictionary gives the fewest bytes in total wins. Where the
 runner-up is close, the answer is marked as rejected.
+
+A pass over the texts takes the dictionaries of about ``LANGUAGES_A_PASS`` languages
+along; more are dealt to several passes, which hand on the two smallest sizes.
 """
 
 from __future__ import annotations
@@ -14,17 +17,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import fresh, map_texts, store
 
 SAMPLE_PIECES = 400      # pieces of text per language, in expectation (all if there are fewer)
 PIECE_CHARS = 512        # characters of a piece, from a place in the text that its hash chooses
-MAX_LANGUAGES = 400
+LANGUAGES_A_PASS = 200   # languages whose dictionaries are held at a time, in expectation
 BLOCK_BYTES = 4096
 LEVEL = 3
 FULL_MARGIN = 0.10       # saving over the runner-up that counts as certain
 MIN_SCORE = 0.05         # below: rejected
 MIN_BYTES = 3            # saving in bytes, below: rejected; of learnable rows that the dictionaries had not seen, 46 % were right below, 99.9 % from there on
 UNKNOWN = "und"
+TWO = "array<struct<size: bigint, lang: string>>"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -35,22 +39,19 @@ def letters(text: str) -> str:
 
 
 def learn(docs: DataFrame, learnable: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id",
-          pieces: int = SAMPLE_PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, bytes]:
+          pieces: int = SAMPLE_PIECES, piece_chars: int = PIECE_CHARS, part: tuple[int, int] = (0, 1)) -> dict[str, bytes]:
     """Dictionary content per language from a bounded sample: about ``pieces``
     pieces of ``piece_chars`` characters, chosen by a hash among the distinct
     (id, text) of the language; rows that repeat both are one. One pass counts
-    them per language, a narrow one reads the chosen texts."""
+    them per language, a narrow one reads the chosen texts. ``part`` (k, n) learns
+    the k-th of n classes of languages, dealt by a hash of their names."""
     t = F.col(text)
     h = F.xxhash64(F.col(doc_id), t)
-    rows = docs.where(learnable & F.col(lang).isNotNull())
+    mine = F.pmod(F.xxhash64(F.col(lang)), F.lit(part[1])) == part[0]
+    rows = docs.where(learnable & F.col(lang).isNotNull() & mine)
     keys = rows.select(F.col(lang).alias("lang"), h.alias("h")).distinct()
-    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
-    spark = docs.sparkSession
-    rate = spark.createDataFrame([(r["lang"], pieces / r["n"]) for r in counts], "r_lang string, rate double")
+    rate = store(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("lang").alias("r_lang"), (F.lit(float(pieces)) / F.col("n")).alias("rate")), "language-rates")   # one row per language of the part
     start = 1 + F.pmod(F.xxhash64(h), F.greatest(F.length(t) - piece_chars, F.lit(1)).cast("long"))
     picked = (rows.select(F.col(lang).alias("lang"), h.alias("h"), t.substr(start.cast("int"), F.lit(piece_chars)).alias("piece"))
               .join(F.broadcast(rate), F.col("lang") == F.col("r_lang"))
@@ -78,16 +79,24 @@ class Classifier:
         blocks = [data[i:i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         return [sum([len(pack(b)) for b in blocks]) for pack in self._pack]
 
+    def two_smallest(self, text: str | None, known=()) -> list[tuple[int, str]]:
+        """The two smallest (size, language), of these languages and of ``known`` pairs."""
+        if not text or not any(map(str.isalpha, text)):
+            return []
+        return sorted([*known, *zip(self.sizes(letters(text).encode()), self.langs)])[:2] if self.langs else sorted(known)
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score in 0..1, rejected). Ties fall to the smaller name."""
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0, True
-        sizes = self.sizes(letters(text).encode())
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.langs[i]))
-        best = sizes[order[0]]
-        other = sizes[order[1]] if len(order) > 1 else 2 * best
-        score = min(1.0, (other - best) / (FULL_MARGIN * other))
-        return self.langs[order[0]], score, score < MIN_SCORE or other - best < MIN_BYTES
+        return judged(self.two_smallest(text))
+
+
+def judged(smallest) -> tuple[str, float, bool]:
+    if not smallest:
+        return UNKNOWN, 0.0, True
+    best = smallest[0][0]
+    other = smallest[1][0] if len(smallest) > 1 else 2 * best
+    score = min(1.0, (other - best) / (FULL_MARGIN * other))
+    return smallest[0][1], score, score < MIN_SCORE or other - best < MIN_BYTES
 
 
 def _classify(dictionaries):
@@ -99,6 +108,39 @@ def _classify(dictionaries):
     return run
 
 
+def _compare(dictionaries):
+    c = Classifier(dictionaries)
+
+    def run(texts, known):
+        return [[[{"size": n, "lang": k} for n, k in c.two_smallest(t, [(x["size"], x["lang"]) for x in old or []])]
+                 for t, old in zip(texts, known)]]
+
+    return run
+
+
+def _judge():
+    def run(found):
+        return [list(x) for x in zip(*[judged([(x["size"], x["lang"]) for x in f or []]) for f in found])]
+
+    return run
+
+
+def learn_and_identify(docs: DataFrame, learnable: Column, keep: list[str], lang: str = "lang", text: str = "text",
+                       doc_id: str = "doc_id") -> DataFrame:
+    """``identify`` with what ``learn`` finds, for any number of languages."""
+    n = docs.where(learnable & F.col(lang).isNotNull()).select(F.col(lang)).distinct().count()
+    parts = max(1, -(-n // LANGUAGES_A_PASS))
+    if parts == 1:
+        return identify(docs, learn(docs, learnable, lang, text, doc_id), keep, text)
+    rows, two = docs, fresh(docs, "_two")
+    rows = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], F.array().cast(TWO).alias(two))
+    for k in range(parts):
+        dictionaries = learn(docs, learnable, lang, text, doc_id, part=(k, parts))
+        carried = [c for c in rows.columns if c != two]
+        rows = map_texts(rows, carried, [text, two], f"{two} {TWO}", _compare, dictionaries)
+    return map_texts(rows, keep, two, "lang_pred string, score double, rejected boolean", _judge)
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` plus lang_pred, score, rejected; per row, no shuffle.
 

@@ -13,9 +13,22 @@ from . import (bpe_codec, collocations, language_id, mixture, nearest_neighbours
                secret_scan, simhash_dedup, token_counts, toxicity, url_filter, warc)
 from .common import doc_bucket, table
 
-TOKENIZERS = "/opt/tokenizers"                     # folder of public vocabulary files
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file: where ``public_tokenizers`` says, if that module can be
+    imported, else in its usual folder."""
+    import importlib.util
+
+    if importlib.util.find_spec("public_tokenizers"):
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return f"/opt/tokenizers/{name}"
+
+
+WORD_BPE = vocabulary("word_bpe_49k.json")
+BYTE_RANKS = vocabulary("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,8 +49,7 @@ def op1_language_id(spark, sf_dir):
     """Language of every document; learned from those outside bucket 2 of 4."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(doc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
-    dictionaries = language_id.learn(docs, ~held_out)
-    return language_id.identify(docs, dictionaries, ["doc_id"]).select(
+    return language_id.learn_and_identify(docs, ~held_out, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
