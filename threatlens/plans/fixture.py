@@ -109,6 +109,33 @@ def mail_texts(msg: DataFrame) -> DataFrame:
     )
 
 
+def mime_texts(msg: DataFrame) -> DataFrame:
+    """The messages as encoded mail, in five forms by id: base64, quoted-printable, nested parts,
+    alternatives with folded headers, and a text after an image."""
+    i, data = F.col("id"), F.coalesce(F.col("body"), F.lit("")).cast("binary")
+    coded = F.regexp_replace(F.base64(data), "(.{76})", "$1\n")
+    quoted = F.replace(F.regexp_replace(F.regexp_replace(F.hex(data), "(.{48})", "$1\n"), "([0-9A-F]{2})", "=$1"), F.lit("\n"), F.lit("=\n"))
+    head = lambda kind, coding: f"Content-Type: {kind}; charset=utf-8\nContent-Transfer-Encoding: {coding}\n\n"
+    html = head("text/html", "quoted-printable") + "<b>=C3=A9</b>\n"
+    base, quot = F.concat(F.lit(head("text/plain", "base64")), coded, F.lit("\n")), F.concat(F.lit(head("text/plain", "quoted-printable")), quoted)
+
+    def parts(kind, boundary, *some):
+        out = [F.lit(f'Content-Type: multipart/{kind};\n boundary="{boundary}"\n\nno mail reader\n')]
+        for x in some:
+            out += [F.lit(f"--{boundary}\n"), F.lit(x) if isinstance(x, str) else x, F.lit("\n")]
+        return F.concat(*out, F.lit(f"--{boundary}--\n"))
+
+    image = "Content-Type: image/gif\nContent-Transfer-Encoding: base64\n\nR0lGODlh\n"
+    content = (F.when(i % 5 == 0, base).when(i % 5 == 1, quot)
+               .when(i % 5 == 2, parts("mixed", "outer part", parts("alternative", "inner", html, base), "\nsigned\n"))
+               .when(i % 5 == 3, parts("alternative", "alt--", quot, html)).otherwise(parts("mixed", "b", image, base, "\nsigned\n")))
+    fold = F.when(i % 5 == 3, F.lit("\n ")).otherwise(F.lit(" "))
+    return msg.select(F.concat(
+        F.lit("Message-ID: <"), i.cast("string"), F.lit(".fix@"), F.col("source"), F.lit(">\nDate:"), fold, F.col("date_raw"),
+        F.lit("\nFrom: "), F.col("sender"), F.lit("\nTo:"), fold, F.coalesce(F.col("receiver"), F.lit("")),
+        F.lit("\nMIME-Version: 1.0\n"), content).alias("message"))
+
+
 # ---------------------------------------------------------------------------
 # SQL twin (DuckDB dialect) used by the oracles.
 # ---------------------------------------------------------------------------

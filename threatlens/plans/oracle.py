@@ -46,8 +46,8 @@ def sms_canon_select(parsed: str) -> str:
   FROM {parsed} WHERE accepted"""
 
 
-def mail_canon_select(where: str) -> str:
-    raw = Q.stdlib_body_text("coalesce(body, '')")
+def mail_canon_select(where: str, raw: str | None = None) -> str:
+    raw = raw or Q.stdlib_body_text("coalesce(body, '')")
     frm = "CASE WHEN sender LIKE '%@%' THEN sender ELSE '\"' || sender || '\"' END"
     return f"""
   SELECT message_id, raw_text,
@@ -138,6 +138,8 @@ FROM (SELECT file, coalesce(message, 'nan') AS m FROM mail_texts)""")
 
 ORACLE["mail_canonical"] = with_ctes(body=mail_canon_select("true"))
 
+ORACLE["mail_mime"] = with_ctes(body=mail_canon_select("true", "coalesce(body, '')"))
+
 ORACLE["phishing_canonical"] = with_ctes(body=phish_canon_select("true"))
 
 ORACLE["master_corpus"] = corpus_sql("SELECT * FROM corpus")

@@ -28,7 +28,7 @@ from ..sources import files as IO
 from ..sources.mail import extract_headers
 from . import corpus as CP
 from . import modelling as ML
-from .fixture import mail_texts, message_view, tab_lines
+from .fixture import mail_texts, message_view, mime_texts, tab_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -94,6 +94,12 @@ def mail_canonical(spark, sf_dir):
     return comparable(C.canonical_mail(mail_texts(_msg(spark, sf_dir))))
 
 
+@query
+def mail_mime(spark, sf_dir):
+    """The messages as base64, quoted-printable and multi-part mail -> canonical mail rows."""
+    return comparable(C.canonical_mail(mime_texts(_msg(spark, sf_dir))))
+
+
 @query
 def phishing_canonical(spark, sf_dir):
     m = _msg(spark, sf_dir).select("id", "sender", "receiver", F.col("date_raw").alias("date"), "subject", "body", "label")
