@@ -607,6 +607,7 @@ ORACLE["sms_files"] = with_ctes(
                  FROM tab_lines)""",
     parsed_lines_cte("parsed", "keyed"), body=sms_canon_select("parsed"))
 ORACLE["mail_csv"] = ORACLE["mail_canonical"]
+ORACLE["mail_csv_splits"] = ORACLE["mail_canonical"]
 _PHISH_FILE = phish_canon_select("true", ("sender", "receiver", "date_raw", "subject", "body", "copy_no"))
 ORACLE["phishing_csv"] = with_ctes(body=_PHISH_FILE)
 ORACLE["stream_sms_files"] = f"SELECT * EXCLUDE (message_id), 1 AS ids FROM ({ORACLE['labeled_lines']})"

@@ -24,6 +24,7 @@ from ..operators import sampling as SP
 from ..operators import scoring as SC
 from ..functions import text as X
 from ..session import scratch_path, ship_package
+from ..sources import csv_splits as CS
 from ..sources import files as IO
 from ..sources.mail import extract_headers
 from . import corpus as CP
@@ -461,6 +462,15 @@ def corpus_parquet(spark, sf_dir):
     return comparable(spark.read.parquet(path).select(*S.CANONICAL_COLUMNS))
 
 
+@query
+def mail_csv_splits(spark, sf_dir):
+    """The raw mail archive as one CSV file, its records dealt to many tasks -> canonical mail rows."""
+    path = scratch_path(spark, "mail-one-csv")
+    IO.write_table(mail_texts(_msg(spark, sf_dir)).coalesce(1), path, "csv")
+    records = CS.csv_records(spark, path, True)
+    return comparable(C.canonical_mail(CS.fields(records, S.MAIL_CSV_SCHEMA, IO.csv_field_options(IO.CSV_NULL))))
+
+
 @query
 def mail_csv_headers(spark, sf_dir):
     """Raw mail CSV (header row) read with imposed names: the header line

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from . import csv_splits as CS
 
 
 COPY_BLOCK = 10_000  # copies of one row that a task numbers at a time
@@ -54,15 +55,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
     """CSV with quoted, multi-line fields (a quote inside is doubled).
 
     An empty field is null by default (external files); pass
-    ``null_value=CSV_NULL`` for files written by ``write_table``.
+    ``null_value=CSV_NULL`` for files written by ``write_table``. Files that fit
+    a split go to one task each; if one is larger, its records are dealt to many
+    tasks (``csv_splits``; records end at LF or CRLF), unless its quotes do not add up.
     """
+    if CS.larger_than_a_split(spark, path):
+        records = CS.csv_records(spark, path, header)
+        if records is not None:
+            return CS.fields(records, schema, csv_field_options(null_value))
     return csv_options(spark.read, schema, header, null_value).csv(path)
 
 
+def csv_field_options(null_value: str = "") -> dict:
+    return {"escape": '"', "mode": "PERMISSIVE", "nullValue": null_value}
+
+
 def csv_options(reader, schema: T.StructType, header: bool = True, null_value: str = ""):
     """Batch or stream reader set up as in ``read_csv``."""
-    return (reader.schema(schema).option("header", header).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", null_value))
+    return reader.schema(schema).option("header", header).option("multiLine", True).options(**csv_field_options(null_value))
 
 
 def read_csv_named(spark: SparkSession, path: str, schema: T.StructType = S.MAIL_CSV_NAMED_SCHEMA,
