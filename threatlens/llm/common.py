@@ -60,6 +60,16 @@ def fresh(df: DataFrame, base: str) -> str:
 
 # Rows a Python step handles at a time: bounds its lists whatever the Arrow batch holds.
 SLICE_ROWS = 256
+# Rows of an Arrow batch of whole texts. A batch stands in the JVM, in the worker and in the
+# worker's answer at once, so Spark's own 10,000 rows are too many for long texts.
+BATCH_ROWS = 1024
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, where the session has not chosen a number itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def map_texts(df: DataFrame, keep: list[str], text: str | list[str], out: str, factory, *args) -> DataFrame:
@@ -71,6 +81,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str | list[str], out: str, f
     """
     from pyspark.sql import types as T
 
+    text_batches(df.sparkSession)
     new = T.StructType.fromDDL(out)
     texts = [text] if isinstance(text, str) else text
     src = df.select(*[F.col(c) for c in keep], *[F.col(c).alias(fresh(df, f"_text{i}")) for i, c in enumerate(texts)])

@@ -199,12 +199,12 @@ def hash_of(*words: str) -> int:
     return xxh64_intdigest(" ".join(words)) >> 1
 
 
-def _terms_factory():
-    def run(texts):
-        rows = [document_terms(t) for t in texts]
-        return [[k for k, _ in rows], [[{"term": t, "k": n} for t, n in sorted(ts.items())] for _, ts in rows]]
+def _copy_factory():
+    return lambda texts: [[document_terms(t)[0] for t in texts]]
 
-    return run
+
+def _terms_factory():
+    return lambda texts: [[[{"term": t, "k": n} for t, n in sorted(document_terms(x)[1].items())] for x in texts]]
 
 
 def _evidence_factory(lexicon):
@@ -282,33 +282,29 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
     tests (bounded by the sample's words) and two numbers per sampled document
     reach the driver. Without labels of both classes the lexicon is empty.
     """
-    sample = labelled_sample(docs, labels, learnable, label, doc_id, text, per_class).persist()
-    parts = map_texts(sample, ["y", "hash", "id"], "text", "copy long, terms array<struct<term: string, k: int>>", _terms_factory).persist()
+    sample = store(labelled_sample(docs, labels, learnable, label, doc_id, text, per_class), "toxicity-sample")
     # of near copies with the same label the one with the least (hash, id) counts; as many keys as the sample has rows at most
-    least = parts.groupBy("y", "copy").agg(F.min(F.struct("hash", "id")).alias("least")).select("y", "copy", "least.hash", "least.id")
-    firsts = parts.join(F.broadcast(least), ["y", "copy", "hash", "id"])
-    try:
-        n = {r["y"]: r["n"] for r in firsts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n1, n0 = n.get(1, 0), n.get(0, 0)
-        if not n1 or not n0:
-            return Lexicon(exceptions=exceptions)
-        k, toxic = F.col("t.k"), F.col("y") == 1
-        counts = firsts.select("y", F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(
-            F.count_if(toxic).alias("docs"), F.sum(F.when(toxic, k).otherwise(0)).alias("tox"),
-            F.sum(F.when(toxic, 0).otherwise(k)).alias("clean"))
-        weight = F.log(((F.col("tox") + 0.5) / n1) / ((F.col("clean") + 0.5) / n0))
-        top = (counts.withColumn("weight", weight)
-               .where((F.col("docs") >= MIN_TOXIC_DOCS) & (F.col("weight") >= MIN_WEIGHT)
-                      & (g2(F.col("tox"), F.col("clean"), CAP * n1, CAP * n0) >= MIN_G2)).collect())
-        stems, whole = choose_stems([(r["term"], r["docs"], r["weight"]) for r in top])
-        lexicon = Lexicon(stems, whole, exceptions)
-        seen = map_texts(sample, ["y", "hash"], "text", "weight double, n long", _evidence_factory, lexicon).collect()
-        seen.sort(key=lambda r: (r["hash"], r["y"]))          # sums of floats come in one order
-        lexicon.curve = fit_curve([(r["weight"], r["n"]) for r in seen], [r["y"] for r in seen])
-        return lexicon
-    finally:
-        parts.unpersist()
-        sample.unpersist()
+    keys = map_texts(sample, ["y", "hash", "id"], "text", "copy long", _copy_factory)
+    least = store(keys.groupBy("y", "copy").agg(F.min(F.struct("hash", "id")).alias("least")).select("y", "least.hash", "least.id"), "toxicity-firsts")
+    n = {r["y"]: r["n"] for r in least.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return Lexicon(exceptions=exceptions)
+    firsts = map_texts(sample.join(F.broadcast(least), ["y", "hash", "id"]), ["y"], "text", "terms array<struct<term: string, k: int>>", _terms_factory)
+    k, toxic = F.col("t.k"), F.col("y") == 1
+    counts = firsts.select("y", F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(
+        F.count_if(toxic).alias("docs"), F.sum(F.when(toxic, k).otherwise(0)).alias("tox"),
+        F.sum(F.when(toxic, 0).otherwise(k)).alias("clean"))
+    weight = F.log(((F.col("tox") + 0.5) / n1) / ((F.col("clean") + 0.5) / n0))
+    top = (counts.withColumn("weight", weight)
+           .where((F.col("docs") >= MIN_TOXIC_DOCS) & (F.col("weight") >= MIN_WEIGHT)
+                  & (g2(F.col("tox"), F.col("clean"), CAP * n1, CAP * n0) >= MIN_G2)).collect())
+    stems, whole = choose_stems([(r["term"], r["docs"], r["weight"]) for r in top])
+    lexicon = Lexicon(stems, whole, exceptions)
+    seen = map_texts(sample, ["y", "hash"], "text", "weight double, n long", _evidence_factory, lexicon).collect()
+    seen.sort(key=lambda r: (r["hash"], r["y"]))          # sums of floats come in one order
+    lexicon.curve = fit_curve([(r["weight"], r["n"]) for r in seen], [r["y"] for r in seen])
+    return lexicon
 
 
 # --- score --------------------------------------------------------------------
