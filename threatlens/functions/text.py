@@ -190,7 +190,74 @@ def parse_timestamp_utc(c) -> Column:
         return F.when(offset.isNull(), x).when(x.rlike("^[0-9]{4}-") & (offset == "+0000"), bare).otherwise(
             F.concat(bare, F.lit(" "), offset))
 
-    return _once(_once(t, with_offset), lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in TIMESTAMP_FORMATS]))
+    listed = _once(_once(t, with_offset), lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in TIMESTAMP_FORMATS]))
+    return F.coalesce(listed, _timestamp_of_tokens(t))
+
+
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTH = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\b\.?"
+_WEEKDAY = r"\b(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)(?:day|sday|nesday|rsday|urday)?\b[.,]?"
+_CLOCK = r"(?<![-+:0-9])([0-9]{1,2})(?::|h(?=[0-9]))([0-9]{2})(?::([0-9]{2})(?:[.,][0-9]+)?)? ?(am|pm)?\b"
+_OFFSET = r"(?:^| )(?:gmt|utc)?([+-][0-9]{2}):?([0-9]{2})(?= |$)"
+_ZONE = r"\b(" + "|".join(ZONE_OFFSETS) + r")\b"
+_COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:t([0-9]{2})([0-9]{2})([0-9]{2})?)?$"
+
+
+def _timestamp_of_tokens(t: Column) -> Column:
+    """Dates in which clock, offset, month name, day and year stand in any order: each class of
+    token is taken out of the text by its form, and nothing else may be left. Without a month
+    name the order is year-month-day or month-day-year (day-month-year if only that is possible)."""
+    get = lambda x, p, i: F.regexp_extract(x, p, i)
+    number = lambda x: F.nullif(x, F.lit("")).cast("int")
+
+    def compact(x):
+        return F.regexp_replace(F.regexp_replace(x, _COMPACT, "$1-$2-$3 $4:$5:$6"), r" ?:+$", "")
+
+    def dated(x):
+        """x: (left, hour, minute, second, half, sign and hours, minutes of the offset, zone)."""
+        month = get(x["left"], _MONTH, 1)
+        plain = F.trim(F.regexp_replace(F.regexp_replace(x["left"], _MONTH, " "), "[ ,]+", " "))
+        words = F.trim(F.regexp_replace(plain, "[-/. ]+", " "))
+        a, b = get(words, r"^([0-9]{1,4}) ([0-9]{1,4})$", 1), get(words, r"^([0-9]{1,4}) ([0-9]{1,4})$", 2)
+        form = r"^([0-9]{1,4})([-/.])([0-9]{1,2})\2([0-9]{1,4})$"
+        p, q, r = get(plain, form, 1), get(plain, form, 3), get(plain, form, 4)
+        year_first, swapped = F.length(a) > 2, F.length(p) > 2
+        at = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for v in (m, k)])
+        named = F.struct(F.when(year_first, a).otherwise(b).alias("y"), at[month].alias("m"), number(F.when(year_first, b).otherwise(a)).alias("d"))
+        day_first = ~swapped & (number(p) > 12)
+        listed = F.struct(F.when(swapped, p).otherwise(r).alias("y"), number(F.when(swapped | day_first, q).otherwise(p)).alias("m"),
+                          number(F.when(swapped, r).when(day_first, p).otherwise(q)).alias("d"))
+        return _once(F.when(F.regexp_count(x["left"], F.lit(_MONTH)) > 1, F.lit(None)).when(month != "", named).otherwise(listed), lambda d: written(x, d))
+
+    def written(x, d):
+        short = number(d["y"])
+        year = F.when(F.length(d["y"]) == 4, short).when(F.length(d["y"]) == 2, F.when(short < 50, short + 2000).otherwise(short + 1900))
+        hour = F.coalesce(number(x["hour"]), F.lit(0))
+        half = F.when(x["half"] == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(x["half"] == "pm", 12).otherwise(0))
+        zones = F.create_map(*[F.lit(v) for kv in ZONE_OFFSETS.items() for v in kv])
+        offset = F.when(x["sign"] != "", F.concat(x["sign"], x["off"])).when(x["zone"] != "", zones[x["zone"]]).otherwise(F.lit("+0000"))
+        text = F.format_string("%04d-%02d-%02d %02d:%02d:%02d %s", year, d["m"], d["d"], half, F.coalesce(number(x["minute"]), F.lit(0)),
+                               F.coalesce(number(x["second"]), F.lit(0)), offset)
+        whole = year.isNotNull() & d["m"].isNotNull() & d["d"].isNotNull() & half.isNotNull()
+        return F.when(whole, F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z")))
+
+    def zoned(x):
+        left = F.trim(F.regexp_replace(x["left"], _OFFSET, " "))
+        return _once(F.struct(left.alias("left"), get(x["left"], _OFFSET, 1).alias("sign"), get(x["left"], _OFFSET, 2).alias("off"),
+                              *[x[c].alias(c) for c in ("hour", "minute", "second", "half")]), lambda y: dated(F.struct(
+                                  F.trim(F.regexp_replace(y["left"], _ZONE, " ")).alias("left"), get(y["left"], _ZONE, 1).alias("zone"),
+                                  *[y[c].alias(c) for c in ("hour", "minute", "second", "half", "sign", "off")])))
+
+    def clocked(x):
+        names = ("hour", "minute", "second", "half")
+        left = F.regexp_replace(F.regexp_replace(x, _CLOCK, " "), " +", " ")
+        return zoned_once(F.struct(left.alias("left"), *[get(x, _CLOCK, i).alias(n) for i, n in enumerate(names, 1)]))
+
+    def zoned_once(x):
+        return _once(x, zoned)
+
+    start = compact(F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), _WEEKDAY, " "), " +", " ")))
+    return _once(start, clocked)
 
 
 # ---------------------------------------------------------------------------
