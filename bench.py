@@ -32,6 +32,7 @@ HEADLINE = [
     "threshold_sweep",     # one-pass 101-threshold sweep
     "scored_messages",     # full scoring surface over every message
     "stream_scores",       # the same through Structured Streaming
+    "logistic_steps",      # gradient steps with coefficients kept in tables
 ]
 
 

@@ -488,6 +488,15 @@ ORACLE["second_model"] = model_sql(
     f"""req_second AS (SELECT *, CASE WHEN pre = '' THEN 0.0 ELSE 1.0 / (1.0 + exp(-(({_HITS}) - 1.5))) END AS second
                        FROM req_first)""")
 
+ORACLE["component_scores"] = model_sql("""
+SELECT id, round(0.5 * second + 0.5 * first, 4) AS probability, round(first, 4) AS first, round(second, 4) AS second,
+       round(0.6 * second + 0.4 * first, 4) AS ensemble
+FROM req_second WHERE error IS NULL""", *SCORE_CTES, f"""req_second AS (
+  SELECT *, CASE WHEN pre = '' THEN 0.0 ELSE 1.0 / (1.0 + exp(-(({_HITS}) - 1.5))) END AS second FROM req_first)""")
+ORACLE["weight_checks"] = with_ctes(body="""
+SELECT id, CAST(id % 21 AS DOUBLE) / 20 AS first, round(1 - CAST(id % 21 AS DOUBLE) / 20 + (id % 5 - 2) * CAST(0.0006 AS DOUBLE), 9) AS second,
+       id % 5 IN (1, 2, 3) AS valid FROM msg""")
+
 ORACLE["audit_log"] = model_sql(f"""
 SELECT probability, risk_tier, is_malicious, mode, channel, text_length FROM (
   {_score_out('first', '0.0')}, CAST(coalesce(length(text), 0) AS INTEGER) AS text_length FROM req_first)

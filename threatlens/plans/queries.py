@@ -23,6 +23,7 @@ from ..operators import quality as Q
 from ..operators import sampling as SP
 from ..operators import scoring as SC
 from ..functions import text as X
+from ..functions.numbers import round_exact
 from ..session import scratch_path, ship_package
 from ..sources import csv_splits as CS
 from ..sources import files as IO
@@ -363,6 +364,23 @@ def second_model(spark, sf_dir):
     return out.select(*score_cols(), "roberta_enabled")
 
 
+@query
+def component_scores(spark, sf_dir):
+    """Both models' scores and their default blend, beside a verdict with equal weights."""
+    f = ML.fit(spark, sf_dir)
+    out = SC.score_messages(requests(_msg(spark, sf_dir)), f.model, second=keyword_model(), w_first=0.5, w_second=0.5, components=True)
+    return out.where("error is null").select("id", "probability", *[round_exact(f"components.{c}").alias(c) for c in ("first", "second", "ensemble")])
+
+
+@query
+def weight_checks(spark, sf_dir):
+    """Pairs of model weights made from the ids, around and off a total of one."""
+    first = (F.col("id") % 21) / F.lit(20.0)
+    second = F.lit(1.0) - first + (F.col("id") % 5 - 2) * F.lit(0.0006)
+    return _msg(spark, sf_dir).select("id", first.alias("first"), F.round(second, 9).alias("second"),
+                                      SC.weights_valid(first, second).alias("valid"))
+
+
 @query
 def trained_second_model(spark, sf_dir):
     """Requests scored by the linear model and the trained contextual one."""
