@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 WS = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
-WS_NO_LF = r"[\t\x{0b}-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 
@@ -70,13 +69,14 @@ def clean_mail_body(c) -> Column:
     """Mail body cleaning, in this order.
 
     CRLF / CR -> LF; three or more LF -> two; runs of space/tab -> one space;
-    each line stripped; whole text stripped; blank -> null.
+    each line stripped; whole text stripped; blank -> null. The expressions run
+    only over texts in which a byte search finds something to change.
     """
-    t = F.regexp_replace(_col(c), "\r\n?", "\n")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    t = F.regexp_replace(t, "[ \t]+", " ")
-    t = F.regexp_replace(t, rf"(?md)^{WS_NO_LF}+|{WS_NO_LF}+$", "")
-    return F.nullif(py_strip(t), F.lit(""))
+    t = F.replace(F.replace(_col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    t = _once(t, lambda x: F.when(x.contains("\n\n\n"), F.regexp_replace(x, "\n{3,}", "\n\n")).otherwise(x))
+    t = _once(t, lambda x: F.when(x.contains("  ") | x.contains("\t"), F.regexp_replace(x, "[ \t]{2,}|\t", " ")).otherwise(x))
+    t = F.array_join(F.transform(F.split(t, "\n"), py_strip), "\n")
+    return _once(py_strip(t), lambda x: F.nullif(x, F.lit("")))
 
 
 # one line-start test per position; the same lines as "^h1:.*$|^h2:.*$|..."
