@@ -63,6 +63,68 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, carry=()) -> DataFr
     return d.select("id", *carry, F.explode(counted(ngrams_of(F.col("_tok")))).alias("t")).select("id", *carry, "t.term", "t.tf")
 
 
+SLICE_TOKENS = 1 << 21      # tokens that a Python task counts at a time
+SLICE_ROWS = 128            # texts by which these are gathered
+BATCH_ROWS = 1024           # texts of an Arrow batch, where the session has not chosen a number
+
+
+def _counts_of(tokens, ones, zeros):
+    """Columns (term, df, total_tf, df_pos, df_neg) of the unigrams and bigrams of some texts: numbers of
+    words stand for the words, and pairs of them for bigrams."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = tokens.flatten().dictionary_encode()
+    code, k = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(words.dictionary))
+    doc = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    follows = np.flatnonzero(doc[1:] == doc[:-1])
+    pairs, pair = np.unique(code[follows] * k + code[follows + 1], return_inverse=True)
+    joined = pc.binary_join_element_wise(words.dictionary.take(pa.array(pairs // k)), words.dictionary.take(pa.array(pairs % k)), " ")
+
+    out = []
+    for at, of, n in ((code, doc, len(words.dictionary)), (pair, doc[follows], len(pairs))):
+        seen = np.unique(of * max(1, n) + at)               # each text's distinct terms
+        of, term = seen // max(1, n), seen % max(1, n)
+        out.append([np.bincount(x, minlength=n) for x in (term, at, term[ones[of]], term[zeros[of]])])
+    return [pa.concat_arrays([words.dictionary, joined]), *[pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)]]
+
+
+def term_stats(docs: DataFrame, text_col: str, label: str) -> DataFrame:
+    """Per n-gram: df, total count, df among label 1 and label 0 documents. Texts are counted
+    in slices, so that a term goes through the shuffle once per slice and not once per text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(key) == "10000":
+        docs.sparkSession.conf.set(key, str(BATCH_ROWS))
+    names = ["term", "df", "total_tf", "df_pos", "df_neg"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def counted_slice(parts):
+            held = pa.Table.from_batches(parts).combine_chunks()
+            tok, y = (held.column(i).chunk(0) for i in range(2))
+            ones, zeros = (pc.fill_null(pc.equal(y, v), False).to_numpy(zero_copy_only=False).astype(bool) for v in (1, 0))
+            return pa.RecordBatch.from_arrays(_counts_of(tok, ones, zeros), names=names)
+
+        parts, n = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                parts.append(b.slice(at, SLICE_ROWS))
+                n += pc.sum(pc.list_value_length(parts[-1].column(0))).as_py() or 0
+                if n >= SLICE_TOKENS:
+                    yield counted_slice(parts)
+                    parts, n = [], 0
+        if n:
+            yield counted_slice(parts)
+
+    some = docs.select(tokens(text_col).alias("_tok"), F.col(label).cast("long").alias("_y")).mapInArrow(
+        run, "term string, " + ", ".join(f"{c} long" for c in names[1:]))
+    return some.groupBy("term").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
 def vocab_bytes(vocab: DataFrame) -> int:
     return vocab.agg(F.sum(F.octet_length("term") + TERM_OVERHEAD)).first()[0] or 0
 

@@ -92,7 +92,12 @@ def fit_vocab(train_tf: DataFrame, n_docs: int, vocab_size: int | None = S.VOCAB
               min_df: int = S.MIN_DF, max_df: float = S.MAX_DF, label: str = "y") -> DataFrame:
     """min_df <= df <= max_df * n, then the top ``vocab_size`` by total count (None:
     all terms); adds idf and the alphabetical column index."""
-    stats = vocab_stats(train_tf, label)
+    return vocab_of(vocab_stats(train_tf, label), n_docs, vocab_size, min_df, max_df)
+
+
+def vocab_of(stats: DataFrame, n_docs: int, vocab_size: int | None = S.VOCAB_SIZE_V2,
+             min_df: int = S.MIN_DF, max_df: float = S.MAX_DF) -> DataFrame:
+    """``fit_vocab`` from the terms' counts, which are read several times."""
     kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
     top = kept if vocab_size is None else top_by_count(kept, vocab_size)
     idf = F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0
@@ -125,6 +130,22 @@ def with_term_weights(docs: DataFrame, text_col: str, model: LinearModel) -> Dat
     return d.withColumn("_at", F.col("_sparse.indices")).withColumn("_w", w).drop("_tok", "_ngrams", "_counts", "_sparse")
 
 
+def tfidf_weights(docs: DataFrame, id_col: str, text_col: str, model: LinearModel) -> DataFrame:
+    """(id, term, weight) of the vocabulary's terms, L2-normalised per id."""
+    rows = model.dictionary()
+    if rows is None:
+        return FE.tfidf(FE.term_counts(docs, id_col, text_col), model.vocab, model.n_bytes()).select("id", "term", "weight")
+    if not rows:
+        return docs.where("false").select(F.col(id_col).alias("id"), F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    terms = F.from_json(F.lit(json.dumps([r["term"] for r in rows])), "array<string>")
+    d = with_term_weights(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text", model)
+    own = F.aggregate("_w", F.lit(0.0), lambda a, w: a + w * w)
+    norm = F.sqrt(F.sum("_own").over(Window.partitionBy("id")))         # a row per text, not per term
+    d = d.select("id", "_at", "_w", own.alias("_own")).withColumn("_norm", norm)
+    x = d.select("id", "_norm", F.explode(F.arrays_zip("_at", "_w")).alias("_x"))
+    return x.select("id", F.get(terms, F.col("_x._at")).alias("term"), (F.col("_x._w") / F.col("_norm")).alias("weight"))
+
+
 def _strongest(pairs, k: int):
     """Terms of the ``k`` largest positive contributions in an array of (value, term);
     equal values (at 9 digits) by term."""

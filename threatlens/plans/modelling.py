@@ -1,8 +1,8 @@
 """Modelling plan over the master corpus of the fixture.
 
 labelled corpus (clean_text not null, y = malicious) -> stratified split ->
-train n-gram counts (label carried) -> vocabulary (30,000 terms) -> model.
-The corpus, the term counts, the vocabulary and the predictions are tables
+train n-gram counts -> vocabulary (30,000 terms) -> model.
+The corpus, the terms' counts, the vocabulary and the predictions are tables
 written to the shared folder, so later actions scan them column by column.
 """
 
@@ -25,7 +25,6 @@ from .corpus import master_corpus
 @dataclass
 class Fitted:
     split: DataFrame       # id, clean_text, channel, y, fold
-    train_tf: DataFrame    # id, y, term, tf (train fold)
     n_train: int
     model: MD.LinearModel  # log-odds coefficients, intercept 0
     predictions: DataFrame | None = None   # scored test fold, written on first use
@@ -66,11 +65,10 @@ def _fit(spark: SparkSession, sf_dir: str, vocab_size: int, label, sources) -> F
     sp = split(spark, sf_dir, label, sources)
     train = sp.where(F.col("fold") == "train")
     n_train = train.count()
-    train_tf = FE.term_counts(train, "id", "clean_text", carry=("y",))
-    train_tf = written(train_tf, "term-counts")
-    vocab = written(MD.fit_vocab(train_tf, n_train, vocab_size), "vocabulary")
+    stats = written(FE.term_stats(train, "clean_text", "y").where(F.col("df") >= S.MIN_DF), "term-stats")
+    vocab = written(MD.vocab_of(stats, n_train, vocab_size), "vocabulary")
     model = MD.fit_log_odds(vocab)
-    return Fitted(sp, train_tf, n_train, model)
+    return Fitted(sp, n_train, model)
 
 
 def fit_smishing(spark: SparkSession, sf_dir: str) -> Fitted:
