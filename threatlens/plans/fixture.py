@@ -43,10 +43,16 @@ def _pick(key, values):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a scan with fewer partitions than cores (a small table in
-    one row group) to all cores; a larger scan stays as it is."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    """Deals the rows of a scan whose fullest partition holds more than twice a core's share
+    to all cores; another scan stays as it is. Splits are cut by bytes, but rows come by whole
+    row groups, so most splits of a file with few row groups are empty."""
+    n, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits >= n:
+        held = df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))   # no column is read
+        total, most = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if most * n <= 2 * total:
+            return df
+    return df.repartition(max(n, splits))
 
 
 def message_view(spark: SparkSession, sf_dir: str) -> DataFrame:
