@@ -31,6 +31,8 @@ class Fitted:
     logistic: MD.LinearModel | None = None  # fitted on first use
     stepped: MD.LinearModel | None = None   # a few gradient steps, on first use
     second: object | None = None            # trained second model, on first use
+    logistic_predictions: DataFrame | None = None   # the test fold by these two models, written on first use
+    stepped_predictions: DataFrame | None = None
 
 
 def labelled(spark: SparkSession, sf_dir: str, label=C.label_malicious, sources=None) -> DataFrame:
@@ -99,6 +101,24 @@ def stepped_model(f: Fitted, steps: int, rate: float) -> MD.LinearModel:
     return f.stepped
 
 
+def _fold_scores(f: Fitted, model: MD.LinearModel, name: str) -> DataFrame:
+    """(id, y, decision, prob, pred) of the test fold, written: an evaluation reads scores several times."""
+    test = f.split.where(F.col("fold") == "test").select("id", "y", "clean_text")
+    return written(MD.predict(test, "clean_text", model).drop("clean_text"), name)
+
+
+def logistic_predictions(f: Fitted) -> DataFrame:
+    if f.logistic_predictions is None:
+        f.logistic_predictions = _fold_scores(f, logistic_model(f), "logistic-predictions")
+    return f.logistic_predictions
+
+
+def stepped_predictions(f: Fitted, steps: int, rate: float) -> DataFrame:
+    if f.stepped_predictions is None:
+        f.stepped_predictions = _fold_scores(f, stepped_model(f, steps, rate), "stepped-predictions")
+    return f.stepped_predictions
+
+
 def trained_second_model(f: Fitted):
     """The contextual model trained on the train fold, stored and loaded again."""
     from ..operators import contextual as CX
