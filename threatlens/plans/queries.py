@@ -480,11 +480,18 @@ def corpus_parquet(spark, sf_dir):
     return comparable(spark.read.parquet(path).select(*S.CANONICAL_COLUMNS))
 
 
+ARCHIVE_FILE_BYTES = 256 << 20   # texts of one file of the archive: a file takes more than a split, its writer no more than this
+
+
 @query
 def mail_csv_splits(spark, sf_dir):
-    """The raw mail archive as one CSV file, its records dealt to many tasks -> canonical mail rows."""
+    """The raw mail archive as one CSV file (a large one as several, each larger than a split), its
+    records dealt to many tasks -> canonical mail rows."""
     path = scratch_path(spark, "mail-one-csv")
-    IO.write_table(mail_texts(_msg(spark, sf_dir)).coalesce(1), path, "csv")
+    texts = mail_texts(_msg(spark, sf_dir))
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("message"), F.lit(0)))).first()[0] or 0
+    files = -(-size // ARCHIVE_FILE_BYTES)
+    IO.write_table(texts.repartition(files) if files > 1 else texts.coalesce(1), path, "csv")
     records = CS.csv_records(spark, path, True)
     return comparable(C.canonical_mail(CS.fields(records, S.MAIL_CSV_SCHEMA, IO.csv_field_options(IO.CSV_NULL))))
 
