@@ -136,9 +136,10 @@ def search(index: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS,
         F.collect_list(F.struct("vec_id", "code", "correction", "v")).alias("rows"))
     per_group = F.greatest(F.lit(1), F.ceil(F.col("blocks") * block_rows / (query_rows * 50)).cast("int"))
     queries = index.where(is_query).groupBy("dim", "blocks", F.pmod(F.xxhash64(hashed), per_group).alias("part")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+        F.collect_list(F.struct("vec_id", "v", F.xxhash64("v").alias("key"))).alias("queries"))
     queries = queries.select("dim", "queries", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
-    met = base.join(queries, ["dim", "block"]).select("rows", "queries")
+    # the queries are repeated for every block, which no size estimate knows: they must not be broadcast
+    met = base.join(queries.hint("merge"), ["dim", "block"]).select("rows", "queries")
 
     def run(batches):
         import numpy as np
@@ -151,15 +152,15 @@ def search(index: DataFrame, is_query, k: int = 5, block_rows: int = BLOCK_ROWS,
                 n, m = len(rows), len(qs)
                 vectors = rows.field("v").flatten().to_numpy().reshape(n, -1)
                 bits = np.frombuffer(b"".join(rows.field("code").to_pylist()), np.uint8).reshape(n, -1)
-                q_ids = qs.field("vec_id").to_numpy()
+                q_ids, keys = qs.field("vec_id").to_numpy(), qs.field("key").to_numpy()
                 queries = qs.field("v").flatten().to_numpy().reshape(m, -1)
                 found, _ = block_search(ids, bits, rows.field("correction").to_numpy(), vectors, q_ids, queries, k, epsilon, seed)
-                out = [(int(q_ids[r]), queries[r].tobytes(), v, s) for r, best in enumerate(found) for s, v in best]
+                out = [(int(q_ids[r]), int(keys[r]), v, s) for r, best in enumerate(found) for s, v in best]
                 cols = list(zip(*out)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.float64()))],
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                                                  names=["query_id", "query", "vec_id", "score"])
 
-    best = met.mapInArrow(run, "query_id long, query binary, vec_id long, score double")
-    order = Window.partitionBy("query_id", F.xxhash64("query")).orderBy(F.desc("score"), "vec_id")
+    best = met.mapInArrow(run, "query_id long, query long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
