@@ -130,6 +130,13 @@ def with_term_weights(docs: DataFrame, text_col: str, model: LinearModel) -> Dat
     return d.withColumn("_at", F.col("_sparse.indices")).withColumn("_w", w).drop("_tok", "_ngrams", "_counts", "_sparse")
 
 
+def _unit(w):
+    """An array divided by its L2 norm. The norm is bound to a lambda variable: as a column it may be
+    put into the division by the optimiser, and is then summed again for every element."""
+    norm = F.sqrt(F.aggregate(F.transform(w, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+    return F.flatten(F.transform(F.array(norm), lambda n: F.transform(w, lambda x: x / n)))
+
+
 def tfidf_weights(docs: DataFrame, id_col: str, text_col: str, model: LinearModel) -> DataFrame:
     """(id, term, weight) of the vocabulary's terms, L2-normalised per id."""
     rows = model.dictionary()
@@ -251,10 +258,8 @@ def fit_logistic(train: DataFrame, vocab: DataFrame, text_col: str = "clean_text
     n = sum(n_of.values())
     weight = F.create_map(*[F.lit(x) for c, k in n_of.items() for x in (c, n / (len(n_of) * k))])[F.col(label)]
     d = with_term_weights(train.select(label, text_col), text_col, blank)
-    norm = F.sqrt(F.aggregate(F.transform("_w", lambda w: w * w), F.lit(0.0), lambda a, x: a + x))
-    d = d.withColumn("_norm", norm)
     features = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(rows)).alias("size"), F.col("_at").alias("indices"),
-                        F.transform("_w", lambda w: w / F.col("_norm")).alias("values"))
+                        _unit(F.col("_w")).alias("values"))
     path = scratch_path(spark, "logistic-features")
     d.select(F.col(label).cast("double").alias("label"), weight.alias("w"), features.alias("features")).write.parquet(path)
     schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("w", T.DoubleType()), T.StructField("features", VectorUDT())])
